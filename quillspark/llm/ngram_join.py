@@ -97,7 +97,7 @@ def described(base: DataFrame, slots: np.ndarray, uses: np.ndarray, percent: int
                         rare = own[often == 0]
                         head = rare[:p] if len(rare) >= p else own[np.lexsort((own, often))][:p]
                         mixed = mix64(head * _KEY[0] + np.arange(p, dtype=np.uint64) * _KEY[1])
-                        group.append(int((mix64(mixed.sum(keepdims=True) + np.uint64(n) * _KEY[2])[0]).astype(np.int64)))
+                        group.append(int(mix64(mixed.sum(keepdims=True) + np.full(1, n, np.uint64) * _KEY[2])[0].astype(np.int64)))
                         k1.append(int(mix64(own ^ _KEY[3]).sum().astype(np.int64)))
                         k2.append(int(mix64(own ^ _KEY[4]).sum().astype(np.int64)))
                         prefixes.append(head.astype("<u8").tobytes())
