@@ -19,7 +19,7 @@ alone, with null component; an empty table gives no rows; other columns are igno
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -199,50 +199,81 @@ def paired(blocks: DataFrame, slots: np.ndarray, uses: np.ndarray, percent: int)
     return blocks.select("block").mapInArrow(pair, "a long, b long, token long, list binary")
 
 
+def bit_signature(own: np.ndarray) -> bytes:
+    """A bitmap of at least 4 bits for each hash: bit ``h mod m`` of a power of two m."""
+    bits = 1 << max(6, int(4 * len(own) - 1).bit_length()) if len(own) else 64
+    flags = np.zeros(bits, np.uint8)
+    flags[(own & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def most_common(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> int:
+    """An upper bound of two sets' intersection from their bitmaps (words of 64 bits).
+
+    Each bit that only one of them has stands for an element that the other lacks.
+    """
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(na - int(np.bitwise_count(a & ~b).sum()), nb - int(np.bitwise_count(b & ~a).sum()))
+
+
 def set_table(base: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The full sets of the documents in ``ids``: (id, hashes)."""
+    """The sets of the documents in ``ids``: (id, n, bits, hashes)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                yield pa.RecordBatch.from_pydict({"id": part.column("doc_id"), "hashes": pa.array([x.astype("<u8").tobytes() for x in shingle_sets(part.column("text"), k)], pa.binary())})
+                own = shingle_sets(part.column("text"), k)
+                yield pa.RecordBatch.from_pydict({"id": part.column("doc_id"), "n": pa.array([len(x) for x in own], pa.int64()), "bits": pa.array([bit_signature(x) for x in own], pa.binary()), "hashes": pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())})
+
+    return restrict(base, ids, "doc_id").select("doc_id", "text").mapInArrow(sets, "id long, n long, bits binary, hashes binary")
+
+
+def _with_hubs(pairs: DataFrame, sets: DataFrame, column: str, linked: Callable[[int, bytes, int, bytes], bool], label: str) -> DataFrame:
+    """The pairs (a, b) for which ``linked`` holds of what ``column`` has for a and b.
+
+    A hub's value travels once for each HUB_ROWS of its pairs, not with every pair.
+    """
+    hubs = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).alias("m")), f"{label}-hubs")
+    seats = lookup_join(pairs, hubs, ["a"], "inner").select("a", "b", F.pmod(F.xxhash64("b"), F.col("m")).alias("seat"))
+    members = seats.join(sets.select(F.col("id").alias("b"), "n", column), "b").select("a", "seat", "b", "n", column)
+    centres = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("seat")).join(sets.select(F.col("id").alias("a"), "n", column), "a")
+    rows = members.union(centres.select("a", "seat", F.lit(None).cast("long").alias("b"), "n", column))
 
-    return restrict(base, ids, "doc_id").select("doc_id", "text").mapInArrow(sets, "id long, hashes binary")
+    def check(table: pa.Table) -> pa.Table | None:
+        names, n, own = table.column("b").to_pylist(), table.column("n").to_pylist(), table.column(column).to_pylist()
+        good = [x for x, size, raw in zip(names, n, own, strict=True) if x is not None and linked(n[0], own[0], size, raw)]
+        return pa.table({"a": pa.array([table.column("a")[0].as_py()] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
+
+    return by_runs(rows, ["a", "seat"], [F.col("b").asc_nulls_first()], check, "a long, b long")
 
 
 def verified_pairs(base: DataFrame, pairs: DataFrame, threshold: float, k: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose sets reach the threshold.
 
-    ``base`` has one row for each id that occurs.  A hub's set travels once for each HUB_ROWS
-    of its pairs, not with every pair.
+    ``base`` has one row for each id that occurs.  Bitmaps of the sets rule out most pairs
+    that do not link, and no others; the sets themselves are compared for those that are left.
     """
     ship_package(base.sparkSession)
     percent = round(100 * threshold)
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     sets = materialize(set_table(base, ids, k), "sets")
-    hubs = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).alias("m")), "hubs")
-    seats = lookup_join(pairs, hubs, ["a"], "inner").select("a", "b", F.pmod(F.xxhash64("b"), F.col("m")).alias("seat"))
-    members = seats.join(sets.select(F.col("id").alias("b"), "hashes"), "b").select("a", "seat", "b", "hashes")
-    centres = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("seat")).join(sets.select(F.col("id").alias("a"), "hashes"), "a")
-    rows = members.union(centres.select("a", "seat", F.lit(None).cast("long").alias("b"), "hashes"))
 
-    def check(table: pa.Table) -> pa.Table | None:
-        names, own = table.column("b").to_pylist(), table.column("hashes").to_pylist()
-        hub, linked = np.frombuffer(own[0], "<u8"), []
-        for x, raw in zip(names, own, strict=True):
-            if x is None:
-                continue
-            other = np.frombuffer(raw, "<u8")
-            small, large = (hub, other) if len(hub) < len(other) else (other, hub)
-            if not len(small) or 100 * len(small) < percent * len(large):
-                continue
-            both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-            if 100 * both >= percent * (len(hub) + len(other) - both):
-                linked.append(x)
-        return pa.table({"a": pa.array([table.column("a")[0].as_py()] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
+    def enough(both: int, na: int, nb: int) -> bool:
+        return both > 0 and 100 * both >= percent * (na + nb - both)
 
-    return by_runs(rows, ["a", "seat"], [F.col("b").asc_nulls_first()], check, "a long, b long")
+    def may(na: int, a: bytes, nb: int, b: bytes) -> bool:
+        return enough(min(na, nb), na, nb) and enough(most_common(np.frombuffer(a, "<u8"), na, np.frombuffer(b, "<u8"), nb), na, nb)
+
+    def does(na: int, a: bytes, nb: int, b: bytes) -> bool:
+        small, large = sorted((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")), key=len)
+        return enough(int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()), na, nb)
+
+    possible = materialize(_with_hubs(pairs, sets, "bits", may, "bits"), "possible")
+    return _with_hubs(possible, sets, "hashes", does, "sets")
 
 
 def _expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -274,3 +274,13 @@ def test_hilbert_curve_visits_neighbours():
     keys = packing.hilbert_keys(cells, 3)
     assert sorted(keys.tolist()) == list(range(512))
     assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+def test_bitmaps_bound_intersections():
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([b, a[: rng.integers(0, len(a) + 1)]]))
+        words = [np.frombuffer(ngram_join.bit_signature(x), "<u8") for x in (a, b)]
+        bound, true = ngram_join.most_common(words[0], len(a), words[1], len(b)), len(np.intersect1d(a, b))
+        assert true <= bound <= min(len(a), len(b))
