@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 #: Rows up to which a table of keys (a few dozen bytes each) may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Rows of an Arrow batch, where the session has left that at its default.
+BATCH_ROWS = 2000
 #: Sorts before every document id; stands for a null id.
 NULL_ID = -(2**63)
 #: What separates words: the ASCII white space.
@@ -63,9 +65,11 @@ def drop_scratch(spark: SparkSession) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers that would not find it otherwise."""
+    """Makes this package importable in Python workers that would not find it otherwise, and Arrow batches small."""
     top = str(Path(__file__).resolve().parents[2])
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # texts are long: by default a batch may be hundreds of MB
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     known = os.environ.get("PYTHONPATH", "").split(":") + str(context.environment.get("PYTHONPATH", "")).split(":")
     if top in known or getattr(context, "_quillspark_shipped", False):
         return

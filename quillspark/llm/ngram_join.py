@@ -7,8 +7,8 @@ and size form one group; groups meet in the posting list of a prefix shingle, pa
 that fail the size or position bound are dropped, and the pairs left are expanded to
 members of different sets, whose Jaccard similarity is then computed on their full sets.
 
-Only components are asked for, so a long list is not paired with itself.  First its
-smallest group meets all others; when those links are components, a second pass pairs
+Only components are asked for, so a long list is not paired with itself.  First one
+of its groups, the one with the fewest rare shingles of its own, meets all others; when those links are components, a second pass pairs
 what the list still holds in different components.  Every link between different sets
 thus ends inside one component, and no list is squared unless its groups differ.
 
@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from .common import BROADCAST_ROWS, by_runs, connected_components, lookup_join,
 from .shingles import mix64, shingle_sets, stream64
 
 #: Hash slots in which shingle uses are counted, for the order alone.
-SLOT_BITS = 20
+SLOT_BITS = 22
 #: A list of up to so many groups is paired in full at once; blocks of a longer list in the second pass.
 SMALL_LIST, BLOCK = 8, 256
 #: Uses beyond which a shingle's postings are dealt to more than one task.
@@ -47,7 +48,7 @@ def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def slot_uses(base: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+def slot_uses(base: DataFrame, k: int) -> Broadcast:
     """Hash slots used far more than the average, ascending, with their uses.
 
     Each task counts the documents of all its shingles in 2**SLOT_BITS slots and reports those
@@ -56,21 +57,22 @@ def slot_uses(base: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
+        total = np.zeros(1 << SLOT_BITS, np.int32)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 sets = shingle_sets(batch.column("text").slice(lo, 1024), k)
-                if sets:
-                    total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+                own, times = np.unique((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int32), return_counts=True)
+                total[own] += times.astype(np.int32)
         hot = np.flatnonzero(total >= max(4, 4 * total.mean()))
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(hot, pa.int32()), "n": pa.array(total[hot], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(hot, pa.int32()), "n": pa.array(total[hot].astype(np.int64), pa.int64())})
 
     told = base.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n >= 16").toPandas()
     told = told.sort_values("slot")
-    return told["slot"].to_numpy(np.int64), told["n"].to_numpy(np.int64)
+    return base.sparkSession.sparkContext.broadcast((told["slot"].to_numpy(np.int64), told["n"].to_numpy(np.int64)))
 
 
-def _uses(hashes: np.ndarray, slots: np.ndarray, uses: np.ndarray) -> np.ndarray:
+def _uses(hashes: np.ndarray, table: Broadcast) -> np.ndarray:
+    slots, uses = table.value
     if not len(slots):
         return np.zeros(len(hashes), np.int64)
     own = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -81,7 +83,7 @@ def _uses(hashes: np.ndarray, slots: np.ndarray, uses: np.ndarray) -> np.ndarray
 _KEY = stream64(8, 31)
 
 
-def described(base: DataFrame, slots: np.ndarray, uses: np.ndarray, percent: int, k: int) -> DataFrame:
+def described(base: DataFrame, often: Broadcast, percent: int, k: int) -> DataFrame:
     """Per document: its set's size n, a 128-bit key of the set (k1, k2), its group and its prefix in order."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +95,9 @@ def described(base: DataFrame, slots: np.ndarray, uses: np.ndarray, percent: int
                     n = len(own)
                     p = prefix_length(n, percent) if n else 0
                     if n:
-                        often = _uses(own, slots, uses)
-                        rare = own[often == 0]
-                        head = rare[:p] if len(rare) >= p else own[np.lexsort((own, often))][:p]
+                        used = _uses(own, often)
+                        rare = own[used == 0]
+                        head = rare[:p] if len(rare) >= p else own[np.lexsort((own, used))][:p]
                         mixed = mix64(head * _KEY[0] + np.arange(p, dtype=np.uint64) * _KEY[1])
                         group.append(int(mix64(mixed.sum(keepdims=True) + np.full(1, n, np.uint64) * _KEY[2])[0].astype(np.int64)))
                         k1.append(int(mix64(own ^ _KEY[3]).sum().astype(np.int64)))
@@ -120,7 +122,7 @@ def _pack(tables: list[np.ndarray]) -> bytes:
     return np.concatenate(tables).tobytes()
 
 
-def posted(table: DataFrame, slots: np.ndarray, uses: np.ndarray, parts: int) -> DataFrame:
+def posted(table: DataFrame, often: Broadcast, parts: int) -> DataFrame:
     """Prefix postings as packed blocks, one row for each task and part; a group posts once a task."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +131,7 @@ def posted(table: DataFrame, slots: np.ndarray, uses: np.ndarray, parts: int) ->
 
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(held)
-            split = 1 + _uses(rows["token"], slots, uses) // SPLIT_USES
+            split = 1 + _uses(rows["token"], often) // SPLIT_USES
             part_of = (rows["token"] >> np.uint64(32)).astype(np.int64) * parts >> 32
             part_of = (part_of + mix64(rows["group"].astype(np.uint64)).astype(np.int64) % split) % parts
             order = np.argsort(part_of, kind="stable")
@@ -158,8 +160,8 @@ def posted(table: DataFrame, slots: np.ndarray, uses: np.ndarray, parts: int) ->
     return table.select("grp", "n", "prefix").mapInArrow(post, "part int, block binary").repartitionById(parts, F.col("part"))
 
 
-def paired(blocks: DataFrame, slots: np.ndarray, uses: np.ndarray, percent: int) -> DataFrame:
-    """Group pairs (a, b) of short lists and of each long list's smallest group; long lists also whole, as packed rows."""
+def paired(blocks: DataFrame, often: Broadcast, percent: int) -> DataFrame:
+    """Group pairs (a, b) of short lists and of each long list's first group; long lists also whole, as packed rows."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(x, _POSTING) for batch in batches for x in batch.column("block").to_pylist()]
@@ -168,14 +170,15 @@ def paired(blocks: DataFrame, slots: np.ndarray, uses: np.ndarray, percent: int)
             return
         rows = np.concatenate(tables)
         del tables
-        order = np.lexsort((rows["group"], rows["token"]))
+        # the first of a list has the fewest shingles before this one, so it is the least edited of its kind
+        order = np.lexsort((rows["group"], rows["pos"], rows["token"]))
         rows = rows[order]
         fresh = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["group"][1:] != rows["group"][:-1]))
         rows = rows[fresh]
         heads = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
         sizes = np.diff(np.append(heads, len(rows)))
         # a shingle dealt to several tasks is a long list, whatever part of it is here
-        long_ = np.flatnonzero((sizes > SMALL_LIST) | (_uses(rows["token"][heads], slots, uses) >= SPLIT_USES))
+        long_ = np.flatnonzero((sizes > SMALL_LIST) | (_uses(rows["token"][heads], often) >= SPLIT_USES))
         group, n, pos = rows["group"], rows["n"].astype(np.int64), rows["pos"].astype(np.int64)
         first, second = [], []
         for gap in range(1, SMALL_LIST):
@@ -187,7 +190,8 @@ def paired(blocks: DataFrame, slots: np.ndarray, uses: np.ndarray, percent: int)
             first.append(np.full(sizes[x] - 1, heads[x])), second.append(np.arange(heads[x] + 1, heads[x] + sizes[x]))
         i, j = np.concatenate(first), np.concatenate(second)
         good = _possible(n[i], pos[i], n[j], pos[j], percent)
-        pairs = np.unique(np.stack([group[i[good]], group[j[good]]], 1), axis=0)
+        x, y = group[i[good]], group[j[good]]
+        pairs = np.unique(np.stack([x, y], 1), axis=0)
         none = len(pairs)
         yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()), "token": pa.nulls(none, pa.int64()), "list": pa.nulls(none, pa.binary())}, schema)
         lo = 0
@@ -239,8 +243,11 @@ def _with_hubs(pairs: DataFrame, sets: DataFrame, column: str, linked: Callable[
     """
     hubs = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).alias("m")), f"{label}-hubs")
     seats = lookup_join(pairs, hubs, ["a"], "inner").select("a", "b", F.pmod(F.xxhash64("b"), F.col("m")).alias("seat"))
+    centres = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("seat"))
+    if pairs.count() <= BROADCAST_ROWS // 4:  # then the sets stay where they are until they go to their hub
+        seats, centres = F.broadcast(seats), F.broadcast(centres)
     members = seats.join(sets.select(F.col("id").alias("b"), "n", column), "b").select("a", "seat", "b", "n", column)
-    centres = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("seat")).join(sets.select(F.col("id").alias("a"), "n", column), "a")
+    centres = centres.join(sets.select(F.col("id").alias("a"), "n", column), "a")
     rows = members.union(centres.select("a", "seat", F.lit(None).cast("long").alias("b"), "n", column))
 
     def check(table: pa.Table) -> pa.Table | None:
@@ -292,14 +299,14 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> D
     ship_package(spark)
     percent = round(100 * threshold)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    slots, uses = slot_uses(base, k)
-    table = materialize(described(base, slots, uses, percent, k), "described")
+    often = slot_uses(base, k)
+    table = materialize(described(base, often, percent, k), "described")
     postings = table.agg(F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0))).first()[0]
     parts = max(shuffle_width(spark), int(postings * _POSTING.itemsize // TASK_BYTES) + 1)
 
     known = table.filter("n > 0 and doc_id is not null")
     members = materialize(known.groupBy("grp", "n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "members")
-    met = materialize(paired(posted(known, slots, uses, parts), slots, uses, percent), "met")
+    met = materialize(paired(posted(known, often, parts), often, percent), "met")
     crowded = members.groupBy("grp").agg(F.count("*").alias("c"), F.min("rep").alias("least")).filter("c > 1").select("grp", "least")
     inner = materialize(members.join(crowded, "grp").filter("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")), "inner")
     wide = met.filter("list is null").select("a", "b").distinct()
