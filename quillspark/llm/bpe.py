@@ -10,7 +10,6 @@ that of ``encode(text, add_special_tokens=False)``.
 
 from __future__ import annotations
 
-import json
 import os
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from .shingles import _SPACE, _STEP, _power_table, _slices, mix64, stream64, string_bytes
 
 #: Pieces remembered in a worker before the table starts afresh.
-PIECES = 1_200_000
+PIECES = 1_000_000
 _JOIN = 20_000
 
 _RAW = stream64(256, 3)
@@ -95,14 +94,13 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        special = [x for x in told["added_tokens"] if x["content"]]
-        self.special = [x["content"].encode() for x in special]
-        separators = [x for x in special if x["special"] and not x["lstrip"] and not x["rstrip"] and not x["single_word"]]
-        self.separator = separators[-1] if separators else None
+        special = [x for _, x in sorted(self.tokenizer.get_added_tokens_decoder().items()) if x.content]
+        self.special = [x.content.encode() for x in special]
+        separators = [x for x in special if x.special and not x.lstrip and not x.rstrip and not x.single_word]
+        self.separator = separators[-1].content if separators else None
+        self.separator_id = self.tokenizer.token_to_id(self.separator) if separators else -1
         #: White space belongs to the piece after it, or is dropped by the tokenizer.
-        self.spaces_matter = told.get("normalizer") is None
+        self.spaces_matter = self.tokenizer.normalizer is None
         self.size = self.tokenizer.get_vocab_size(True)
         self.table = PieceTable(pieces)
 
@@ -168,8 +166,8 @@ class PieceEncoder:
         joined = np.flatnonzero(~alone) if self.separator else np.zeros(0, np.int64)
         for lo in range(0, len(joined), _JOIN):
             part = joined[lo : lo + _JOIN]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.separator["content"].join(texts[i] for i in part)], add_special_tokens=False)[0].ids, np.uint32)
-            cut = np.flatnonzero(ids == self.separator["id"])
+            ids = np.array(self.tokenizer.encode_batch_fast([self.separator.join(texts[i] for i in part)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(ids == self.separator_id)
             if len(cut) != len(part) - 1:
                 raise ValueError("the tokenizer does not keep its special token apart")
             lo_, hi_ = np.append(0, cut + 1), np.append(cut, len(ids))

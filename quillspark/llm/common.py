@@ -7,6 +7,8 @@ outlive any executor.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 #: Rows up to which a table of keys (a few dozen bytes each) may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Rows of an Arrow batch, where the session has left that at its default.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: Sorts before every document id; stands for a null id.
 NULL_ID = -(2**63)
 #: What separates words: the ASCII white space.
@@ -84,6 +86,20 @@ def ship_package(spark: SparkSession) -> None:
     context._quillspark_shipped = True
 
 
+def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers give memory back to the system after each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -199,4 +215,4 @@ def by_runs(df: DataFrame, keys: list[str], order: list, work: Callable[[pa.Tabl
         if held is not None:
             yield from finished(held)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return arrow_map(df.repartition(*keys).sortWithinPartitions(*keys, *order), run, schema)

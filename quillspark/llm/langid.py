@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_training, materialize, restrict, ship_package, text_or_empty
+from .common import arrow_map, is_training, materialize, restrict, ship_package, text_or_empty
 from .shingles import _slices, mix64, stream64, string_bytes
 
 #: Bytes of an n-gram; least share of a language's n-grams; slots (a power of two) and hashes of the filters.
@@ -157,7 +157,7 @@ def learn(docs: DataFrame, share: float = SHARE, learned: int = LEARNED) -> Lang
         for lang, (keys, n) in known.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys)), "gram": pa.array(keys.astype(np.int64)), "n": pa.array(n)})
 
-    counts = materialize(chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    counts = materialize(arrow_map(chosen.select("lang", "text"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     whole = counts.groupBy("lang").agg(F.sum("n").alias("whole"))
     often = counts.join(F.broadcast(whole), "lang").filter(F.col("n") >= F.col("whole") * share).select("lang", "gram").toPandas()  # at most 1 / share for each language and n-gram size
     grams = {lang: own["gram"].to_numpy(np.uint32) for lang, own in often.groupby("lang")}
@@ -186,7 +186,7 @@ def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(score), "n_grams": pa.array(total), "has_letter": batch.column("has_letter")})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("has_letter", F.col("text").rlike(r"\p{L}"))
-    found = rows.mapInArrow(run, "doc_id long, lang_pred string, score double, n_grams long, has_letter boolean")
+    found = arrow_map(rows, run, "doc_id long, lang_pred string, score double, n_grams long, has_letter boolean")
     return found.withColumns({"lang_pred": F.when(F.col("has_letter"), F.col("lang_pred")).otherwise(UNKNOWN), "score": F.when(F.col("has_letter"), F.col("score")).otherwise(F.lit(0.0))})
 
 

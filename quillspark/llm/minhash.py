@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_column, connected_components, materialize, order_key, range_bounds, ship_package, shuffle_width, text_or_empty
+from .common import arrow_map, bucket_column, connected_components, materialize, order_key, range_bounds, ship_package, shuffle_width, text_or_empty
 from .shingles import shingle_rows, stream64
 
 #: Permutations in a fingerprint; the standard error of an estimate J is sqrt(J (1 - J) / PERMS).
@@ -110,7 +110,7 @@ def edited_fingerprints(docs: DataFrame, perms: int = PERMS, k: int = 5) -> Data
                     "near_edited": pa.array((signed[:stop] == edited_signed).mean(1)), "near_next": pa.array((signed[:stop] == signed[1 : stop + 1]).mean(1)),
                 })
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return arrow_map(dealt, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def banded_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERMS, bands: int = BANDS, k: int = 5) -> DataFrame:
@@ -133,7 +133,7 @@ def banded_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERM
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "sign": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in signed]), "empty": empty, "bands": pa.array(names, pa.list_(pa.string()))})
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id is not null")
-    signed = materialize(base.mapInArrow(sign, "doc_id long, sign string, empty boolean, bands array<string>"), "signed")
+    signed = materialize(arrow_map(base, sign, "doc_id long, sign string, empty boolean, bands array<string>"), "signed")
     classes = materialize(signed.filter("not empty").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "classes")
     bands_of = classes.select("rep", F.explode("bands").alias("band"))
     leaders = materialize(bands_of.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a"), "leaders")

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_runs, connected_components, lookup_join, materialize, restrict, ship_package, shuffle_width, text_or_empty
+from .common import arrow_map, BROADCAST_ROWS, by_runs, connected_components, lookup_join, materialize, restrict, ship_package, shuffle_width, text_or_empty
 from .shingles import mix64, shingle_sets, stream64
 
 #: Hash slots in which shingle uses are counted, for the order alone.
@@ -66,7 +66,7 @@ def slot_uses(base: DataFrame, k: int) -> Broadcast:
         hot = np.flatnonzero(total >= max(4, 4 * total.mean()))
         yield pa.RecordBatch.from_pydict({"slot": pa.array(hot, pa.int32()), "n": pa.array(total[hot].astype(np.int64), pa.int64())})
 
-    told = base.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n >= 16").toPandas()
+    told = arrow_map(base.select("text"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n >= 16").toPandas()
     told = told.sort_values("slot")
     return base.sparkSession.sparkContext.broadcast((told["slot"].to_numpy(np.int64), told["n"].to_numpy(np.int64)))
 
@@ -108,7 +108,7 @@ def described(base: DataFrame, often: Broadcast, percent: int, k: int) -> DataFr
                     sizes.append(n)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(sizes, pa.int64()), "k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "grp": pa.array(group, pa.int64()), "prefix": pa.array(prefixes, pa.binary())})
 
-    return base.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, grp long, prefix binary")
+    return arrow_map(base.select("doc_id", "text"), describe, "doc_id long, n long, k1 long, k2 long, grp long, prefix binary")
 
 
 def _possible(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
@@ -150,14 +150,14 @@ def posted(table: DataFrame, often: Broadcast, parts: int) -> DataFrame:
                 own["token"], own["group"], own["n"], own["pos"] = tokens, group, n, np.minimum(np.arange(len(tokens)), 65535)
                 held.append(own)
                 size += len(own)
-                if size > 2_000_000:
+                if size > 500_000:
                     yield flush()
                     held, size = [], 0
                     seen.clear()
         if held:
             yield flush()
 
-    return table.select("grp", "n", "prefix").mapInArrow(post, "part int, block binary").repartitionById(parts, F.col("part"))
+    return arrow_map(table.select("grp", "n", "prefix"), post, "part int, block binary").repartitionById(parts, F.col("part"))
 
 
 def paired(blocks: DataFrame, often: Broadcast, percent: int) -> DataFrame:
@@ -200,7 +200,7 @@ def paired(blocks: DataFrame, often: Broadcast, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": pa.nulls(len(part), pa.int64()), "b": pa.nulls(len(part), pa.int64()), "token": pa.array(rows["token"][heads[part]].astype(np.int64), pa.int64()), "list": pa.array([rows[heads[x] : heads[x] + sizes[x]].tobytes() for x in part], pa.binary())}, schema)
             lo += 256
 
-    return blocks.select("block").mapInArrow(pair, "a long, b long, token long, list binary")
+    return arrow_map(blocks.select("block"), pair, "a long, b long, token long, list binary")
 
 
 def bit_signature(own: np.ndarray) -> bytes:
@@ -233,7 +233,7 @@ def set_table(base: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 own = shingle_sets(part.column("text"), k)
                 yield pa.RecordBatch.from_pydict({"id": part.column("doc_id"), "n": pa.array([len(x) for x in own], pa.int64()), "bits": pa.array([bit_signature(x) for x in own], pa.binary()), "hashes": pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())})
 
-    return restrict(base, ids, "doc_id").select("doc_id", "text").mapInArrow(sets, "id long, n long, bits binary, hashes binary")
+    return arrow_map(restrict(base, ids, "doc_id").select("doc_id", "text"), sets, "id long, n long, bits binary, hashes binary")
 
 
 def _with_hubs(pairs: DataFrame, sets: DataFrame, column: str, linked: Callable[[int, bytes, int, bytes], bool], label: str) -> DataFrame:
@@ -326,7 +326,7 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> D
                 rows = np.frombuffer(raw, _POSTING)
                 yield pa.RecordBatch.from_pydict({"token": pa.array(np.full(len(rows), token), pa.int64()), "grp": pa.array(rows["group"], pa.int64()), "n": pa.array(rows["n"], pa.int64()), "pos": pa.array(rows["pos"], pa.int64())})
 
-    entries = lookup_join(lists.mapInArrow(unpack, "token long, grp long, n long, pos long"), of_group, ["grp"], "inner")
+    entries = lookup_join(arrow_map(lists, unpack, "token long, grp long, n long, pos long"), of_group, ["grp"], "inner")
     entries = materialize(entries, "entries")
     open_ = entries.groupBy("token").agg(F.count("*").alias("size"), (F.min("c") != F.max("c")).alias("several"), F.max("mixed").alias("mixed")).filter("several or mixed")
     open_ = materialize(open_.select("token", F.ceil(F.col("size") / BLOCK).alias("blocks")), "open")

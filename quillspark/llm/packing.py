@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, with_end_ids
-from .common import NULL_ID, materialize, restrict, ship_package, shuffle_width, text_or_empty
+from .common import arrow_map, NULL_ID, materialize, restrict, ship_package, shuffle_width, text_or_empty
 from .shingles import mix64, stream64
 
 #: Dimensions and bits of each on the curve, and documents sampled for ranks and cuts.
@@ -114,7 +114,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
     drawn = materialize(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct(), "drawn")
-    seen = restrict(base, drawn, "doc_id").mapInArrow(locate, "doc_id long, " + ", ".join(f"c{d} double" for d in range(DIMS))).toPandas().sort_values("doc_id")
+    seen = arrow_map(restrict(base, drawn, "doc_id"), locate, "doc_id long, " + ", ".join(f"c{d} double" for d in range(DIMS))).toPandas().sort_values("doc_id")
     coords = seen[[f"c{d}" for d in range(DIMS)]].to_numpy()
     cells = 1 << BITS
     ladders = np.stack([np.quantile(coords[:, d], np.arange(1, cells) / cells) for d in range(DIMS)]) if len(coords) else np.zeros((DIMS, cells - 1))
@@ -135,7 +135,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
                 blobs = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, offsets, pa.py_buffer(raw)]).cast(pa.binary())
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "key": pa.array(key), "part": pa.array(np.searchsorted(cuts, key).astype(np.int32)), "wide": pa.array([width.itemsize] * len(counts), pa.int32()), "ids": blobs})
 
-    dealt = base.mapInArrow(encode_rows, "doc_id long, key long, part int, wide int, ids binary").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("key", F.col("doc_id").asc_nulls_first(), "ids").select("doc_id", "wide", "ids")
+    dealt = arrow_map(base, encode_rows, "doc_id long, key long, part int, wide int, ids binary").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("key", F.col("doc_id").asc_nulls_first(), "ids").select("doc_id", "wide", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
@@ -194,4 +194,4 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
         if done:
             yield table(done)
 
-    return dealt.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_ids long, ids binary")
+    return arrow_map(dealt, cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_ids long, ids binary")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_training, materialize, restrict, ship_package, text_or_empty
+from .common import arrow_map, is_training, materialize, restrict, ship_package, text_or_empty
 from .shingles import _SPACE, _slices, _word_hashes, string_bytes
 
 #: Most trusted positives and unlabelled documents to learn from: those of smallest hash.
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "x": pa.array([x.tobytes() for x in features(batch.column("text"))], pa.binary())})
 
-    measured = chosen.mapInArrow(measure, "doc_id long, x binary").join(F.broadcast(drawn), "doc_id").toPandas().sort_values("doc_id").drop_duplicates("doc_id")  # at most positives + unlabelled rows
+    measured = arrow_map(chosen, measure, "doc_id long, x binary").join(F.broadcast(drawn), "doc_id").toPandas().sort_values("doc_id").drop_duplicates("doc_id")  # at most positives + unlabelled rows
     x = np.stack([np.frombuffer(v, np.float32) for v in measured["x"]]) if len(measured) else np.zeros((0, N_FEATURES), np.float32)
     return train(x[(measured["trusted"] == 1).to_numpy(bool)], x[(measured["other"] == 0).to_numpy(bool)], prior)
 
@@ -161,6 +161,6 @@ def score_documents(docs: DataFrame, network: Network) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(network.score(features(batch.column("text"))).astype(np.float64))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = arrow_map(rows, run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, with_end_ids
-from .common import bucket_column, order_key, range_bounds, scratch_path, ship_package, shuffle_width, text_or_empty
+from .common import arrow_map, bucket_column, order_key, range_bounds, scratch_path, ship_package, shuffle_width, text_or_empty
 
 #: Ids in a shard before its last document.
 SHARD_IDS = 1 << 20
@@ -225,7 +225,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
         if held:
             yield flush()
 
-    dealt.select("doc_id", "text").mapInArrow(pack, SHARD_SCHEMA).write.parquet(path)
+    arrow_map(dealt.select("doc_id", "text"), pack, SHARD_SCHEMA).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -244,7 +244,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * b : 4 * e]) for b, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]] * len(crc), pa.int32()), "doc_id": pa.array(shard.doc_ids, pa.int64()), "inner": pa.array(starts + row["first"], pa.int64()), "n_tokens": pa.array(shard.counts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    docs = shards.mapInArrow(decode, "part int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    docs = arrow_map(shards, decode, "part int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     # one row for each range of ids, so this window and this broadcast are as small as the number of partitions
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as before")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_runs, connected_components, lookup_join, materialize, ship_package
+from .common import arrow_map, by_runs, connected_components, lookup_join, materialize, ship_package
 
 #: Vectors that a cell should hold, most pivots, vectors sampled for pivots, vectors in a block.
 CELL, MOST_PIVOTS, SAMPLE, BLOCK = 2048, 1024, 20_000, 1024
@@ -54,7 +54,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
     rows = vectors.filter("vec_id is not null and label is not null and embedding is not null")
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(normalise, "vec_id long, label string, dims int, unit binary")
+    return arrow_map(rows, normalise, "vec_id long, label string, dims int, unit binary")
 
 
 def choose_pivots(units: DataFrame, count: int) -> dict[int, np.ndarray]:
@@ -99,7 +99,7 @@ def range_links(vectors: DataFrame, cosine: float = 0.98) -> tuple[DataFrame, Da
                     cell[own], far[own] = gaps.argmin(1), gaps.min(1)
             yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "label": batch.column("label"), "dims": batch.column("dims"), "cell": pa.array(cell, pa.int32()), "far": pa.array(far)})
 
-    homes = materialize(units.mapInArrow(home, "vec_id long, label string, dims int, cell int, far double"), "homes")
+    homes = materialize(arrow_map(units, home, "vec_id long, label string, dims int, cell int, far double"), "homes")
     cells = homes.groupBy("dims", "cell").agg(F.max("far").alias("radius"))
     radius = {(r["dims"], r["cell"]): r["radius"] for r in cells.collect()}  # one row for each pivot
     radii = {d: np.array([radius.get((d, c), -np.inf) for c in range(len(p))]) for d, p in pivots.items()}
@@ -127,7 +127,7 @@ def range_links(vectors: DataFrame, cosine: float = 0.98) -> tuple[DataFrame, Da
                 out = part.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cells_), pa.int32()), pa.array(np.concatenate(guests), pa.int32())], [*out.schema.names, "cell", "guest"])
 
-    sent = materialize(units.mapInArrow(visit, "vec_id long, label string, dims int, unit binary, cell int, guest int"), "sent")
+    sent = materialize(arrow_map(units, visit, "vec_id long, label string, dims int, unit binary, cell int, guest int"), "sent")
     room = F.xxhash64("label", "dims", "cell").alias("room")
     sent = sent.withColumn("room", room)
     blocks = sent.groupBy("room", "guest").agg(F.ceil(F.count("*") / BLOCK).alias("m"))
