@@ -1,15 +1,170 @@
-"""All queries of the engine, with their SQL twins."""
+"""All queries of the engine over the driver's tables or small literal tables, with their SQL twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import tokens as T
+from .operators import catalogue, overlap, retrieval, scoring, segments, sessions, stats
+from .plans.literals import Literal
+from .sources import markup
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# literal tables
+
+TOKENS = Literal("t", "id int, text string, expected string", ((1, "cost", "cost"), (2, "first principles", "first principles"), (3, "SpaceX", "spacex"), (4, "主要矛盾", "主要 要矛 矛盾"), (5, "AI 效率", "ai 效率"), (6, "抓总的、主要的", "抓总 总的 主要 要的"), (7, "道", "道"), (8, "a-b c/d", "a-b c/d")))
+MARKDOWN = Literal("t", "doc_id long, text string", ((1, "# One\nfirst line\nsecond line\n\n- item a\n- item b\n## Two\n```\n# no heading\ncode\n```\nlast"), (2, "no heading\n# A\n### C\ntext\n## B\ntext"), (3, "")))
+ELEMENTS = Literal("e", "doc_id long, seq long, type string, path string, text string", (
+    (1, 0, "heading", "One", "# One"), (1, 1, "paragraph", "One", "first line\nsecond line"), (1, 2, "list", "One", "- item a"), (1, 3, "list", "One", "- item b"), (1, 4, "heading", "One / Two", "## Two"), (1, 5, "code", "One / Two", "```\n# no heading\ncode\n```"), (1, 6, "paragraph", "One / Two", "last"),
+    (2, 0, "paragraph", "", "no heading"), (2, 1, "heading", "A", "# A"), (2, 2, "heading", "A / C", "### C"), (2, 3, "paragraph", "A / C", "text"), (2, 4, "heading", "A / B", "## B"), (2, 5, "paragraph", "A / B", "text"),
+))
+CASES = Literal("cases", "case_id string, target string, sibling string", (("t-01", "a", "b"), ("t-02", "b", "a"), ("t-03", "a", "b"), ("t-04", "b", "a"), ("d-01", None, None), ("d-02", None, None)))
+ANSWERS = Literal("answers", "case_id string, selected string", (("t-01", "a"), ("t-02", " a "), ("t-03", "a"), ("t-04", "b"), ("d-01", "None"), ("d-02", "b")))
+SCORES = Literal("s", "subject string, score double", (("p", 95.0), ("p", 91.0), ("q", 95.0), ("q", 83.0), ("r", 95.0), ("r", 85.0), ("s", 95.0), ("t", None), ("u", 130.0), ("u", 90.0)))
+GRADES = Literal("g", "subject string, grader string, dimension string, score int", tuple((s, g, d, v) for s, g, vs in (("x", "g1", (28, 19, 19, 12, 15)), ("x", "g2", (27, 18, 19, 11, 14)), ("y", "g1", (30, 20, 20, 15, 15)), ("y", "g2", (22, 14, 15, 11, 12)), ("z", "g1", (20, 10, 9, 8, 7))) for d, v in zip(("consistency", "style", "edge_honesty", "source_transparency", "structure"), vs, strict=True)))
+HITS = Literal("h", "subject string, run int, arm string, hit boolean", tuple((s, i, arm, i < n) for s, a, b in (("m", 3, 0), ("n", 2, 1), ("o", 1, 1)) for arm, n in (("with", a), ("without", b)) for i in range(3)))
+REVIEWS = Literal("r", "card string, reviewer_type string, grade string, fabricated boolean", (("c1", "cross_model", "A", False), ("c1", "self", "A", False), ("c2", "human", "none", False), ("c2", "human", "B", True), ("c3", "human", "B", False)))
+CARDS = Literal("c", "slug string, description string, src string, bundle string, promoted boolean, trigger_ready boolean", (("good-card", "A description that is long enough to say what this is for.", "cards/a.md", "k", True, True), ("Bad_Slug", "short", "../b.md", "k", True, True), ("twin", None, "/c.md", "k", True, True), ("twin", "Another description that is long enough to pass the rule.", "d/e.md", "l", False, True)))
+RELATIONS = Literal("rel", "slug string, target string, relation string", (("good-card", "twin", "contrasts_with"), ("twin", "good-card", "contrasts_with"), ("twin", "missing", "depends_on")))
+FAILURES = Literal("f", "category string, severity string", (("locator", "P0"), ("locator", "P1"), ("locator", "P1"), ("cjk", "P0")))
+SUBTITLES = Literal("t", "file string, text string", (("a.srt", "1\n00:00:00,000 --> 00:00:02,000\nHello <b>there</b>\n\n2\n00:00:02,500 --> 00:00:04,000\n...\n\n3\n00:00:05,000 --> 00:00:06,500\nsecond\nline"), ("b.vtt", "WEBVTT\n\n01:02.300 --> 01:03.000\nno hours")))
+CUES = Literal("t", "file string, idx long, start_ms long, end_ms long, text string", (("a", 1, 0, 1000, "one two"), ("a", 2, 3500, 4000, "at the limit"), ("a", 3, 6501, 7000, "one above"), ("a", 4, 7100, 7200, "x" * 420), ("a", 5, 7300, 7400, "y")))
+MARKED = Literal("t", "src string, text string", (("s1", "intro\n[00:00:01] first\nmore\n\n[00:00:09.5] second"), ("s2", "no marks")))
+MATTER = Literal("t", "card string, text string", (("k1", "---\nname: one\ndescription: two words\n---\nbody\nname: not this"), ("k2", "no front matter")))
+USES = Literal("t", "id int, text string", ((1, "适用：plan a trip；plan a trip；cook well。no"), (2, "only this one use"), (3, "")))
+RATIOS = Literal("t", "id int, text string", ((1, "[一手] a [二手] b [一手] c [一手]"), (2, "nothing")))
+
+
+def _shingle_sql(words: str, n: int) -> str:
+    return f"list_distinct(list_transform(range(0, len({words}) - {n - 1}), lambda i: array_to_string({words}[i + 1 : i + {n}], ' ')))"
+
+
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}'']+')"
+_GRAMS = "CASE WHEN length(b) = 0 THEN [] WHEN length(b) <= 3 THEN [b] ELSE list_distinct(list_transform(range(1, length(b) - 1), lambda i: substr(b, i, 3))) END"
+_BARE = r"regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', '', 'g')"
+_UNITS = r"len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9'']+')) + len(regexp_extract_all(coalesce(text, ''), '[\x{4E00}-\x{9FFF}]'))"
+_ESTIMATE = r"CAST(floor(len(regexp_extract_all(coalesce(text, ''), '[\x{4E00}-\x{9FFF}]')) + (length(coalesce(text, '')) - len(regexp_extract_all(coalesce(text, ''), '[\x{4E00}-\x{9FFF}]'))) * 0.35::DOUBLE) AS BIGINT)"
+_SENTENCES = r"""WITH raw AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '[.!?。！？\n]+', chr(1), 'g'), chr(1))) AS text FROM documents),
+w AS (SELECT doc_id, """ + _WORDS + """ AS w FROM raw), s AS (SELECT DISTINCT doc_id, array_to_string(w, ' ') AS sentence FROM w WHERE len(w) >= 8)"""
+_COVERAGE = f"""WITH own AS (SELECT doc_id, {_BARE} AS b FROM documents WHERE {_UNITS} >= 8), g AS (SELECT doc_id, {_GRAMS} AS g FROM own),
+card AS (SELECT DISTINCT unnest({_GRAMS}) AS gram FROM (SELECT {_BARE} AS b FROM benchmark)),
+u AS (SELECT doc_id, unnest(g) AS gram FROM g), hits AS (SELECT doc_id, count(*) AS hit FROM u WHERE gram IN (SELECT gram FROM card) GROUP BY doc_id),
+cov AS (SELECT g.doc_id, CAST(len(g) AS BIGINT) AS grams, coalesce(hit, 0) AS hit FROM g LEFT JOIN hits USING (doc_id))"""
+
+QUERIES: dict[str, tuple[Query, str | None]] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = (query, sql)
+
+
+_add("overlap_containment", lambda s, d: overlap.containment(_table(s, d, "documents"), _table(s, d, "benchmark")), f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark), s AS (SELECT doc_id, {_shingle_sql("w", 8)} AS s FROM d),
+k AS (SELECT DISTINCT unnest({_shingle_sql("w", 8)}) AS x FROM b), u AS (SELECT doc_id, unnest(s) AS x FROM s), h AS (SELECT doc_id, count(*) AS n FROM u WHERE x IN (SELECT x FROM k) GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(n, 0) AS n_shared, CASE WHEN len(s) = 0 THEN 'TOO_SHORT' WHEN coalesce(n, 0) > len(s) * 0.005::DOUBLE THEN 'FAIL' ELSE 'PASS' END AS verdict FROM s LEFT JOIN h USING (doc_id)""")
+_add("repeated_sentences", lambda s, d: overlap.repeated_sentences(_table(s, d, "documents")), _SENTENCES + """, m AS (SELECT sentence FROM s GROUP BY sentence HAVING count(*) > 1)
+SELECT doc_id, count(*) AS n_repeated FROM s WHERE sentence IN (SELECT sentence FROM m) GROUP BY doc_id""")
+_add("quote_best_segment", lambda s, d: overlap.best_segments(_table(s, d, "benchmark"), _table(s, d, "documents")), f"""
+WITH q AS (SELECT item_id, {_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS} AS w FROM documents), qs AS (SELECT item_id, {_shingle_sql("w", 5)} AS s FROM q),
+qu AS (SELECT item_id, CAST(len(s) AS BIGINT) AS total, unnest(s) AS x FROM qs), du AS (SELECT doc_id, unnest({_shingle_sql("w", 5)}) AS x FROM d),
+sh AS (SELECT item_id, total, doc_id, count(*) AS shared FROM qu JOIN du USING (x) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM sh)
+SELECT item_id, doc_id, shared, total, CAST(rank AS INTEGER) AS rank, CASE WHEN shared * 10 >= total * 6 THEN 'HIT' WHEN shared * 10 >= total * 4 THEN 'PARTIAL' ELSE 'MISS' END AS verdict FROM r WHERE rank <= 3""")
+_add("coverage_audit", lambda s, d: overlap.coverage(_table(s, d, "documents"), _table(s, d, "benchmark")), _COVERAGE + " SELECT doc_id, grams, hit FROM cov")
+_add("coverage_sensitivity", lambda s, d: overlap.sensitivity(overlap.coverage(_table(s, d, "documents"), _table(s, d, "benchmark"))), _COVERAGE + """
+SELECT CAST(p AS INTEGER) AS percent, count(*) AS texts, CAST(sum(CASE WHEN hit * 100 >= grams * p THEN 1 ELSE 0 END) AS BIGINT) AS covered FROM cov, unnest([50, 55, 60, 65, 70, 75, 80]) AS t(p) GROUP BY p""")
+
+_QUERY = ["with", "from"]
+_LEX = r'''regexp_extract_all(lower(coalesce(text, '')), '[^，。、；：？！（）()【】《》,.;:?!" \t\r\n'']+')'''
+_BM25 = f"""WITH d AS (SELECT doc_id, {_LEX} AS t FROM documents), r AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = 'with')) AS f0, len(list_filter(t, lambda x: x = 'from')) AS f1 FROM d),
+st AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM r),
+sc AS (SELECT doc_id, greatest(0.000001, ln((n - n0 + 0.5) / (n0 + 0.5))) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / m)) + greatest(0.000001, ln((n - n1 + 0.5) / (n1 + 0.5))) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * l / m)) AS score FROM r, st WHERE f0 > 0 AND f1 > 0),
+top AS (SELECT doc_id, score FROM sc ORDER BY score DESC, doc_id LIMIT 5)"""
+_add("bm25_matches", lambda s, d: retrieval.bm25(_table(s, d, "documents"), _QUERY).select("doc_id", F.round("score", 4).alias("score")), _BM25 + " SELECT doc_id, round(score, 4) AS score FROM sc")
+_add("bm25_topk", lambda s, d: retrieval.top_k(retrieval.bm25(_table(s, d, "documents"), _QUERY)).select("doc_id"), _BM25 + " SELECT doc_id FROM top")
+_add("bm25_neighbours", lambda s, d: retrieval.neighbours(retrieval.top_k(retrieval.bm25(_table(s, d, "documents"), _QUERY)), _table(s, d, "documents"), 2), _BM25 + " SELECT top.doc_id, x.doc_id AS near FROM top JOIN documents x ON x.doc_id <> top.doc_id AND abs(x.doc_id - top.doc_id) <= 2")
+_add("postings_stats", lambda s, d: retrieval.postings(_table(s, d, "documents")).groupBy("doc_id", "length").agg(F.count("*").alias("terms"), F.max("tf").alias("most")), f"WITH d AS (SELECT doc_id, {_LEX} AS t FROM documents), u AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM d), p AS (SELECT doc_id, length, term, count(*) AS tf FROM u GROUP BY ALL) SELECT doc_id, CAST(length AS BIGINT) AS length, count(*) AS terms, max(tf) AS most FROM p GROUP BY doc_id, length")
+_add("grep_documents", lambda s, d: retrieval.grep(_table(s, d, "documents"), "The and"), "SELECT DISTINCT doc_id FROM documents WHERE contains(source, 'The and') OR contains(lower(text), 'the and')")
+
+
+def _quality(s: SparkSession, d: str) -> DataFrame:
+    docs = _table(s, d, "documents")
+    found = retrieval.grep(docs, "with").select(F.lit("with").alias("query"), "doc_id")
+    truth = docs.filter(F.array_contains(T.lexical_tokens(F.col("text")), "with")).select(F.lit("with").alias("query"), "doc_id")
+    return retrieval.retrieval_quality(found, truth)
+
+
+_add("retrieval_quality", _quality, f"""WITH f AS (SELECT doc_id FROM documents WHERE contains(source, 'with') OR contains(lower(text), 'with')), t AS (SELECT doc_id FROM documents WHERE list_contains({_LEX}, 'with'))
+SELECT 'with' AS query, count(*) FILTER (f.doc_id IS NOT NULL AND t.doc_id IS NOT NULL) AS tp, count(*) FILTER (t.doc_id IS NULL) AS fp, count(*) FILTER (f.doc_id IS NULL) AS fn FROM f FULL JOIN t ON f.doc_id = t.doc_id""")
+_add("document_stats", lambda s, d: stats.document_stats(_table(s, d, "documents")), f"SELECT doc_id, CAST({_UNITS} AS BIGINT) AS units, {_ESTIMATE} AS tokens, 'en' AS family FROM documents")
+_add("token_totals", lambda s, d: stats.token_totals(_table(s, d, "documents")), f"WITH t AS (SELECT source, {_ESTIMATE} AS t FROM documents) SELECT source, count(*) AS files, min(t) AS fewest, max(t) AS most, CAST(sum(t) AS BIGINT) AS tokens FROM t GROUP BY source")
+_add("secret_documents", lambda s, d: stats.secret_documents(_table(s, d, "documents")), r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)(api_?key|token|secret|password)\s*[:=]\s*["''][^"'']{8,}["'']')) AS BIGINT) AS n_secrets FROM documents WHERE regexp_matches(text, '(?i)(api_?key|token|secret|password)\s*[:=]\s*["''][^"'']{8,}["'']')""")
+_add("expression_stats", lambda s, d: stats.expression_stats(_table(s, d, "documents")), r"""WITH raw AS (SELECT lang, length(trim(unnest(string_split(regexp_replace(coalesce(text, ''), '[.!?。！？\n]+', chr(1), 'g'), chr(1))))) AS n FROM documents)
+SELECT lang, count(*) AS sentences, CAST(sum(n) AS BIGINT) AS chars, min(n) AS shortest, max(n) AS longest, CAST(sum(n * n) AS BIGINT) AS squares, CASE WHEN sum(n) >= 3000 THEN 'ok' ELSE 'insufficient' END AS state FROM raw WHERE n > 0 GROUP BY lang""")
+_add("filler_documents", lambda s, d: _table(s, d, "documents").filter(stats.filler(F.coalesce("text", F.lit("")))).select("doc_id"), rf"SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i)^\s*\((laughter|applause|music)\)|^\s*thank you') OR {_UNITS} < 8")
+_add("page_text", lambda s, d: markup.page_text(_table(s, d, "pages")), r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""")
+_add("gap_sessions", lambda s, d: sessions.gap_sessions(_table(s, d, "events").select("user_id", "ts", F.col("event_id").alias("tie")), "user_id", "ts", F.expr("interval 6 hours")), """
+WITH o AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w > interval 6 hours OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM o) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first, max(ts) AS last FROM s GROUP BY user_id, session""")
+_add("speakers", lambda s, d: sessions.speakers(_table(s, d, "conversations").select(F.concat_ws(": ", "role", "text").alias("text"))), "SELECT role AS speaker, count(*) AS n FROM conversations GROUP BY role HAVING count(*) >= 2")
+
+
+def _versions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = _table(s, d, "documents").select("doc_id", "text")
+    new = docs.filter("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return docs.filter("doc_id % 11 <> 0"), new
+
+
+_add("version_diff", lambda s, d: catalogue.version_diff(*_versions(s, d)), "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'additive' WHEN doc_id % 7 = 0 THEN 'deletion' WHEN doc_id % 5 = 0 AND text IS NOT NULL THEN 'modified' ELSE 'unchanged' END AS change FROM documents WHERE NOT (doc_id % 11 = 0 AND doc_id % 7 = 0)")
+
+
+def _manifest(s: SparkSession, d: str) -> DataFrame:
+    old, new = (x.select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")) for x in _versions(s, d))
+    return catalogue.manifest_drift(old, new)
+
+
+_add("manifest_drift", _manifest, "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 = 0 THEN 'deleted' ELSE 'changed' END AS state FROM documents WHERE doc_id % 11 <> 0 AND (doc_id % 7 = 0 OR doc_id % 5 = 0 AND text IS NOT NULL)")
+_add("label_agreement", lambda s, d: _table(s, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n")), "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic")
+
+_add("lexical_tokens", lambda s, d: TOKENS.df(s).select("id", F.array_join(T.lexical_tokens(F.col("text")), " ").alias("tokens")), f"WITH {TOKENS.cte} SELECT CAST(id AS INTEGER) AS id, expected AS tokens FROM t")
+_add("markdown_elements", lambda s, d: segments.elements(MARKDOWN.df(s)), f"WITH {ELEMENTS.cte} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(seq AS BIGINT) AS seq, type, path, text FROM e")
+_add("packed_chunks", lambda s, d: segments.chunks(segments.elements(MARKDOWN.df(s)), 40))
+_add("document_chunks", lambda s, d: segments.chunks(_table(s, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "text")).select("doc_id", F.col("seq").cast("long").alias("seq"), F.lit("paragraph").alias("type"), F.lit("").alias("path"), "text"), 1000))
+_add("trigger_metrics", lambda s, d: scoring.trigger_metrics(CASES.df(s), ANSWERS.df(s)), "SELECT 3::BIGINT AS tp, 1::BIGINT AS fp, 1::BIGINT AS fn, 1::BIGINT AS sibling_confusion, 4::BIGINT AS passed, 6::BIGINT AS cases")
+_add("normal_answers", lambda s, d: ANSWERS.df(s).select("case_id", scoring.normal_answer(F.col("selected")).alias("answer")), f"WITH {ANSWERS.cte} SELECT case_id, CASE WHEN lower(trim(selected)) IN ('none', 'null', 'nil', 'n/a', 'na', '-', '', '无', '不适用') THEN NULL ELSE trim(selected) END AS answer FROM answers")
+_add("cross_review", lambda s, d: scoring.cross_review(SCORES.df(s)), f"""WITH {SCORES.cte}, b AS (SELECT subject, count(score) AS scorers, max(score) - min(score) AS spread, bool_or(score < 0 OR score > 100) AS bad FROM s GROUP BY subject)
+SELECT subject, scorers, CAST(spread AS DOUBLE) AS spread, CASE WHEN scorers = 0 OR bad THEN 'error' WHEN scorers < 2 THEN 'insufficient_scorers' WHEN spread > 10 THEN 'needs_human_review' ELSE 'pass' END AS verdict, coalesce(scorers >= 2 AND abs(spread - 10) <= 1, false) AS fragile FROM b""")
+_add("merged_grades", lambda s, d: scoring.merged_grades(GRADES.df(s)), f"""WITH {GRADES.cte}, dim AS (SELECT subject, dimension, CAST(round_even(avg(score), 0) AS BIGINT) AS p FROM g GROUP BY ALL), t AS (SELECT subject, CAST(sum(p) AS BIGINT) AS total FROM dim GROUP BY subject),
+o AS (SELECT subject, count(*) AS graders, CAST(max(t) - min(t) AS BIGINT) AS gap FROM (SELECT subject, grader, sum(score) AS t FROM g GROUP BY ALL) GROUP BY subject)
+SELECT subject, total, graders, gap, CASE WHEN total >= 85 THEN 'A' WHEN total >= 70 THEN 'B' WHEN total >= 55 THEN 'C' ELSE 'D' END AS grade, CASE WHEN graders < 2 THEN 'insufficient' WHEN gap > 10 THEN 'rejected' ELSE 'pass' END AS verdict FROM t JOIN o USING (subject)""")
+_add("utility_gain", lambda s, d: scoring.utility(HITS.df(s)), f"""WITH {HITS.cte}, b AS (SELECT subject, count(*) FILTER (arm = 'with' AND hit) AS with_card, count(*) FILTER (arm = 'without' AND hit) AS without_card FROM h GROUP BY subject)
+SELECT *, with_card - without_card AS delta, CASE WHEN with_card - without_card >= 2 AND with_card >= 3 AND without_card <= 1 THEN 'significant' WHEN with_card - without_card >= 1 THEN 'moderate' ELSE 'none' END AS level FROM b""")
+_add("review_ledger", lambda s, d: scoring.review_ledger(REVIEWS.df(s)), f"WITH {REVIEWS.cte} SELECT card, count(*) AS reviews, count(*) FILTER (NOT fabricated AND grade <> 'none' AND reviewer_type IN ('cross_model', 'human')) AS valid, count(*) FILTER (NOT fabricated AND grade <> 'none' AND reviewer_type IN ('cross_model', 'human')) >= 1 AS independent FROM r GROUP BY card")
+_add("output_strategy", lambda s, d: scoring.output_strategy(CARDS.df(s)), f"WITH {CARDS.cte} SELECT bundle, count(*) AS cards, count(*) FILTER (promoted AND trigger_ready) AS ready, CASE WHEN count(*) FILTER (promoted AND trigger_ready) >= 3 THEN 'pack' ELSE 'single' END AS strategy, count(*) > 8 AS over_budget FROM c GROUP BY bundle")
+_add("failure_counts", lambda s, d: scoring.failure_counts(FAILURES.df(s)), f"WITH {FAILURES.cte} SELECT category, severity, count(*) AS n FROM f GROUP BY ALL")
+_add("bundle_rules", lambda s, d: catalogue.bundle_rules(CARDS.df(s)), f"""WITH {CARDS.cte} SELECT slug, 'bad_slug' AS rule FROM c WHERE NOT regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$') UNION ALL SELECT slug, CASE WHEN length(coalesce(description, '')) = 0 THEN 'no_description' ELSE 'short_description' END FROM c WHERE length(coalesce(description, '')) < 40
+UNION ALL SELECT slug, 'escaping_src' FROM c WHERE src LIKE '/%' OR src LIKE '../%' UNION ALL SELECT slug, 'duplicate_slug' FROM c GROUP BY slug HAVING count(*) > 1""")
+_add("dependencies", lambda s, d: catalogue.dependencies(RELATIONS.df(s), CARDS.df(s)), f"WITH {RELATIONS.cte}, {CARDS.cte} SELECT slug, target, relation, CASE WHEN target IN (SELECT slug FROM c) THEN 'edge' ELSE 'orphan' END AS state FROM rel")
+_add("impact", lambda s, d: catalogue.impact(RELATIONS.df(s), "twin"), f"WITH {RELATIONS.cte} SELECT DISTINCT slug FROM rel WHERE target = 'twin'")
+_add("subtitles", lambda s, d: markup.subtitles(SUBTITLES.df(s)), "SELECT * FROM (VALUES ('a.srt', 1::BIGINT, 0::BIGINT, 2000::BIGINT, 'Hello there'), ('a.srt', 2, 5000, 6500, 'second line'), ('b.vtt', 1, 62300, 63000, 'no hours')) AS v(file, idx, start_ms, end_ms, text)")
+_add("capped_sessions", lambda s, d: sessions.capped_sessions(CUES.df(s)), "SELECT * FROM (VALUES ('a', 0::BIGINT, 0::BIGINT, 4000::BIGINT, 20::BIGINT, 2::BIGINT), ('a', 1, 6501, 7000, 9, 1), ('a', 2, 7100, 7200, 420, 1), ('a', 3, 7300, 7400, 1, 1)) AS v(file, para, start_ms, end_ms, chars, cue_count)")
+_add("time_segments", lambda s, d: markup.time_segments(MARKED.df(s)), "SELECT * FROM (VALUES ('s1', 0::BIGINT, '00:00:01', 'first more'), ('s1', 1, '00:00:09.5', 'second')) AS v(src, seg_no, mark, text)")
+_add("front_matter", lambda s, d: markup.front_matter(MATTER.df(s)), "SELECT * FROM (VALUES ('k1', 'name', 'one'), ('k1', 'description', 'two words')) AS v(card, key, value)")
+_add("use_cases", lambda s, d: USES.df(s).select("id", F.array_join(catalogue.use_cases(F.col("text")), "|").alias("uses")), "SELECT * FROM (VALUES (1::INTEGER, 'plan a trip|cook well'), (2, 'only this one use'), (3, '')) AS v(id, uses)")
+_add("source_ratio", lambda s, d: RATIOS.df(s).select("id", catalogue.source_ratio(F.col("text")).alias("ratio")), "SELECT * FROM (VALUES (1::INTEGER, 0.75::DOUBLE), (2, NULL)) AS v(id, ratio)")
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
