@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import card_catalog
 from .functions import tokens as T
 from .operators import catalogue, overlap, retrieval, scoring, segments, sessions, stats
 from .plans.literals import Literal
@@ -118,12 +119,13 @@ _add("speakers", lambda s, d: sessions.speakers(_table(s, d, "conversations").se
 
 
 def _versions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The documents, and an edition in which each text stands one doc_id later."""
     docs = _table(s, d, "documents").select("doc_id", "text")
-    new = docs.filter("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return docs.filter("doc_id % 11 <> 0"), new
+    return docs, docs.withColumn("doc_id", F.col("doc_id") + 1)
 
 
-_add("version_diff", lambda s, d: catalogue.version_diff(*_versions(s, d)), "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'additive' WHEN doc_id % 7 = 0 THEN 'deletion' WHEN doc_id % 5 = 0 AND text IS NOT NULL THEN 'modified' ELSE 'unchanged' END AS change FROM documents WHERE NOT (doc_id % 11 = 0 AND doc_id % 7 = 0)")
+_EDITIONS = """WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS x FROM documents), b AS (SELECT doc_id + 1 AS doc_id, sha256(coalesce(text, '')) AS y FROM documents), c AS (SELECT * FROM a FULL JOIN b USING (doc_id))"""
+_add("version_diff", lambda s, d: catalogue.version_diff(*_versions(s, d)), _EDITIONS + " SELECT doc_id, CASE WHEN x IS NULL THEN 'additive' WHEN y IS NULL THEN 'deletion' WHEN x <> y THEN 'modified' ELSE 'unchanged' END AS change FROM c")
 
 
 def _manifest(s: SparkSession, d: str) -> DataFrame:
@@ -131,7 +133,7 @@ def _manifest(s: SparkSession, d: str) -> DataFrame:
     return catalogue.manifest_drift(old, new)
 
 
-_add("manifest_drift", _manifest, "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 = 0 THEN 'deleted' ELSE 'changed' END AS state FROM documents WHERE doc_id % 11 <> 0 AND (doc_id % 7 = 0 OR doc_id % 5 = 0 AND text IS NOT NULL)")
+_add("manifest_drift", _manifest, _EDITIONS + " SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN y IS NULL THEN 'deleted' ELSE 'changed' END AS state FROM c WHERE x IS NOT NULL AND (y IS NULL OR x <> y)")
 _add("label_agreement", lambda s, d: _table(s, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n")), "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic")
 
 _add("lexical_tokens", lambda s, d: TOKENS.df(s).select("id", F.array_join(T.lexical_tokens(F.col("text")), " ").alias("tokens")), f"WITH {TOKENS.cte} SELECT CAST(id AS INTEGER) AS id, expected AS tokens FROM t")
@@ -162,6 +164,9 @@ _add("use_cases", lambda s, d: USES.df(s).select("id", F.array_join(catalogue.us
 _add("source_ratio", lambda s, d: RATIOS.df(s).select("id", catalogue.source_ratio(F.col("text")).alias("ratio")), "SELECT * FROM (VALUES (1::INTEGER, 0.75::DOUBLE), (2, NULL)) AS v(id, ratio)")
 
 
+QUERIES |= card_catalog.QUERIES
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, (query, _) in QUERIES.items()}
 

@@ -15,17 +15,17 @@ ROOT = Path(__file__).resolve().parents[1]
 
 
 @pytest.fixture(scope="module")
-def duck(sf001):
+def duck(sf01):
     con = duckdb.connect()
-    for path in glob.glob(f"{sf001}/*.parquet"):
+    for path in glob.glob(f"{sf01}/*.parquet"):
         con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
     return con
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
-def test_equals_sql(spark, sf001, duck, name):
+def test_equals_sql(spark, sf01, duck, name):
     query, sql = catalog.QUERIES[name]
-    found = query(spark, sf001)
+    found = query(spark, sf01)
     rows = sorted(repr([str(r[c]) for c in sorted(found.columns)]) for r in found.collect())
     assert rows
     if sql:
