@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bucket_column, connected_components, materialize, order_key, range_bounds, ship_package, shuffle_width, text_or_empty
+from .common import arrow_map, bucket_column, by_runs, connected_components, lookup_join, materialize, order_key, range_bounds, ship_package, shuffle_width, text_or_empty
 from .shingles import shingle_rows, stream64
 
 #: Permutations in a fingerprint; the standard error of an estimate J is sqrt(J (1 - J) / PERMS).
@@ -116,11 +116,12 @@ def edited_fingerprints(docs: DataFrame, perms: int = PERMS, k: int = 5) -> Data
 def banded_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERMS, bands: int = BANDS, k: int = 5) -> DataFrame:
     """Near duplicates by banding: per document doc_id and component_id (the smallest id linked to it).
 
-    Texts of equal fingerprint form a class.  Classes that agree in a band meet there; each is
-    compared with the band's smallest member (never all with all) and linked if the true
-    Jaccard similarity of their shingle sets reaches ``threshold``.
+    Texts of equal fingerprint form a class.  Classes that agree in a band meet there and are
+    linked if the true Jaccard similarity of their shingle sets reaches ``threshold``.  First
+    each is compared with the band's smallest member; when those links are components, a second
+    pass compares what the band still holds in different components, block by block.
     """
-    from .ngram_join import verified_pairs
+    from .ngram_join import BLOCK, verified_pairs
 
     ship_package(docs.sparkSession)
     rows = perms // bands
@@ -139,6 +140,34 @@ def banded_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERM
     leaders = materialize(bands_of.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a"), "leaders")
     pairs = materialize(bands_of.join(leaders, "band").filter("a < rep").select("a", F.col("rep").alias("b")).distinct(), "pairs")
     links = materialize(verified_pairs(base, pairs, threshold, k), "links")
-    found = connected_components(links)
+    found = materialize(connected_components(links), "components")
+
+    # second pass: what a band holds in different components; bands go by a hash, and two of one hash only meet in vain
+    shared = bands_of.join(leaders.select("band"), "band").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    entries = materialize(shared.select(F.xxhash64("band").alias("band"), "rep", F.coalesce("component", "rep").alias("c")), "entries")
+    open_ = entries.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), (F.min("c") != F.max("c")).alias("several")).filter("several")
+    open_ = materialize(open_.select("band", "blocks"), "open")
+    seated = lookup_join(entries, open_, ["band"], "inner").withColumn("row", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    # block i meets block j >= i once: the row is sent to each (min, max) that it belongs to
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    sent = seated.withColumn("other", other).select("band", F.least("row", "other").alias("i"), F.greatest("row", "other").alias("j"), "row", "rep", "c")
+
+    def cross(part: pa.Table) -> pa.Table | None:
+        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        row, rep, c = (part.column(x).to_numpy() for x in ("row", "rep", "c"))
+        left, right = np.flatnonzero(row == i), np.flatnonzero(row == j)
+        good = c[left][:, None] != c[right]
+        if i == j:
+            good &= left[:, None] < right
+        x, y = np.nonzero(good)
+        x, y = rep[left[x]], rep[right[y]]
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+
+    left_over = by_runs(sent, ["band", "i", "j"], [], cross, "a long, b long").distinct()
+    left_over = materialize(left_over.join(pairs, ["a", "b"], "left_anti"), "left_over")
+    if not left_over.isEmpty():
+        more = materialize(verified_pairs(base, left_over, threshold, k), "links")
+        # all links once more, so that each id has one label
+        found = materialize(connected_components(links.union(more)), "components")
     labelled = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sign", F.coalesce("component", "rep").alias("component_id"))
     return signed.join(labelled, "sign", "left").select("doc_id", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -125,6 +125,25 @@ def test_jaccard_components_of_crowds(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df).collect()} == want
 
 
+def test_banded_duplicates_of_crowds(spark, monkeypatch):
+    """Texts of a band whose smallest member is near none of them still link with each other."""
+    rng = random.Random(16)
+    passage = [f"p{i}" for i in range(90)]
+    texts = [" ".join(passage + [f"t{rng.randrange(10**6)}" for _ in range(40)]) for _ in range(60)]
+    for _ in range(40):
+        base = passage + [f"v{rng.randrange(10**6)}" for _ in range(40)]
+        texts += near_copies(rng, base, 3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts += near_copies(rng, base, 100) + [" ".join(base)] * 10 + ["", "a b c", "A b  c"]
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(sets, links)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    assert {r.doc_id: r.component_id for r in minhash.banded_duplicates(df).collect()} == want
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    assert {r.doc_id: r.component_id for r in minhash.banded_duplicates(df).collect()} == want
+
+
 def test_jaccard_of_odd_rows(odd, none):
     got = ngram_join.jaccard_components(odd).collect()
     assert len(got) == len(TEXTS) + 3
