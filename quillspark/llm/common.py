@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
 import os
 import tempfile
 import uuid
@@ -135,6 +136,29 @@ def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left
     return df.join(F.broadcast(table) if table.count() <= limit else table, on, how)
 
 
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a long that names a doc_id together with its text; null without an id.
+
+    It is the id itself where one row bears that, else a hash of id and text, so that different
+    texts of one id stay apart.  Hashes that meet each other or an id are drawn again.
+    """
+    own = F.col("doc_id").cast("long")
+    ids = docs.select(own.alias("_twice"))
+    total, distinct = ids.agg(F.count("_twice"), F.countDistinct("_twice")).first()
+    if total == distinct:
+        return docs.withColumn("_row", own)
+    twice = materialize(ids.filter("_twice is not null").groupBy("_twice").agg(F.count("*").alias("n")).filter("n > 1").select("_twice"), "twice")
+    marked = docs.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, own == F.col("_twice"), "left")
+    text = F.md5(text_or_empty().cast("binary"))
+    pairs = materialize(marked.filter("_twice is not null").select("_twice", text.alias("text")).distinct(), "texts")
+    for seed in itertools.count():
+        named = pairs.select(F.xxhash64(F.lit(seed), "_twice", "text").alias("_row"))
+        n, apart = named.agg(F.count("*"), F.countDistinct("_row")).first()
+        if n == apart and ids.join(F.broadcast(named) if n <= BROADCAST_ROWS else named, F.col("_twice") == F.col("_row"), "left_semi").isEmpty():
+            break
+    return marked.withColumn("_row", F.when(F.col("_twice").isNotNull(), F.xxhash64(F.lit(seed), "_twice", text)).otherwise(own)).drop("_twice")
+
+
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most ``parts - 1`` increasing cut points that deal the keys out evenly."""
     if parts < 2:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, is_training, materialize, restrict, ship_package, text_or_empty
+from .common import arrow_map, is_training, materialize, restrict, row_keyed, ship_package, text_or_empty
 from .shingles import _slices, mix64, stream64, string_bytes
 
 #: Bytes of an n-gram; least share of a language's n-grams; slots (a power of two) and hashes of the filters.
@@ -192,7 +192,8 @@ def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
 
 def identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the texts that are in no learned language: no letter, or hardly a known n-gram."""
-    found = predict_languages(docs, learn(docs))
+    keyed = row_keyed(docs)
+    found = predict_languages(keyed.withColumn("doc_id", F.col("_row")), learn(docs))
     gone = found.filter((F.col("lang_pred") == UNKNOWN) | ((F.col("n_grams") >= REJECT_GRAMS) & (F.col("score") < REJECT_BELOW)))
     gone = materialize(gone.select("doc_id").filter("doc_id is not null").distinct(), "gone")
-    return restrict(docs, gone, "doc_id", "left_anti")
+    return restrict(keyed, gone, "_row", "left_anti").select(*docs.columns)

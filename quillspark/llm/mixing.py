@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, materialize
+from .common import BROADCAST_ROWS, WORD, materialize, restrict
 
 #: Weights of the sources in code point order, repeating; total over all sizes; cap over a source's size.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
@@ -96,7 +96,11 @@ def _level(items: DataFrame, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 20, fan_in: int = FAN_IN) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies, taken (copies times size)."""
-    sizes = materialize(sized(docs), "sizes")
+    return mix_sizes(materialize(sized(docs), "sizes"), weights, share, cap, seed, fan_in)
+
+
+def mix_sizes(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 20, fan_in: int = FAN_IN) -> DataFrame:
+    """:func:`mix` of a scratch table of doc_id, source and size."""
     sources = materialize(source_targets(sizes, weights, share, cap), "sources")
     n_sources, most = sources.agg(F.count("*"), F.coalesce(F.max("n_docs"), F.lit(0))).first()
     right = sources.select(F.col("source").alias("_source"), "rank", "source_size", "n_docs", "target")
@@ -129,13 +133,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: every document as many times as it has copies, with the columns of ``docs``.
 
-    Documents without words or without copies go.  Rows under one doc_id, or without an id,
-    count as one document, of which one row stays.
+    Documents without words or without copies go.  Rows under one doc_id, or without an id, are
+    documents of their own: where there are such, a row is named by a hash of its id, source and
+    text, and by its rank among the rows of equal hash.
     """
     ids = docs.select("doc_id")
     total, distinct = ids.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if total != distinct:
-        docs = docs.dropDuplicates(["doc_id"])
-    plan = mix(docs, **settings).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")).hint("shuffle_hash")
-    joined = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(F.col("_mix_id")))
+    if total == distinct:
+        named = docs.withColumn("_mix_row", F.col("doc_id").cast("long"))
+        plan = mix(docs, **settings)
+    else:
+        hashed = docs.withColumn("_mix_row", F.xxhash64("doc_id", "source", "text"))
+        ranks = Window.partitionBy("_mix_row")
+
+        def ranked(df: DataFrame, *order: str) -> DataFrame:
+            place = F.row_number().over(ranks.orderBy(*order))
+            return df.withColumn("_mix_row", F.when(place > 1, F.xxhash64("_mix_row", place)).otherwise(F.col("_mix_row")))
+
+        sizes = materialize(sized(hashed.withColumn("doc_id", F.col("_mix_row"))), "hashed").withColumnRenamed("doc_id", "_mix_row")
+        again = materialize(sizes.groupBy("_mix_row").agg(F.count("*").alias("n")).filter("n > 1").select("_mix_row"), "again")
+        plan = mix_sizes(materialize(ranked(sizes, "source", "size").withColumnRenamed("_mix_row", "doc_id"), "sizes"), **settings)
+        # only texts of rows that are there more than once move for their ranks
+        named = restrict(hashed, again, "_mix_row", "left_anti").unionByName(ranked(restrict(hashed, again, "_mix_row"), *docs.columns))
+    plan = plan.filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")).hint("shuffle_hash")
+    joined = named.join(plan, F.col("_mix_row") == F.col("_mix_id"))
     return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, BROADCAST_ROWS, by_runs, connected_components, lookup_join, materialize, restrict, ship_package, shuffle_width, text_or_empty
+from .common import arrow_map, BROADCAST_ROWS, by_runs, connected_components, lookup_join, materialize, restrict, row_keyed, ship_package, shuffle_width, text_or_empty
 from .shingles import mix64, shingle_sets, stream64
 
 #: Hash slots in which shingle uses are counted, for the order alone.
@@ -370,12 +370,22 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> D
 def one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """``docs`` with one document of each component: the one of smallest id.  Rows without an id stay.
 
-    Of several rows under one doc_id one stays.
+    Different texts under one doc_id are documents of their own; of rows of equal id and text one stays.
     """
-    found = materialize(jaccard_components(docs, threshold, k), "found")
-    gone = materialize(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    kept = restrict(docs, gone, "doc_id", "left_anti", BROADCAST_ROWS)
-    total, distinct = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if total == distinct:
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    keyed = row_keyed(docs)
+    found = jaccard_components(keyed.withColumn("doc_id", F.col("_row")), threshold, k).filter("doc_id is not null").select("doc_id", "component_id")
+    found = materialize(found, "found")
+    ids = keyed.filter("_row is not null").select("_row", F.col("doc_id").cast("long").alias("id"))
+    total, distinct, named = ids.agg(F.count("*"), F.countDistinct("_row"), F.countDistinct("id")).first()
+    if total == named:
+        gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    else:
+        own = found.distinct().join(ids.distinct(), F.col("doc_id") == F.col("_row")).select("component_id", "_row", "id")
+        own = materialize(own, "own")
+        stays = own.groupBy("component_id").agg(F.min(F.struct("id", "_row")).alias("least"))
+        gone = own.join(stays, "component_id").filter("_row <> least._row").select("_row")
+    gone = materialize(gone, "gone")
+    kept = restrict(keyed, gone, "_row", "left_anti", BROADCAST_ROWS)
+    if total != distinct:
+        kept = kept.filter("_row is not null").dropDuplicates(["_row"]).unionByName(kept.filter("_row is null"))
+    return kept.select(*docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -97,6 +98,24 @@ def test_mix_needs_few_levels_and_keeps_targets(spark):
     assert sum(r.n for r in got) == 3000 and all(abs(r.t - r.w) <= r.m for r in got)
 
 
+def test_no_row_goes_for_its_id(spark):
+    """Different texts without an id or under one id all get through the stages that choose documents."""
+    rng = random.Random(17)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(5, 40)))
+    rows = [(i, text()) for i in range(20)] + [(None, text()) for _ in range(15)] + [(i % 3, text()) for i in range(12)]
+    rows += [rows[4]] * 3 + [(None, "the same words here")] * 9
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(5)
+    got = Counter((r.doc_id, r.text) for r in mixing.mixed_documents(df).collect())
+    want = Counter(rows)
+    assert set(got) == set(want) and all(want[x] <= got[x] <= 2 * want[x] for x in want)
+    size = lambda c: sum(n * len(t.split()) for (_, t), n in c.items())
+    assert abs(size(got) - 1.5 * size(want)) <= 40
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(df).collect())
+    assert kept == Counter({x: n if x[0] is None else 1 for x, n in want.items()})
+    near = spark.createDataFrame([(5, "a b c"), (5, "d e f"), (7, "D e f"), (3, "g h"), (9, "A b c")], "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.one_of_each(near).collect())) == [(3, "g h"), (5, "a b c"), (5, "d e f")]
+
+
 def near_copies(rng, base, n):
     out = []
     for _ in range(n):
