@@ -47,6 +47,7 @@ def source_ratio(text: Column) -> Column:
 
 
 def use_cases(text: Column, most: int = 4) -> Column:
-    """Up to ``most`` distinct uses (4 to 100 characters) of a description."""
-    parts = F.transform(F.split(text, "[。；;]|适用于：|适用："), lambda x: F.trim(x))
-    return F.slice(F.array_distinct(F.filter(parts, lambda x: F.length(x).between(4, 100))), 1, most)
+    """Up to ``most`` distinct uses (4 to 100 characters) of a description, without list marks; exclusions are no uses."""
+    parts = F.transform(F.split(text, "[。；;]|适用于：|适用："), lambda x: F.regexp_replace(x, r"(?U)^\s*[-*• ]*\s*|\s+$", ""))
+    is_use = lambda x: F.length(x).between(4, 100) & ~F.lower(x).rlike("^(english|不做|不适用|不用于)")
+    return F.slice(F.array_distinct(F.filter(parts, is_use)), 1, most)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import linting, measures, merging, quotations
+from quillspark.operators import catalogue, linting, measures, merging, quotations
 
 
 def _grams(text):
@@ -66,3 +66,9 @@ def test_guard_stops_at_observations(spark):
 def test_lint_marks_talk_about_quotations(spark):
     docs = spark.createDataFrame([(1, '归属：\n"said in one line"\nplain\n"said far from it"'), (2, '语言信号\n1\n2\n3\n4\n5\n6\n"seven lines below"\n"eight lines below"')], "doc_id long, text string")
     assert {(r.quote, r.meta) for r in quotations.lint_quotes(docs).collect()} == {("said in one line", True), ("said far from it", False), ("seven lines below", True), ("eight lines below", False)}
+
+
+def test_use_cases_leave_exclusions_out(spark):
+    texts = ["- first use；* second use；不做 this；English version here；不适用于 that；\n• third use 。不用于 more；fourth use；fifth use", "* -•  marked use ;- marked use\u3000；abc", ""]
+    got = [r.uses for r in spark.createDataFrame(list(enumerate(texts)), "id int, text string").orderBy("id").select(catalogue.use_cases(F.col("text")).alias("uses")).collect()]
+    assert got == [["first use", "second use", "third use", "fourth use"], ["marked use"], []]
