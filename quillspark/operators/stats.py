@@ -12,7 +12,7 @@ SECRET = r"(?i)(api_?key|token|secret|password)\s*[:=]\s*[\"'][^\"']{8,}[\"']"
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
-    """Per document: units, estimated tokens, language family and title."""
+    """Per document: units, estimated tokens and language family."""
     head = F.substring("text", 1, 4000)
     cjk = F.regexp_count(head, F.lit(f"[{T.CJK}]"))
     return docs.select("doc_id", T.unit_count(F.col("text")).cast("long").alias("units"), T.token_estimate(F.col("text")).cast("long").alias("tokens"), F.when(cjk * 20 > F.length(head), "zh").otherwise("en").alias("family"))
