@@ -10,12 +10,14 @@ that of ``encode(text, add_special_tokens=False)``.
 
 from __future__ import annotations
 
+import itertools
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
-from .shingles import _SPACE, _STEP, _power_table, _slices, mix64, stream64, string_bytes
+from .shingles import _SPACE, _STEP, _slices, mix64, stream64, string_bytes
 
 #: Pieces remembered in a worker before the table starts afresh.
 PIECES = 1_000_000
@@ -28,6 +30,59 @@ _OTHER_ASCII = np.zeros(256, bool)
 _OTHER_ASCII[:128] = ~_LETTER[:128]
 _ODD_CONTROL = np.zeros(256, bool)
 _ODD_CONTROL[0x1C:0x20] = True
+#: Bytes of pieces hashed in one go, whatever the length of a text.
+_HASHED = 1 << 20
+_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
+_PROBES = [" a", "b", " hello", "Tokens", " Zebra", "xqzjv", " internationalisation", " \u00e9t\u00e9", "\u00dcber\u00df\u00ff"]
+#: How byte-level models write bytes: those that Latin-1 prints as themselves, the others, in order, from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_WRITTEN = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
+
+def _as_bytes(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_WRITTEN)
+
+
+def _as_lower_bytes(text: str) -> str:
+    return _as_bytes(text.replace(" ", "").lower())
+
+
+def _all_letters(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which pieces are Latin letters (of ASCII, or U+00C0 to U+00FF without the two signs), after at most one blank."""
+    good = _LETTER[text]
+    lead = np.flatnonzero(text[:-1] == 0xC3)
+    lead = lead[(text[lead + 1] != 0x97) & (text[lead + 1] != 0xB7)]
+    good[lead] = good[lead + 1] = True
+    other = np.append(0, np.cumsum(~good))
+    begin = begin + (text[begin] == 32)
+    return (begin < end) & (other[end] == other[begin])
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_POWERS = _powers(_STEP, _HASHED), _powers(_BACK, _HASHED)
+
+
+def _piece_keys(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash, never 0, of each piece: differences of running sums of bytes times powers, moved to power 0."""
+    out = np.empty(len(begin), np.uint64)
+    lo = 0
+    while lo < len(begin):
+        first = int(begin[lo])
+        hi = max(int(np.searchsorted(end, first + _HASHED, "right")), lo + 1)
+        last = int(end[hi - 1])
+        up, down = _POWERS if last - first <= _HASHED else (_powers(_STEP, last - first), _powers(_BACK, last - first))
+        sums = np.zeros(last - first + 1, np.uint64)
+        np.cumsum(_RAW[text[first:last]] * up[: last - first], out=sums[1:])
+        b, e = begin[lo:hi] - first, end[lo:hi] - first
+        out[lo:hi] = mix64((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64) * _STEP)
+        lo = hi
+    out[out == 0] = 1
+    return out
 
 
 class PieceTable:
@@ -103,6 +158,12 @@ class PieceEncoder:
         self.spaces_matter = self.tokenizer.normalizer is None
         self.size = self.tokenizer.get_vocab_size(True)
         self.table = PieceTable(pieces)
+        self.plain = next((f for f in (_as_bytes, _as_lower_bytes) if self._agrees(f)), None)
+
+    def _agrees(self, written: Callable[[str], str]) -> bool:
+        """Whether the library's model, given pieces of letters so written, answers as the whole tokenizer does."""
+        whole = self.tokenizer.encode_batch_fast(_PROBES, add_special_tokens=False)
+        return all([t.id for t in self.tokenizer.model.tokenize(written(x))] == y.ids for x, y in zip(_PROBES, whole, strict=True))
 
     def _slow_rows(self, text: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Rows that go to the library whole."""
@@ -160,24 +221,31 @@ class PieceEncoder:
         stop = np.flatnonzero(stops)
         return start, stop[np.searchsorted(stop, start, "right")]
 
-    def _learn(self, keys: np.ndarray, begin: np.ndarray, end: np.ndarray, raw: bytes, alone: np.ndarray) -> None:
-        lengths, runs = np.zeros(len(keys), np.int64), [np.zeros(0, np.uint32)] * len(keys)
-        texts = [raw[b:e].decode("utf-8") for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-        joined = np.flatnonzero(~alone) if self.separator else np.zeros(0, np.int64)
+    def _learn(self, keys: np.ndarray, begin: np.ndarray, end: np.ndarray, text: np.ndarray, alone: np.ndarray) -> None:
+        """Encodes pieces by the library: letters by its model alone, others joined by a special token, the rest one by one."""
+        raw = text.tobytes()
+        cuts = list(zip(begin.tolist(), end.tolist(), strict=True))
+        runs: list[list[int]] = [[]] * len(keys)
+        plain = _all_letters(text, begin, end) & ~alone if self.plain is not None else np.zeros(len(keys), bool)
+        letters, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        if letters:
+            tokenize = self.tokenizer.model.tokenize
+            for i, written in zip(letters, self.plain("~".join([raw[b:e].decode() for b, e in map(cuts.__getitem__, letters)])).split("~"), strict=True):
+                runs[i] = [t.id for t in tokenize(written)]
+        texts = {i: raw[cuts[i][0] : cuts[i][1]].decode("utf-8") for i in rest}
+        joined = [i for i in rest if self.separator and not alone[i]]
         for lo in range(0, len(joined), _JOIN):
             part = joined[lo : lo + _JOIN]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.separator.join(texts[i] for i in part)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([self.separator.join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(ids == self.separator_id)
             if len(cut) != len(part) - 1:
                 raise ValueError("the tokenizer does not keep its special token apart")
-            lo_, hi_ = np.append(0, cut + 1), np.append(cut, len(ids))
-            for i, b, e in zip(part.tolist(), lo_.tolist(), hi_.tolist(), strict=True):
-                runs[i] = ids[b:e]
-        rest = np.flatnonzero(alone) if self.separator else np.arange(len(keys))
-        for i, x in zip(rest.tolist(), self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            runs[i] = np.array(x.ids, np.uint32)
-        lengths[:] = [len(x) for x in runs]
-        self.table.add(keys, lengths, np.concatenate(runs))
+            for i, b, e in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
+                runs[i] = ids[b:e].tolist()
+        single = [i for i in rest if not self.separator or alone[i]]
+        for i, x in zip(single, self.tokenizer.encode_batch_fast([texts[i] for i in single], add_special_tokens=False), strict=True):
+            runs[i] = x.ids
+        self.table.add(keys, np.fromiter(map(len, runs), np.int64, len(runs)), np.fromiter(itertools.chain.from_iterable(runs), np.uint32))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after the other (uint32), and the number of ids of each row; nulls are empty."""
@@ -194,12 +262,7 @@ class PieceEncoder:
             if not len(begin):
                 counts.append(np.zeros(hi - lo, np.int64))
                 continue
-            lengths = end - begin
-            place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            solid = np.repeat(begin, lengths) + place
-            values = _RAW[text[solid]] * _power_table(int(lengths.max()))[place]
-            keys = mix64(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64) * _STEP)
-            keys[keys == 0] = 1
+            keys = _piece_keys(text, begin, end)
             entry = self.table.find(keys)
             if (entry < 0).any():
                 fresh, first = np.unique(keys[entry < 0], return_index=True)
@@ -212,7 +275,7 @@ class PieceEncoder:
                 alone = slow[np.searchsorted(cuts, begin[at], "right") - 1]
                 if len(fresh) > self.table.most:
                     self.table = PieceTable(len(fresh))
-                self._learn(fresh, begin[at], end[at], text.tobytes(), alone)
+                self._learn(fresh, begin[at], end[at], text, alone)
                 entry = self.table.find(keys)
             runs = self.table.length[entry].astype(np.int64)
             ends = np.cumsum(runs)
@@ -227,8 +290,9 @@ _encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """This worker's encoder for a tokenizer file."""
+    """This worker's encoder for a tokenizer file: one at a time, kept for the worker's next task, as it knows most pieces by then."""
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
 

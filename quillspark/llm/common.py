@@ -160,21 +160,23 @@ def row_keyed(docs: DataFrame) -> DataFrame:
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most ``parts - 1`` increasing cut points that deal the keys out evenly."""
+    """``parts - 1`` ascending cut points that deal the keys out evenly; a key that fills several parts is there as often."""
     if parts < 2:
         return []
-    cuts = df.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (4 * parts))
-    return sorted({int(x) for x in cuts})
+    return [int(x) for x in df.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (4 * parts))]
 
 
-def bucket_column(bounds: list[int], key: Column) -> Column:
-    """The number of cut points below ``key``: 0 up to len(bounds)."""
+def bucket_column(bounds: list[int], key: Column, tie: Column) -> Column:
+    """The part of a row, 0 up to len(bounds), ascending in (key, tie): keys that are cut points are dealt out by the long ``tie``."""
     cuts = np.array(bounds, np.int64)
 
-    def place(values: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, values.to_numpy(np.int64), "left").astype(np.int32))
+    def place(values: pd.Series, ties: pd.Series) -> pd.Series:
+        own = values.to_numpy(np.int64)
+        low, high = np.searchsorted(cuts, own, "left"), np.searchsorted(cuts, own, "right")
+        share = ties.to_numpy(np.int64).astype(np.float64) / 2.0**64 + 0.5
+        return pd.Series(np.minimum(low + (share * (high - low + 1)).astype(np.int64), high).astype(np.int32))
 
-    return F.pandas_udf(place, T.IntegerType())(key)
+    return F.pandas_udf(place, T.IntegerType())(key, tie)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -7,7 +7,7 @@ vectorised numpy over Arrow buffers.
 
 Cases: null text is empty; a text without words has the fingerprint of the empty set,
 which equals that of any other such text; texts of one to four words are one shingle;
-documents of equal id are ordered by text; null ids come last in descending order;
+documents of equal id are ordered by a hash of their text; null ids come last in descending order;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -68,21 +68,17 @@ def edited_fingerprints(docs: DataFrame, perms: int = PERMS, k: int = 5) -> Data
     ship_package(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), order_key().alias("k"))
     bounds = range_bounds(base.select("k"), "k", shuffle_width(spark))
-    placed = base.withColumn("b", bucket_column(bounds, F.col("k")))
-    heads = {r["b"]: r["k"] for r in base.select("k").withColumn("b", bucket_column(bounds, F.col("k"))).groupBy("b").agg(F.max("k").alias("k")).collect()}  # one row for each range
+    placed = base.withColumn("h", F.xxhash64("text")).withColumn("b", bucket_column(bounds, F.col("k"), F.col("h")))
+    heads = {r["b"]: r["k"] for r in placed.groupBy("b").agg(F.max(F.struct("k", "h")).alias("k")).collect()}  # one row for each range
     order = sorted(heads, reverse=True)
-    guest_of = {heads[b]: order[i - 1] for i, b in enumerate(order)}  # the first range's head goes to the last range
-    keys = np.array(sorted(guest_of), np.int64)
-    rooms = np.array([guest_of[x] for x in keys.tolist()], np.int32)
-
-    def room(values: pd.Series) -> pd.Series:
-        own = values.to_numpy(np.int64)
-        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        return pd.Series(np.where(keys[at] == own, rooms[at], -1).astype(np.int32) if len(keys) else np.full(len(own), -1, np.int32))
-
-    targets = F.when(F.col("g") >= 0, F.array("b", "g")).otherwise(F.array("b"))
-    dealt = placed.withColumn("g", F.pandas_udf(room, "int")(F.col("k"))).select("doc_id", "text", "k", F.posexplode(targets).alias("guest", "to"))
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("to")).sortWithinPartitions("guest", F.col("k").desc(), "text").select("doc_id", "text", "guest")
+    guests = [(heads[b]["k"], heads[b]["h"], order[i - 1]) for i, b in enumerate(order)]  # the first range's head goes to the last range
+    rooms = F.create_map(*[F.lit(x) for k, h, to in guests for x in (f"{k} {h}", to)]) if guests else F.lit(None).cast("map<string,int>")
+    heads_k = sorted({g[0] for g in guests})
+    room = F.when(F.col("k").isin(heads_k), F.element_at(rooms, F.concat_ws(" ", "k", "h"))) if guests else F.lit(None).cast("int")
+
+    targets = F.when(F.col("g").isNotNull(), F.array("b", "g")).otherwise(F.array("b"))
+    dealt = placed.withColumn("g", room).select("doc_id", "text", "k", "h", F.posexplode(targets).alias("guest", "to"))
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("to")).sortWithinPartitions("guest", F.col("k").desc(), F.col("h").desc(), "text").select("doc_id", "text", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None

@@ -7,13 +7,14 @@ sequence that is left, and for each document where its part of the sequence begi
 and how many ids it has.  Pairs never cross a document's end, so that a document is
 decoded without touching the rest of its shard.
 
-Re-Pair replaces the most frequent pair, again and again.  Here a round counts all
-pairs of a shard in numpy and replaces every pair that is frequent enough at once;
-where chosen pairs overlap, the leftmost wins.  Rounds end when no pair is frequent
-or after ``rounds``.
+Re-Pair replaces the most frequent pair, again and again.  Here a round counts the pairs
+of a shard in numpy and replaces each pair wherever it is more frequent than the pairs
+that overlap it there, which leads to the same kind of grammar in some twenty rounds.
+Only places whose pair may still be frequent are looked at again.  Rounds end when no
+replacement pays for its rule: no pair has ``least_uses`` places apart from each other.
 
 Cases: null text is empty, an empty document is its end id alone; documents of equal
-id follow each other in order of their text; null ids come first; an empty table
+id follow each other in order of a hash of their text; null ids come first; an empty table
 gives no shards; columns other than doc_id and text are ignored.
 """
 
@@ -33,15 +34,34 @@ from .common import arrow_map, bucket_column, order_key, range_bounds, scratch_p
 
 #: Ids in a shard before its last document.
 SHARD_IDS = 1 << 20
-#: Rounds of pair replacement, the fewest uses of a rule and the most rules that a round adds.
-ROUNDS, LEAST_USES, ROUND_RULES = 4, 24, 4096
-_PAIR_BITS = 20
-_PAIR_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Uses with which a rule pays: each saves a symbol, the rule costs two and the length of what it expands to.
+LEAST_USES = 3
+#: Hash slots in which pairs are counted while there are more places than an exact count is fast for.
+_SLOT_BITS, _EXACT = 21, 1 << 16
+_MIX_LEFT, _MIX_RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 SHARD_SCHEMA = "part int, shard int, first long, n_ids long, first_rule long, doc_ids binary, null_ids binary, doc_ids_n binary, doc_begin binary, rules binary, rule_lengths binary, sequence binary, width int"
 
 
-def build_grammar(ids: np.ndarray, last: np.ndarray, first_rule: int, rounds: int = ROUNDS, least_uses: int = LEAST_USES, round_rules: int = ROUND_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grouped(pairs: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, the number of each place's pair among them, and their counts; symbols are below ``symbols``."""
+    n = len(pairs)
+    wide, own = np.uint64(int(symbols).bit_length()), np.uint64(int(n).bit_length())
+    if not n or int(2 * wide + own) > 64:
+        return np.unique(pairs, return_inverse=True, return_counts=True)
+    # pair and place in one number, so that a plain sort does
+    packed = np.sort(((((pairs >> _HALF) << wide) | (pairs & _LOW)) << own) | np.arange(n, dtype=np.uint64))
+    key, place = packed >> own, (packed & ((np.uint64(1) << own) - np.uint64(1))).astype(np.int64)
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    counts = np.diff(np.append(head, n))
+    number = np.empty(n, np.int64)
+    number[place] = np.repeat(np.arange(len(head)), counts)
+    key = key[head]
+    return ((key >> wide) << _HALF) | (key & ((np.uint64(1) << wide) - np.uint64(1))), number, counts
+
+
+def build_grammar(ids: np.ndarray, last: np.ndarray, first_rule: int, least_uses: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Compresses ``ids``; ``last`` marks the ids that end a document.
 
     Returns the sequence, its ``last`` marks and the rules as rows (left, right); rule i is
@@ -49,39 +69,55 @@ def build_grammar(ids: np.ndarray, last: np.ndarray, first_rule: int, rounds: in
     """
     sequence, last = ids.astype(np.uint32), last.copy()
     rules = [np.zeros((0, 2), np.uint32)]
-    n_rules = 0
-    for _ in range(rounds):
-        if len(sequence) < 2:
-            break
-        pair = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
-        slot = ((pair * _PAIR_MIX) >> np.uint64(64 - _PAIR_BITS)).astype(np.int32)
-        inside = ~last[:-1]
-        weight = np.bincount(slot[inside], minlength=1 << _PAIR_BITS)
-        floor = least_uses
-        if (weight >= floor).sum() > round_rules:
-            floor = int(np.partition(weight, -round_rules)[-round_rules])
-        at = np.flatnonzero(inside & (weight[slot] >= floor))
-        if not len(at):
-            break
-        # of overlapping occurrences each second one stays
-        opens = np.append(True, np.diff(at) != 1)
-        run = np.arange(len(at)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]
-        at = at[run % 2 == 0]
-        chosen, rule, uses = np.unique(pair[at], return_inverse=True, return_counts=True)
-        good = uses >= least_uses
+    top = first_rule
+    # places whose pair may be frequent; a pair is either here with all its places or not at all
+    alive, exact = np.flatnonzero(~last[:-1]), False
+    while len(alive):
+        exact = exact or len(alive) < _EXACT
+        left, right = sequence[alive], sequence[alive + 1]
+        if exact:
+            slot = _grouped((left.astype(np.uint64) << _HALF) | right, top)[1]
+            slots = int(slot.max()) + 1
+        else:
+            mixed = (left * _MIX_LEFT) ^ (right * _MIX_RIGHT)
+            slot = (((mixed ^ (mixed >> np.uint32(15))) * _MIX_LEFT) >> np.uint32(32 - _SLOT_BITS)).astype(np.int64)
+            slots = 1 << _SLOT_BITS
+        uses = np.bincount(slot, minlength=slots)
+        # in a run of one symbol each second pair overlaps the one before it
+        twin = np.flatnonzero(left == right)
+        opens = np.append(True, np.diff(alive[twin]) != 1)[: len(twin)]
+        odd = twin[(np.arange(len(twin)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]) % 2 == 1] if len(twin) else twin
+        np.subtract.at(uses, slot[odd], 1)
+        uses = uses[slot]
+        live = uses >= least_uses
+        rank = np.where(live, (uses << 32) | slot, 0)
+        rank[odd] = 0
+        beside = alive[1:] == alive[:-1] + 1
+        after, before = np.zeros_like(rank), np.zeros_like(rank)
+        after[:-1], before[1:] = rank[1:] * beside, rank[:-1] * beside
+        best = np.flatnonzero((rank > before) & (rank >= after) & (rank > 0))
+        chosen, number, times = _grouped((left[best].astype(np.uint64) << _HALF) | right[best], top)
+        good = times >= least_uses
         if not good.any():
-            break
-        number = np.cumsum(good) - 1 + n_rules
-        keep = good[rule]
-        at, rule = at[keep], number[rule[keep]]
-        sequence[at] = (first_rule + rule).astype(np.uint32)
+            if exact:
+                break
+            exact = True  # slots that several pairs share were in the way
+            continue
+        taken = good[number]
+        at = alive[best[taken]]
+        sequence[at] = (np.cumsum(good) - 1 + top)[number[taken]].astype(np.uint32)
         last[at] = last[at + 1]
-        gone = np.zeros(len(sequence), bool)
-        gone[at + 1] = True
-        sequence, last = sequence[~gone], last[~gone]
+        stays, look = np.ones(len(sequence), bool), np.zeros(len(sequence), bool)
+        stays[at + 1] = False
+        look[alive[live]] = look[at] = True
+        prior = at[at > 0] - 1
+        look[prior - ~stays[prior]] = True
+        sequence, last, look = sequence[stays], last[stays], look[stays] & ~last[stays]
+        look[-1:] = False
+        alive = np.flatnonzero(look)
         chosen = chosen[good]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        n_rules += len(chosen)
+        rules.append(np.stack([chosen >> _HALF, chosen & _LOW], 1).astype(np.uint32))
+        top += len(chosen)
     return sequence, last, np.concatenate(rules)
 
 
@@ -117,32 +153,21 @@ class Grammar:
     """Expands symbols of one shard."""
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, first_rule: int) -> None:
-        self.first_rule, self.lengths = first_rule, lengths
-        self.begin = np.cumsum(lengths) - lengths
-        self.pool = np.zeros(int(lengths.sum()), np.uint32)
+        # where each symbol's ids lie in the pool, and how many they are; ids stand for themselves
+        self.length = np.append(np.ones(first_rule, np.int64), lengths)
+        self.begin = np.cumsum(self.length) - self.length
+        self.pool = np.zeros(int(self.length.sum()), np.uint32)
+        self.pool[:first_rule] = np.arange(first_rule, dtype=np.uint32)
         level = _levels(rules, first_rule)
         for k in range(1, int(level.max(initial=0)) + 1):
             own = np.flatnonzero(level == k)
-            for side in (0, 1):
-                symbol = rules[own, side].astype(np.int64) - first_rule
-                to = self.begin[own] + (0 if side == 0 else self._length(rules[own, 0]))
-                plain = symbol < 0
-                self.pool[to[plain]] = rules[own, side][plain]
-                deep = symbol[~plain]
-                self.pool[_spread(to[~plain], lengths[deep])] = self.pool[_spread(self.begin[deep], lengths[deep])]
-
-    def _length(self, symbols: np.ndarray) -> np.ndarray:
-        rule = symbols.astype(np.int64) - self.first_rule
-        return np.where(rule >= 0, self.lengths[np.maximum(rule, 0)], 1) if len(self.lengths) else np.ones(len(symbols), np.int64)
+            a, b = rules[own, 0], rules[own, 1]
+            to = self.begin[first_rule + own]
+            self.pool[_spread(to, self.length[a])] = self.expand(a)
+            self.pool[_spread(to + self.length[a], self.length[b])] = self.expand(b)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        if not len(self.lengths):
-            return symbols.astype(np.uint32)
-        length = self._length(symbols)
-        rule = symbols.astype(np.int64) - self.first_rule
-        both = np.append(self.pool, symbols.astype(np.uint32))
-        begin = np.where(rule >= 0, self.begin[np.maximum(rule, 0)], len(self.pool) + np.arange(len(symbols)))
-        return both[_spread(begin, length)]
+        return self.pool[_spread(self.begin[symbols], self.length[symbols])]
 
 
 def pack_shard(ids: np.ndarray, counts: np.ndarray, doc_ids: list[int | None], first_rule: int, **effort: int) -> dict:
@@ -173,13 +198,10 @@ class Shard:
         self.grammar = Grammar(np.frombuffer(row["rules"], symbol).reshape(-1, 2).astype(np.uint32), np.frombuffer(row["rule_lengths"], "<u4").astype(np.int64), row["first_rule"])
 
     def document(self, i: int) -> np.ndarray:
-        """The ids of the shard's i-th document alone."""
+        """The ids of the shard's i-th document, from its own symbols alone."""
         end = self.begin[i + 1] if i + 1 < len(self.begin) else len(self.sequence)
         return self.grammar.expand(self.sequence[self.begin[i] : end])
 
-    def all_ids(self) -> np.ndarray:
-        return self.grammar.expand(self.sequence)
-
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS, parts: int | None = None, **effort: int) -> None:
     """Encodes ``documents`` and writes them as shards in ascending order of doc_id.
@@ -192,7 +214,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     parts = parts or shuffle_width(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), order_key().alias("k"))
     bounds = range_bounds(base.select("k"), "k", parts)
-    dealt = base.withColumn("part", bucket_column(bounds, F.col("k"))).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("k", "text")
+    base = base.withColumn("h", F.xxhash64("text"))
+    dealt = base.withColumn("part", bucket_column(bounds, F.col("k"), F.col("h"))).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("k", "h", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -238,10 +261,13 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 shard = Shard(row)
-                raw = memoryview(shard.all_ids().astype("<u4").tobytes())
-                ends = np.cumsum(shard.counts)
-                starts = ends - shard.counts
-                crc = [zlib.crc32(raw[4 * b : 4 * e]) for b, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                crc, length = [], []
+                for j in range(len(shard.begin)):
+                    ids = shard.document(j)
+                    crc.append(zlib.crc32(ids.astype("<u4", copy=False).tobytes())), length.append(len(ids))
+                if length != shard.counts.tolist():
+                    raise ValueError("a document does not expand to its stored length")
+                starts = np.cumsum(shard.counts) - shard.counts
                 yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]] * len(crc), pa.int32()), "doc_id": pa.array(shard.doc_ids, pa.int64()), "inner": pa.array(starts + row["first"], pa.int64()), "n_tokens": pa.array(shard.counts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     docs = arrow_map(shards, decode, "part int, doc_id long, inner long, n_tokens long, ids_crc32 long")
