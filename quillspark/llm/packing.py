@@ -1,16 +1,16 @@
 """Operator 8: packing documents into sequences along a space-filling curve.
 
 A document's vector is the average, over its token ids, of fixed pseudo-random directions
-(a hashed bag of ids projected to a few dimensions).  Coordinates are turned into ranks of
-a sample, the grid cell's place on the Hilbert curve is the document's key, and documents
+(a hashed bag of ids projected to a few dimensions).  Coordinates are turned into ranks among
+all documents, the grid cell's place on the Hilbert curve is the document's key, and documents
 are range-sorted by key.  Each range is one stream of ids, cut every ``length`` ids, so
 that neighbours along the curve share sequences; what is left at the end of a range is
 cut into sequences whose lengths are powers of two, which need no padding.
 
-The ids travel once, from the tokenizer to the range.  Ranges are cut by key and hash of
-doc_id, so that copies of one text, which have one key, can fill any number of ranges.
-The sample (at most SAMPLE documents) sets ranks and cuts, hence balance; every document is
-packed whatever it holds.
+Documents are encoded once, into a scratch table of ids and coordinates; the ranks and the
+cuts of the ranges are quantiles over all of it, and the ids travel once, to their range.
+Ranges are cut by key and hash of doc_id, so that copies of one text, which have one key,
+can fill any number of ranges.
 
 Cases: null text is empty; an empty document is its end id alone; repeated rows are packed
 one by one; null ids sort first within equal keys; an empty table gives no rows; other
@@ -20,21 +20,24 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, with_end_ids
-from .common import arrow_map, NULL_ID, materialize, restrict, ship_package, shuffle_width, text_or_empty
-from .shingles import mix64, stream64
+from .common import arrow_map, materialize, ship_package, shuffle_width, text_or_empty
+from .shingles import stream64
 
-#: Dimensions and bits of each on the curve, and documents sampled for ranks and cuts.
-DIMS, BITS, SAMPLE = 3, 7, 4_000
+#: Dimensions and bits of each on the curve.
+DIMS, BITS = 3, 7
 LENGTH = 4096
+#: Bytes of ids, and pieces, that are held before they are handed on.
+FLUSH_BYTES, FLUSH_ROWS = 2 << 20, 2000
 
 
 def directions(vocabulary: int) -> np.ndarray:
@@ -78,13 +81,6 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _placed(coords: np.ndarray, ids: list[int | None], ladders: np.ndarray) -> np.ndarray:
-    """Sort keys: the Hilbert key in the high bits, a hash of the id in the low 32."""
-    cells = np.stack([np.searchsorted(ladders[d], coords[:, d]) for d in range(coords.shape[1])], 1)
-    tail = mix64(np.array([NULL_ID if x is None else x for x in ids], np.int64).astype(np.uint64)) >> np.uint64(32)
-    return (hilbert_keys(cells).astype(np.int64) << 32) | tail.astype(np.int64)
-
-
 def _steps(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes."""
     step = max(1, most * batch.num_rows // max(1, batch.nbytes)) if batch.num_rows else 1
@@ -97,29 +93,23 @@ def power_pieces(rest: int) -> list[int]:
     return [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, parts: int | None = None, sample: int = SAMPLE) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_ids (of the sequence), ids."""
+def curve_keys(ladders: np.ndarray) -> Callable[..., Column]:
+    """Sort keys from coordinates: the Hilbert key of the grid cell in the high bits, 32 bits of a hash of the id below."""
+
+    def place(*coords: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_keys(np.stack([np.searchsorted(ladders[d], c.to_numpy()) for d, c in enumerate(coords)], 1)))
+
+    on_curve = F.pandas_udf(place, "long")
+    return lambda doc_id, *coords: F.shiftleft(on_curve(*coords), 32).bitwiseOR(F.xxhash64(doc_id).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, parts: int | None = None, with_ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_ids (of the sequence), ids (null if not asked for)."""
     spark = docs.sparkSession
     ship_package(spark)
     parts = parts or shuffle_width(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        table = directions(encode.size)
-        for batch in batches:
-            for part in _steps(batch):
-                at = coordinates(*with_end_ids(*encode.encode(part.column("text")), end_id), table)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(at[:, d]) for d in range(DIMS)]], ["doc_id", *[f"c{d}" for d in range(DIMS)]])
-
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
-    drawn = materialize(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct(), "drawn")
-    seen = arrow_map(restrict(base, drawn, "doc_id"), locate, "doc_id long, " + ", ".join(f"c{d} double" for d in range(DIMS))).toPandas().sort_values("doc_id")
-    coords = seen[[f"c{d}" for d in range(DIMS)]].to_numpy()
-    cells = 1 << BITS
-    ladders = np.stack([np.quantile(coords[:, d], np.arange(1, cells) / cells) for d in range(DIMS)]) if len(coords) else np.zeros((DIMS, cells - 1))
-    sampled = np.sort(_placed(coords, seen["doc_id"].tolist(), ladders)) if len(coords) else np.zeros(0, np.int64)
-    cuts = np.unique(sampled[np.arange(1, parts) * len(sampled) // parts]) if len(sampled) else sampled
+    names = [f"c{d}" for d in range(DIMS)]
 
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -128,70 +118,77 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
         for batch in batches:
             for part in _steps(batch):
                 own, counts = with_end_ids(*encode.encode(part.column("text")), end_id)
-                key = _placed(coordinates(own, counts, table), part.column("doc_id").to_pylist(), ladders)
-                raw = own.astype(width).tobytes()
+                at = coordinates(own, counts, table)
                 ends = np.append(0, np.cumsum(counts)) * width.itemsize
-                offsets = pa.py_buffer(ends.astype(np.int64).tobytes())
-                blobs = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, offsets, pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "key": pa.array(key), "part": pa.array(np.searchsorted(cuts, key).astype(np.int32)), "wide": pa.array([width.itemsize] * len(counts), pa.int32()), "ids": blobs})
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(own.astype(width).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.full(len(counts), width.itemsize), pa.int32()), blobs, *[pa.array(at[:, d]) for d in range(DIMS)]], ["doc_id", "wide", "ids", *names])
 
-    dealt = arrow_map(base, encode_rows, "doc_id long, key long, part int, wide int, ids binary").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("key", F.col("doc_id").asc_nulls_first(), "ids").select("doc_id", "wide", "ids")
+    encoded = materialize(arrow_map(base, encode_rows, "doc_id long, wide int, ids binary, " + ", ".join(f"{n} double" for n in names)), "encoded")
+    cells = 1 << BITS
+    steps = encoded.approxQuantile(names, [i / cells for i in range(1, cells)], 1 / (4 * cells))
+    ladders = np.array([x or [0.0] * (cells - 1) for x in steps])
+    key = curve_keys(ladders)(F.col("doc_id"), *map(F.col, names)).alias("key")
+    cuts = F.lit(sorted(set(map(int, materialize(encoded.select(key), "keys").approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (4 * parts)))))) if parts > 1 else F.array()
+    keyed = encoded.select("doc_id", "wide", "ids", key)
+    # the number of cuts below the key
+    part = F.size(F.filter(cuts.cast("array<bigint>"), lambda c: c < F.col("key")))
+    dealt = keyed.repartitionById(parts, part).sortWithinPartitions("key", F.col("doc_id").asc_nulls_first(), "ids").select("doc_id", "wide", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "n_ids", "ids"]
-        types = [pa.int64()] * 8 + [pa.binary()]
-        schema = pa.schema(list(zip(names, types, strict=True)))
-        sequence, fill = 0, 0
-        open_: list[list] = []
+        schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "n_ids", "ids")])
+        sequence, fill, waiting = 0, 0, 0
+        open_: list[tuple] = []
+        done: list[tuple] = []
 
-        def closed(n_ids: int) -> list[list]:
+        def close(n_ids: int) -> None:
             nonlocal sequence, fill
-            rows = [[*x[:5], first + sequence, x[5], n_ids, x[6]] for x in open_]
+            for doc_id, start, own, total, offset in open_:
+                raw = own.astype("<u4").tobytes()
+                done.append((doc_id, start, len(own), zlib.crc32(raw), total, first + sequence, offset, n_ids, raw if with_ids else None))
             sequence, fill = sequence + 1, 0
             open_.clear()
-            return rows
 
         def place(doc_id: int | None, start: int, own: np.ndarray, total: int) -> None:
             nonlocal fill
-            raw = own.astype("<u4").tobytes()
-            open_.append([doc_id, start, len(own), zlib.crc32(raw), total, fill, raw])
+            open_.append((doc_id, start, own, total, fill))
             fill += len(own)
 
-        def table(rows: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), schema.types, strict=True)], schema=schema)
+            done.clear()
+            return out
 
-        done: list[list] = []
         for batch in batches:
             for doc_id, wide, raw in zip(batch.column("doc_id").to_pylist(), batch.column("wide").to_pylist(), batch.column("ids"), strict=True):
-                own = np.frombuffer(raw.as_buffer(), "<u2" if wide == 2 else "<u4")
+                own = np.frombuffer(raw.as_py(), "<u2" if wide == 2 else "<u4")  # a copy, so that no batch is held
                 at = 0
                 while at < len(own):
                     take = min(length - fill, len(own) - at)
                     place(doc_id, at, own[at : at + take], len(own))
                     at += take
                     if fill == length:
-                        done += closed(length)
-                if len(done) >= 2000:
-                    yield table(done)
-                    done = []
+                        close(length)
+                        waiting += 4 * length
+                        if len(done) >= FLUSH_ROWS or with_ids and waiting >= FLUSH_BYTES:
+                            yield flush()
+                            waiting = 0
         if fill:
             # the rest, as sequences of falling powers of two
-            left, rest = list(open_), fill
+            queue, rest = [x[:4] for x in reversed(open_)], fill
             open_.clear()
             fill = 0
-            queue = [(x[0], x[1], np.frombuffer(x[6], "<u4"), x[4]) for x in left]
-            for size in power_pieces(rest):
-                need = size
+            for need in power_pieces(rest):
+                size = need
                 while need:
-                    doc_id, start, own, total = queue.pop(0)
+                    doc_id, start, own, total = queue.pop()
                     take = min(need, len(own))
                     place(doc_id, start, own[:take], total)
                     need -= take
                     if take < len(own):
-                        queue.insert(0, (doc_id, start + take, own[take:], total))
-                done += closed(size)
+                        queue.append((doc_id, start + take, own[take:], total))
+                close(size)
         if done:
-            yield table(done)
+            yield flush()
 
     return arrow_map(dealt, cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_ids long, ids binary")
