@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import itertools
 import os
 import tempfile
@@ -61,6 +62,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Deletes the files of a table of :func:`materialize` that nothing will read any more."""
+    spark = table.sparkSession
+    for folder in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the cluster delete the shuffle files of finished jobs now: it does so when the driver collects their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes this application's scratch tables; results that still read them must have been written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/quillspark/{spark.sparkContext.applicationId}")

@@ -8,7 +8,7 @@ vectorised numpy over Arrow buffers.
 Cases: null text is empty; a text without words has the fingerprint of the empty set,
 which equals that of any other such text; texts of one to four words are one shingle;
 documents of equal id are ordered by a hash of their text; null ids come last in descending order;
-an empty table gives no rows; other columns are ignored.
+repeated rows are returned one by one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,18 +17,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bucket_column, by_runs, connected_components, lookup_join, materialize, order_key, range_bounds, ship_package, shuffle_width, text_or_empty
-from .shingles import shingle_rows, stream64
+from .common import arrow_map, bucket_column, by_runs, connected_components, drop_table, lookup_join, materialize, order_key, range_bounds, release, restrict, ship_package, shuffle_width, text_or_empty
+from .ngram_join import BLOCK, with_hubs
+from .shingles import mix64, shingle_rows, shingle_sets, stream64
 
 #: Permutations in a fingerprint; the standard error of an estimate J is sqrt(J (1 - J) / PERMS).
 PERMS = 128
-#: Bands of a fingerprint for candidate search, each of PERMS / BANDS places.
-BANDS = 32
+#: Bands of a fingerprint for candidate search, each of PERMS // BANDS places: of pairs at 0.8, 5 in 100,000 share none.
+BANDS = 25
+#: What :func:`banded_duplicates` tells of a row.
+LABELS = ("component_id", "n_candidates")
 
 
 def signatures(column: pa.Array, perms: int = PERMS, k: int = 5) -> np.ndarray:
@@ -56,13 +60,14 @@ def hex_rows(signature: np.ndarray) -> list[str]:
     return [raw[i * step : (i + 1) * step] for i in range(len(signature))]
 
 
-def edited_fingerprints(docs: DataFrame, perms: int = PERMS, k: int = 5) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, labels: DataFrame | None = None, perms: int = PERMS, k: int = 5) -> DataFrame:
     """Fingerprints of each text and of its edited text, in descending order of doc_id.
 
     The edited text is the text with its last ``floor(n_chars / 3)`` code points replaced by
     the first as many of the next document (after the last: the first).  The texts move
     once, to ranges of ids; each range also gets a copy of the first document of the range
-    after it, which its last document needs.
+    after it, which its last document needs.  ``labels``, of :func:`banded_duplicates`, go to
+    the same ranges in the same order, so that they need no join.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -77,13 +82,24 @@ def edited_fingerprints(docs: DataFrame, perms: int = PERMS, k: int = 5) -> Data
     room = F.when(F.col("k").isin(heads_k), F.element_at(rooms, F.concat_ws(" ", "k", "h"))) if guests else F.lit(None).cast("int")
 
     targets = F.when(F.col("g").isNotNull(), F.array("b", "g")).otherwise(F.array("b"))
-    dealt = placed.withColumn("g", room).select("doc_id", "text", "k", "h", F.posexplode(targets).alias("guest", "to"))
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("to")).sortWithinPartitions("guest", F.col("k").desc(), F.col("h").desc(), "text").select("doc_id", "text", "guest")
+    dealt = placed.withColumn("g", room).select("doc_id", "text", "k", "h", F.posexplode(targets).alias("guest", "to"), *[F.lit(None).cast("long").alias(c) for c in LABELS])
+    if labels is not None:
+        told = labels.select("doc_id", F.lit(None).cast("string").alias("text"), order_key().alias("k"), "h", F.lit(-1).alias("guest"), *LABELS)
+        dealt = dealt.unionByName(told.withColumn("to", bucket_column(bounds, F.col("k"), F.col("h"))))
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("to")).sortWithinPartitions("guest", F.col("k").desc(), F.col("h").desc(), "text").select("doc_id", "text", "guest", *LABELS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
+        told: list[pa.RecordBatch] = []
+        at = 0
         for batch in batches:
+            own = pc.greater_equal(batch.column("guest"), 0)
+            if told or not pc.all(own).as_py():
+                told.append(batch.select(list(LABELS)).filter(pc.invert(own)))
+                batch = batch.filter(own)
             for lo in range(0, batch.num_rows, 512):
+                if lo == 0:
+                    table = pa.Table.from_batches(told) if told else None
                 part = batch.slice(lo, 512)
                 signed = signatures(part.column("text"), perms, k)
                 ids, texts, guest = part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("guest").to_pylist()
@@ -99,71 +115,118 @@ def edited_fingerprints(docs: DataFrame, perms: int = PERMS, k: int = 5) -> Data
                     cut = len(texts[i]) // 3
                     edited.append(texts[i][: len(texts[i]) - cut] + texts[i + 1][:cut])
                 edited_signed = signatures(pa.array(edited, pa.large_string()), perms, k)
+                own_labels = {c: table.column(c).slice(at, stop).combine_chunks() if table else pa.nulls(stop, pa.int64()) for c in LABELS}
+                at += stop
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(ids[:stop], pa.int64()), "n_chars": pa.array([len(x) for x in texts[:stop]], pa.int64()),
                     "edited_sha256": pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in edited]),
                     "fingerprint": pa.array(hex_rows(signed[:stop])), "edited_fingerprint": pa.array(hex_rows(edited_signed)),
-                    "near_edited": pa.array((signed[:stop] == edited_signed).mean(1)), "near_next": pa.array((signed[:stop] == signed[1 : stop + 1]).mean(1)),
+                    "near_edited": pa.array((signed[:stop] == edited_signed).mean(1)), "near_next": pa.array((signed[:stop] == signed[1 : stop + 1]).mean(1)), **own_labels,
                 })
 
-    return arrow_map(dealt, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return arrow_map(dealt, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, " + ", ".join(f"{c} long" for c in LABELS))
 
 
 def banded_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERMS, bands: int = BANDS, k: int = 5) -> DataFrame:
-    """Near duplicates by banding: per document doc_id and component_id (the smallest id linked to it).
+    """Near duplicates by banding: per row doc_id, h (a hash of its text), component_id (the smallest doc_id linked to it), n_candidates.
 
     Texts of equal fingerprint form a class.  Classes that agree in a band meet there and are
     linked if the true Jaccard similarity of their shingle sets reaches ``threshold``.  First
     each is compared with the band's smallest member; when those links are components, a second
-    pass compares what the band still holds in different components, block by block.
+    pass compares what the band still holds in different components, block by block.  A class
+    goes by a hash of one of its rows.  ``n_candidates`` is the number of classes that a row's
+    class was compared with.  Rows without an id, and texts without words, link with nothing.
     """
-    from .ngram_join import BLOCK, verified_pairs
-
     ship_package(docs.sparkSession)
     rows = perms // bands
+    turn = stream64(rows, 13) | np.uint64(1)
+    salt = stream64(bands, 14)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signed = signatures(batch.column("text"), perms, k)
             empty = pa.array((signed == 0xFFFFFFFF).all(1))
-            names = [[hashlib.blake2b(bytes([j]) + x[j * rows : (j + 1) * rows].tobytes(), digest_size=12).hexdigest() for j in range(bands)] for x in signed]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "sign": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in signed]), "empty": empty, "bands": pa.array(names, pa.list_(pa.string()))})
-
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id is not null")
-    signed = materialize(arrow_map(base, sign, "doc_id long, sign string, empty boolean, bands array<string>"), "signed")
-    classes = materialize(signed.filter("not empty").groupBy("sign").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "classes")
-    bands_of = classes.select("rep", F.explode("bands").alias("band"))
-    leaders = materialize(bands_of.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a"), "leaders")
-    pairs = materialize(bands_of.join(leaders, "band").filter("a < rep").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    links = materialize(verified_pairs(base, pairs, threshold, k), "links")
+            names = mix64((signed[:, : bands * rows].reshape(len(signed), bands, rows).astype(np.uint64) * turn).sum(2, dtype=np.uint64) + salt)
+            cuts = pa.array(np.arange(len(signed) + 1, dtype=np.int32) * bands)
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in signed]
+            keys = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("doc_id", "h", "row")}, "k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]), "empty": empty, "bands": pa.ListArray.from_arrays(cuts, pa.array(names.ravel().view(np.int64)))})
+
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("h", F.xxhash64("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    signed = materialize(arrow_map(base, sign, "doc_id long, h long, row long, k1 long, k2 long, empty boolean, bands array<long>"), "signed")
+    classes = signed.filter("not empty and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.min("bands").alias("bands"))
+    classes = materialize(classes.select("k1", "k2", F.col("r.row").alias("c"), F.col("r.doc_id").alias("least"), "bands"), "classes")
+    bands_of = classes.select("c", F.explode("bands").alias("band"))
+    leaders = materialize(bands_of.groupBy("band").agg(F.min("c").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a"), "leaders")
+    shared = materialize(lookup_join(bands_of, leaders, ["band"], "inner"), "shared")
+    pairs = materialize(shared.filter("a <> c").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct(), "pairs")
+    links = materialize(_verified(base, pairs, threshold, k), "links")
     found = materialize(connected_components(links), "components")
 
-    # second pass: what a band holds in different components; bands go by a hash, and two of one hash only meet in vain
-    shared = bands_of.join(leaders.select("band"), "band").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    entries = materialize(shared.select(F.xxhash64("band").alias("band"), "rep", F.coalesce("component", "rep").alias("c")), "entries")
-    open_ = entries.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), (F.min("c") != F.max("c")).alias("several")).filter("several")
+    # second pass: what a band holds in different components
+    entries = lookup_join(shared.select("band", "c"), found.select(F.col("id").alias("c"), "component"), ["c"]).withColumn("component", F.coalesce("component", "c"))
+    entries = materialize(entries, "entries")
+    open_ = entries.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), (F.min("component") != F.max("component")).alias("several")).filter("several")
     open_ = materialize(open_.select("band", "blocks"), "open")
-    seated = lookup_join(entries, open_, ["band"], "inner").withColumn("row", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    seated = lookup_join(entries, open_, ["band"], "inner").withColumn("seat", F.pmod(F.xxhash64("c"), F.col("blocks")))
     # block i meets block j >= i once: the row is sent to each (min, max) that it belongs to
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    sent = seated.withColumn("other", other).select("band", F.least("row", "other").alias("i"), F.greatest("row", "other").alias("j"), "row", "rep", "c")
+    sent = seated.withColumn("other", other).select("band", F.least("seat", "other").alias("i"), F.greatest("seat", "other").alias("j"), "seat", "c", "component")
 
     def cross(part: pa.Table) -> pa.Table | None:
         i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-        row, rep, c = (part.column(x).to_numpy() for x in ("row", "rep", "c"))
-        left, right = np.flatnonzero(row == i), np.flatnonzero(row == j)
-        good = c[left][:, None] != c[right]
+        seat, c, component = (part.column(x).to_numpy() for x in ("seat", "c", "component"))
+        left, right = np.flatnonzero(seat == i), np.flatnonzero(seat == j)
+        good = component[left][:, None] != component[right]
         if i == j:
             good &= left[:, None] < right
         x, y = np.nonzero(good)
-        x, y = rep[left[x]], rep[right[y]]
+        x, y = c[left[x]], c[right[y]]
         return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
 
     left_over = by_runs(sent, ["band", "i", "j"], [], cross, "a long, b long").distinct()
     left_over = materialize(left_over.join(pairs, ["a", "b"], "left_anti"), "left_over")
     if not left_over.isEmpty():
-        more = materialize(verified_pairs(base, left_over, threshold, k), "links")
+        more = materialize(_verified(base, left_over, threshold, k), "links")
         # all links once more, so that each id has one label
         found = materialize(connected_components(links.union(more)), "components")
-    labelled = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sign", F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(labelled, "sign", "left").select("doc_id", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    compared = pairs.union(left_over)
+    met = compared.select(F.col("a").alias("c")).union(compared.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_candidates"))
+    grouped = classes.drop("bands").join(found.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    grouped = materialize(grouped.join(met, "c", "left"), "grouped")
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    told = materialize(grouped.join(least, "component").select("k1", "k2", "component_id", F.coalesce("n_candidates", F.lit(0).cast("long")).alias("n_candidates")), "told")
+    out = lookup_join(signed.drop("bands"), told, ["k1", "k2"])
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(~F.col("empty"), F.col("component_id")), F.col("doc_id")))
+    alone = F.col("doc_id").isNull() | F.col("empty")
+    labels = materialize(out.select("doc_id", "h", own.alias("component_id"), F.when(alone, 0).otherwise(F.col("n_candidates")).cast("long").alias("n_candidates")), "labels")
+    for table in (signed, classes, leaders, shared, pairs, links, found, entries, open_, left_over, grouped, told):
+        drop_table(table)
+    release(docs.sparkSession)
+    return labels
+
+
+def _verified(base: DataFrame, pairs: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The pairs (a, b) of row hashes whose texts reach the threshold; the texts travel compressed, their sets are made where they meet."""
+    percent = round(100 * threshold)
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [squeeze.compress(x.encode()) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("row"), "n": pa.array([0] * len(texts), pa.int64()), "packed": pa.array(texts, pa.binary())})
+
+    texts = arrow_map(restrict(base, ids, "row").select("row", "text"), pack, "id long, n long, packed binary")
+
+    def unpack(raw: bytes) -> np.ndarray:
+        return shingle_sets(pa.array([zstandard.ZstdDecompressor().decompress(raw).decode()], pa.large_string()), k)[0]
+
+    def linked(_: int, a: np.ndarray, __: int, b: np.ndarray) -> bool:
+        small, large = sorted((a, b), key=len)
+        if not len(small):
+            return False
+        both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+        return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+    return with_hubs(pairs, texts, "packed", linked, "texts", unpack).distinct()

@@ -20,6 +20,7 @@ alone, with null component; an empty table gives no rows; other columns are igno
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -236,8 +237,8 @@ def set_table(base: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return arrow_map(restrict(base, ids, "doc_id").select("doc_id", "text"), sets, "id long, n long, bits binary, hashes binary")
 
 
-def _with_hubs(pairs: DataFrame, sets: DataFrame, column: str, linked: Callable[[int, bytes, int, bytes], bool], label: str) -> DataFrame:
-    """The pairs (a, b) for which ``linked`` holds of what ``column`` has for a and b.
+def with_hubs(pairs: DataFrame, sets: DataFrame, column: str, linked: Callable[[int, Any, int, Any], bool], label: str, unpack: Callable[[bytes], Any] | None = None) -> DataFrame:
+    """The pairs (a, b) for which ``linked`` holds of what ``column`` has for a and b (``unpack`` of it, if given).
 
     A hub's value travels once for each HUB_ROWS of its pairs, not with every pair.
     """
@@ -252,7 +253,9 @@ def _with_hubs(pairs: DataFrame, sets: DataFrame, column: str, linked: Callable[
 
     def check(table: pa.Table) -> pa.Table | None:
         names, n, own = table.column("b").to_pylist(), table.column("n").to_pylist(), table.column(column).to_pylist()
-        good = [x for x, size, raw in zip(names, n, own, strict=True) if x is not None and linked(n[0], own[0], size, raw)]
+        made = unpack or (lambda x: x)
+        hub = made(own[0])
+        good = [x for x, size, raw in zip(names, n, own, strict=True) if x is not None and linked(n[0], hub, size, made(raw))]
         return pa.table({"a": pa.array([table.column("a")[0].as_py()] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
 
     return by_runs(rows, ["a", "seat"], [F.col("b").asc_nulls_first()], check, "a long, b long")
@@ -279,8 +282,8 @@ def verified_pairs(base: DataFrame, pairs: DataFrame, threshold: float, k: int)
         small, large = sorted((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")), key=len)
         return enough(int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()), na, nb)
 
-    possible = materialize(_with_hubs(pairs, sets, "bits", may, "bits"), "possible")
-    return _with_hubs(possible, sets, "hashes", does, "sets")
+    possible = materialize(with_hubs(pairs, sets, "bits", may, "bits"), "possible")
+    return with_hubs(possible, sets, "hashes", does, "sets")
 
 
 def _expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def op1_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.edited_fingerprints(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return minhash.edited_fingerprints(docs, minhash.banded_duplicates(docs))
 
 
 def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
