@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import itertools
 import os
@@ -17,6 +18,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -141,9 +143,39 @@ def restrict(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", li
     move; more than that are joined by a shuffle that hashes the ids and does not sort ``df``.
     """
     small = ids.count() <= limit
-    right = ids.select(F.col(ids.columns[0]).alias("_restrict_id"))
+    name = free_name(df.columns, "_restrict_id")
+    right = ids.select(F.col(ids.columns[0]).alias(name))
     right = F.broadcast(right) if small else right.hint("shuffle_hash")
-    return df.join(right, F.col(key).eqNullSafe(F.col("_restrict_id")) if how == "left_anti" else F.col(key) == F.col("_restrict_id"), how)
+    return df.join(right, F.col(key).eqNullSafe(F.col(name)) if how == "left_anti" else F.col(key) == F.col(name), how)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, or with so many underscores that no taken column has it (names differ by more than case)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return their documents' columns: names that start with an underscore, as working columns do, are set aside meanwhile."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args: Any, **kwargs: Any) -> DataFrame:
+        if not any(c.startswith("_") for c in docs.columns):
+            return operator(docs, *args, **kwargs)
+        safe: list[str] = []
+        for c in docs.columns:
+            safe.append(free_name([*docs.columns, *safe], f"kept{c}") if c.startswith("_") else c)
+        return operator(docs.toDF(*safe), *args, **kwargs).toDF(*docs.columns)
+
+    return run
+
+
+def fits(table: DataFrame, *texts: str, most: int = 64 << 20) -> bool:
+    """Whether a scratch table may be broadcast: its rows at 64 bytes each and its text columns come to at most ``most`` bytes."""
+    size = F.count("*") * 64 + sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts), F.lit(0))
+    return table.agg(size).first()[0] <= most
 
 
 def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:

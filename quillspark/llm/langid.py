@@ -20,7 +20,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, is_training, materialize, restrict, row_keyed, ship_package, text_or_empty
+from .common import arrow_map, is_training, keeps_names, materialize, restrict, ship_package, text_or_empty
 from .shingles import _slices, mix64, stream64, string_bytes
 
 #: Bytes of an n-gram; least share of a language's n-grams; slots (a power of two) and hashes of the filters.
@@ -164,8 +164,8 @@ def learn(docs: DataFrame, share: float = SHARE, learned: int = LEARNED) -> Lang
     return LanguageFilters.build({lang: grams.get(lang, np.zeros(0, np.uint32)) for lang in sizes}, max(sorted(sizes), key=sizes.get))
 
 
-def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
-    """Per row: doc_id, lang_pred, score, n_grams, has_letter."""
+def predict_languages(docs: DataFrame, filters: LanguageFilters, keep: Sequence[str] = ()) -> DataFrame:
+    """Per row: doc_id, lang_pred, score, n_grams, has_letter, and the string columns named in ``keep``."""
     ship_package(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS slots, whatever the input
 
@@ -183,17 +183,22 @@ def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
                     best[to] = np.where(most > 0, top, len(own.languages))
                     score[to] = np.clip(most / np.maximum(per_row, 1), 0, 1)
                     total[to] = per_row
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(score), "n_grams": pa.array(total), "has_letter": batch.column("has_letter")})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(score), "n_grams": pa.array(total), "has_letter": batch.column("has_letter"), **{c: batch.column(c) for c in keep}})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("has_letter", F.col("text").rlike(r"\p{L}"))
-    found = arrow_map(rows, run, "doc_id long, lang_pred string, score double, n_grams long, has_letter boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *keep).withColumn("has_letter", F.col("text").rlike(r"\p{L}"))
+    found = arrow_map(rows, run, ", ".join(["doc_id long, lang_pred string, score double, n_grams long, has_letter boolean", *[f"{c} string" for c in keep]]))
     return found.withColumns({"lang_pred": F.when(F.col("has_letter"), F.col("lang_pred")).otherwise(UNKNOWN), "score": F.when(F.col("has_letter"), F.col("score")).otherwise(F.lit(0.0))})
 
 
+@keeps_names
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the texts that are in no learned language: no letter, or hardly a known n-gram."""
-    keyed = row_keyed(docs)
-    found = predict_languages(keyed.withColumn("doc_id", F.col("_row")), learn(docs))
+    """``docs`` without the texts that are in no learned language: no letter, or hardly a known n-gram.
+
+    A text alone decides, so that rows of equal id or without one are judged each by its own text.
+    """
+    key = F.md5(text_or_empty().cast("binary"))
+    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), text_or_empty().alias("text"), key.alias("key"))
+    found = predict_languages(texts, learn(docs), ["key"])
     gone = found.filter((F.col("lang_pred") == UNKNOWN) | ((F.col("n_grams") >= REJECT_GRAMS) & (F.col("score") < REJECT_BELOW)))
-    gone = materialize(gone.select("doc_id").filter("doc_id is not null").distinct(), "gone")
-    return restrict(keyed, gone, "_row", "left_anti").select(*docs.columns)
+    gone = materialize(gone.select("key").distinct(), "gone")
+    return restrict(docs.withColumn("_key", key), gone, "_key", "left_anti").select(*docs.columns)

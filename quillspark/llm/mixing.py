@@ -12,7 +12,7 @@ Everything is DataFrame functions.  The draws are hashes of document ids and the
 so reruns agree whatever the partitioning.
 
 Cases: null text has size 0; null source is a source of its own, after all others; a
-document of size 0 holds no words and takes 0; rows of equal id count one by one; a
+document of size 0 holds no words and takes 0; rows of equal id, or without one, count one by one; a
 source or table without words takes none; an empty table gives no rows.
 """
 
@@ -21,36 +21,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, materialize, restrict
+from .common import BROADCAST_ROWS, WORD, keeps_names, materialize, restrict, shuffle_width
 
 #: Weights of the sources in code point order, repeating; total over all sizes; cap over a source's size.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 #: Documents that meet in one group, on average.
 FAN_IN = 32
+#: Equal rows that are numbered in one go.
+NUMBERED = 4096
 
 
 def sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"))
 
 
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """Per source: source_size, n_docs and rank, its place in code point order, null last.
+
+    Sources are dealt to ranges; the rank is the place in the range after the sources of the
+    ranges before it, whose sizes (one number for each range) are all that one place sees.
+    """
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    first = F.col("source").asc_nulls_last()
+    dealt = materialize(by.repartitionByRange(shuffle_width(sizes.sparkSession), first).withColumn("part", F.spark_partition_id()), "dealt")
+    before, n = [], 0
+    for part, count in sorted((r["part"], r["count"]) for r in dealt.groupBy("part").count().collect()):
+        before += [F.lit(part), F.lit(n)]
+        n += count
+    start = F.element_at(F.create_map(*before), F.col("part")) if before else F.lit(0)
+    return dealt.withColumn("rank", start + F.row_number().over(Window.partitionBy("part").orderBy(first)) - 1).drop("part")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Per source: source_size, n_docs, rank and target.
 
-    Resharing what lies above the caps until none is above equals a common level: a source
-    gets its weight times the level, or its cap if that is less.  In order of cap over
-    weight the capped sources come first, which running sums find.  The windows run over
-    one row for each source.
+    Resharing what lies above the caps until none is above ends at a common level: a source
+    gets its weight times the level, or its cap if that is less.  The level rises from that
+    without caps; each round is one aggregate over the sources, and ends when no more are capped.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    by = by.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    by = ranked_sources(sizes)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    by = by.withColumn("w", weight).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    line = Window.orderBy(F.col("most") / F.col("w"), "rank")
-    before, onward, everything = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(onward)
-    by = by.withColumn("level", level).withColumn("open", F.col("most") > F.col("level") * F.col("w"))
-    by = by.withColumn("common", F.max(F.when(F.col("open"), F.col("level"))).over(everything))
-    return by.select("source", "rank", "source_size", "n_docs", F.least("most", F.coalesce(F.col("common") * F.col("w"), F.col("most"))).alias("target"))
+    by = materialize(by.withColumn("w", weight), "ranked")
+    most = F.col("source_size") * F.lit(float(cap))
+    level, capped = 0.0, -1
+    while True:
+        full = most <= F.col("w") * F.lit(level) if capped >= 0 else F.lit(False)
+        row = by.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0)), F.count_if(full)).first()
+        whole, held, open_, now = row
+        if now == capped or not open_:
+            break
+        level, capped = (share * whole - cap * held) / open_, now
+    target = F.least(most, F.col("w") * F.lit(level)) if open_ else most
+    return by.select("source", "rank", "source_size", "n_docs", target.alias("target"))
 
 
 def _draw(seed: int, *ids: Column) -> Column:
@@ -58,8 +80,9 @@ def _draw(seed: int, *ids: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
 
 
-def _item(doc_id: Column, size: Column, p: Column) -> Column:
-    return F.struct(doc_id.alias("doc_id"), size.alias("size"), p.alias("p"))
+def _item(doc_id: Column, size: Column, p: Column, place: Column) -> Column:
+    """``place`` tells rows of equal id and size apart."""
+    return F.struct(doc_id.alias("doc_id"), size.alias("size"), p.alias("p"), place.alias("place"))
 
 
 def _settled(item: Column, up: int) -> Column:
@@ -74,11 +97,11 @@ def _meet(seed: int):
         mass_c, room_c = c["size"] * c["p"], c["size"] * (1.0 - c["p"])
         mass_x, room_x = x["size"] * x["p"], x["size"] * (1.0 - x["p"])
         gain, loss = F.least(room_c, mass_x), F.least(mass_c, room_x)
-        rises = _draw(seed, c["doc_id"], x["doc_id"]) * (gain + loss) < loss
+        rises = _draw(seed, c["doc_id"], c["place"], x["doc_id"], x["place"]) * (gain + loss) < loss
         fills, empties = room_c <= mass_x, mass_c <= room_x
         new_p = F.when(rises & fills, x["p"] - room_c / x["size"]).when(rises, c["p"] + mass_x / c["size"]).when(empties, x["p"] + mass_c / x["size"]).otherwise(c["p"] - room_x / c["size"])
         carries_x = F.when(rises, fills).otherwise(empties)
-        carry = F.when(carries_x, _item(x["doc_id"], x["size"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), new_p)))).otherwise(_item(c["doc_id"], c["size"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), new_p))))
+        carry = F.when(carries_x, _item(x["doc_id"], x["size"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), new_p)), x["place"])).otherwise(_item(c["doc_id"], c["size"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), new_p)), c["place"]))
         done = F.when(rises & fills, _settled(c, 1)).when(rises, _settled(x, 0)).when(empties, _settled(c, 0)).otherwise(_settled(x, 1))
         return F.struct(carry.alias("carry"), F.concat(state["done"], F.array(done)).alias("done"))
 
@@ -110,7 +133,11 @@ def mix_sizes(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     split = (F.col("size") > 0) & (F.col("p") > 1e-12)
 
     groups = F.ceil(F.col("n_docs") / fan_in)
-    items = rows.filter(split).select("rank", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), groups).alias("g"), _item(F.col("doc_id"), F.col("size"), F.col("p")).alias("item"))
+    # rows without an id, or of one id, are numbered so that they do not all meet in one group
+    equal = rows.filter(split).groupBy("rank", "doc_id", "size", "p", "n_docs").agg(F.count("*").alias("n"))
+    equal = equal.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / NUMBERED))))
+    equal = equal.withColumn("place", F.explode(F.sequence(F.col("block") * NUMBERED, F.least(F.col("n"), (F.col("block") + 1) * NUMBERED) - 1)))
+    items = equal.select("rank", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "place"), groups).alias("g"), _item(F.col("doc_id"), F.col("size"), F.col("p"), F.col("place")).alias("item"))
     wide, done = -(-int(most) // fan_in), []
     while True:
         level = materialize(_level(items, seed + len(done)), "level")
@@ -119,7 +146,7 @@ def mix_sizes(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
             break
         wide = -(-wide // fan_in)
         items = level.select("rank", F.floor(F.col("g") / fan_in).alias("g"), F.col("carry").alias("item"))
-    last = level.select("rank", "carry.*").select("rank", "doc_id", "size", (_draw(seed, F.lit(-1), F.col("doc_id")) < F.col("p")).cast("int").alias("up"))
+    last = level.select("rank", "carry.*").select("rank", "doc_id", "size", (_draw(seed, F.lit(-1), F.col("doc_id"), F.col("place")) < F.col("p")).cast("int").alias("up"))
     for x in done:
         last = last.union(x)
     whole = rows.filter(~split).select("rank", "doc_id", "size", F.lit(0).alias("up"))
@@ -130,6 +157,7 @@ def mix_sizes(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+@keeps_names
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: every document as many times as it has copies, with the columns of ``docs``.
 

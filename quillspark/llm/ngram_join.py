@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, BROADCAST_ROWS, by_runs, connected_components, lookup_join, materialize, restrict, row_keyed, ship_package, shuffle_width, text_or_empty
+from .common import arrow_map, BROADCAST_ROWS, by_runs, connected_components, keeps_names, lookup_join, materialize, restrict, row_keyed, ship_package, shuffle_width, text_or_empty
 from .shingles import mix64, shingle_sets, stream64
 
 #: Hash slots in which shingle uses are counted, for the order alone.
@@ -370,6 +370,7 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> D
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
+@keeps_names
 def one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """``docs`` with one document of each component: the one of smallest id.  Rows without an id stay.
 

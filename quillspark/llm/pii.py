@@ -1,11 +1,14 @@
 """Operator 9: personal data by bootstrapped contextual extraction.
 
-Entities that the base rules find are seeds.  The word to the left and the word to the
-right of an entity are its lexical patterns.  Every other token that could be an
-identifier (it holds a digit or an @) is a candidate with patterns of its own.  Patterns
-and instances form a graph, scored in turns: a pattern is as good as the instances it
-selects, an instance as good as its patterns make it.  Candidates that end above the
-threshold are discovered and returned as kind ``context``.
+Entities that the base rules find are seeds.  The two and the three words to the left of an
+entity, those to its right, and the words on both sides are its lexical patterns.  Every
+other token that could be an identifier (it holds a digit or an @) is a candidate with
+patterns of its own.  Candidates that no rule could mean (numbers that the base rules look at
+and reject, plain numbers and times, hexadecimal strings) are negative instances: they are
+never discovered, and count against the patterns that select them.  Patterns and instances
+form a graph, scored in turns: a pattern is as good as the instances it selects, an instance
+as good as its patterns make it.  Candidates that end above the threshold are discovered and
+returned as kind ``context``.
 
 All of it is DataFrame functions.  Counts are of distinct instances, so that copies of a
 document add nothing, and patterns are kept only with enough seeds, which leaves a table
@@ -22,12 +25,12 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lookup_join, materialize, text_or_empty
+from .common import WORD, fits, lookup_join, materialize, text_or_empty
 from .spans import Kind, joined, kind_spans
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 #: Rounds of scoring, the least score of a discovered instance, the least seeds and confidence of a pattern.
-ROUNDS, THRESHOLD, LEAST_SEEDS, LEAST_CONFIDENCE = 3, 0.9, 8, 0.5
+ROUNDS, THRESHOLD, LEAST_SEEDS, LEAST_CONFIDENCE = 3, 0.7, 4, 0.6
 
 
 def _digits(text: Column) -> Column:
@@ -60,17 +63,32 @@ BASE = [
 NAMES = [*[k.name for k in BASE], "context"]
 #: A word that could be an identifier, and what to strip from its ends.
 CANDIDATE = Kind("candidate", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+", r"[0-9@]")
-_BEFORE = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
-_AFTER = r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)"
-#: Code points beside a span in which its context words are looked for.
-_REACH = 60
+#: Ends that belong to the sentence, not to the word.
+_EDGES = r"^[\p{P}\p{S}&&[^@+#]]+|[\p{P}\p{S}&&[^@+#]]+$"
+#: What is no identifier for certain.
+_NEGATIVE = r"[0-9.,:/%x*()-]{1,8}|[0-9][0-9 .:-]{10,}|[0-9]+(\.[0-9]+){3}|(0x)?[0-9a-f]{16,}"
+#: Code points beside a span in which its context is looked for; words beyond are no context.
+_REACH = 160
+
+
+def _words(text: Column) -> Column:
+    bare = F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(w, _EDGES, ""))
+    return F.filter(bare, lambda w: w != "")
 
 
 def _described(s: Column) -> Column:
-    """A span as an instance with its patterns: the neighbouring words in lower case, with their side."""
-    left, right = F.regexp_extract(s["left"], _BEFORE, 1), F.regexp_extract(s["right"], _AFTER, 1)
-    patterns = F.filter(F.array(F.concat(F.lit("<"), F.lower(left)), F.concat(F.lit(">"), F.lower(right))), lambda x: F.length(x) > 1)
-    return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["text"]).alias("instance"), patterns.alias("patterns"))
+    """A span as an instance with its patterns: neighbouring words in lower case, with their side."""
+    # the word that the span is cut out of is no neighbour
+    left, right = _words(F.regexp_replace(s["left"], WORD + "$", "")), _words(F.regexp_replace(s["right"], "^" + WORD, ""))
+    before = lambda n: F.concat(F.lit("<"), F.array_join(F.slice(left, -n, n), " "))
+    after = lambda n: F.concat(F.lit(">"), F.array_join(F.slice(right, 1, n), " "))
+    sides = [F.when(F.size(words) >= n, side(n)) for words, side in ((left, before), (right, after)) for n in (2, 3)]
+    both = F.when((F.size(left) >= 1) & (F.size(right) >= 1), F.concat(before(1), after(1)))
+    patterns = F.filter(F.array(*sides, both), lambda x: x.isNotNull())
+    bare = F.regexp_replace(F.lower(s["text"]), _EDGES, "")
+    lead = F.length(F.regexp_extract(s["text"], _EDGES.split("|")[0], 0))
+    lead = F.when(bare == "", 0).otherwise(lead)
+    return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(bare)).alias("end"), bare.alias("instance"), patterns.alias("patterns"))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -89,7 +107,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """Scores of unseen instances from distinct edges (pattern, instance, seed boolean): (instance, score).
+    """Scores of unseen instances from distinct edges (pattern, instance, seed boolean, negative boolean): (instance, score).
 
     A pattern's confidence is the mean score of its instances (seeds count 1) with one more
     instance of score 0; an instance's score is the chance that at least one of its patterns
@@ -97,7 +115,7 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST
     """
     support = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("long")).alias("seeds"), F.count("*").alias("all"))
     able = materialize(support.filter((F.col("seeds") >= least_seeds) & (F.col("seeds") < F.col("all"))), "patterns")
-    graph = materialize(lookup_join(edges.filter("not seed"), able, ["pattern"], "inner").select("pattern", "instance"), "graph")
+    graph = materialize(lookup_join(edges.filter("not seed and not negative"), able, ["pattern"], "inner").select("pattern", "instance"), "graph")
     scores = graph.select("instance").distinct().select("instance", F.lit(0.0).alias("score"))
     for _ in range(rounds):
         gained = lookup_join(graph, materialize(scores, "scores"), ["instance"], "inner").groupBy("pattern").agg(F.sum("score").alias("gained"))
@@ -115,9 +133,9 @@ def personal_data(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = R
 
     def edges(column: str, seed: bool) -> DataFrame:
         one = found.select(F.explode(column).alias("c")).select(F.col("c.instance").alias("instance"), F.explode("c.patterns").alias("pattern"))
-        return one.select("pattern", "instance", F.lit(seed).alias("seed"))
+        return one.select("pattern", "instance", F.lit(seed).alias("seed"), (F.lit(not seed) & F.col("instance").rlike(f"^(?:{_NEGATIVE})?$")).alias("negative"))
 
-    graph = edges("seeds", True).union(edges("candidates", False)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    graph = edges("seeds", True).union(edges("candidates", False)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min("negative").alias("negative"))
     scores = score_graph(materialize(graph, "graph"), rounds, least_seeds)
     chosen = materialize(scores.filter(F.col("score") >= threshold).select("instance"), "chosen")
     base = found.filter(F.size("spans") > 0).select("doc_id", "text_key", "spans")
@@ -134,7 +152,7 @@ def personal_data(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = R
     final = base.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), *[of_kind(i) for i in range(len(BASE))], F.sha2(joined(F.col("spans"), NAMES), 256).alias("base_sha256"), joined(all_, NAMES).alias("spans"))
     final = materialize(final, "final")
     ids = rows.select("doc_id", F.xxhash64("text").alias("text_key"))
-    final = F.broadcast(final) if final.count() <= BROADCAST_ROWS // 20 else final
+    final = F.broadcast(final) if fits(final, "spans", "base_sha256") else final
     out = ids.join(final, ids["doc_id"].eqNullSafe(F.col("_doc")) & (ids["text_key"] == F.col("_key")), "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", *[F.coalesce(f"n_{k.name}", zero).alias(f"n_{k.name}") for k in BASE], F.coalesce("base_sha256", F.lit(EMPTY_SHA)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))

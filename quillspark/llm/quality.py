@@ -7,11 +7,13 @@ small network over features of the whole text: how character classes follow each
 letter case, word lengths and repetition of words and lines.  It is trained on bounded
 samples; the features and the scores are computed for every document.
 
-The prior is estimated as the share of quality 1 among the labelled documents that may be
-learned (they are a random part of the corpus), pulled towards one half by two rows.
+The prior is estimated from positives and unlabelled documents alone: a first network tells
+the two apart on one half of the sample, and scores the other; the share of unlabelled over
+the share of positives that score above some t is the prior where only positives score so.
+The t is taken whose ratio, with room for the error of both counts, is smallest.
 
 Cases: null text is empty and scored like any text; labels other than 0 and 1 are left
-out; without a positive to learn from every score is the prior; repeated rows are scored
+out; without a positive to learn from every score is one half; repeated rows are scored
 one by one, repeated labels of a document count once, as quality 0 if they differ; an
 empty table gives no rows; other columns are ignored.
 """
@@ -129,13 +131,28 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network
     return Network(prior, mean, scale, tuple(theta))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled; one half where there is nothing to estimate it from."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    scored = []
+    for half in (0, 1):
+        network = train(positive[half::2], unlabelled[half::2], 0.5)
+        scored.append((network.score(positive[1 - half :: 2]), network.score(unlabelled[1 - half :: 2])))
+    p, u = (np.sort(np.concatenate(x)) for x in zip(*scored, strict=True))
+    cut = np.unique(np.concatenate([p, u]))
+    above_p, above_u = 1 - np.searchsorted(p, cut) / len(p), 1 - np.searchsorted(u, cut) / len(u)
+    room = 1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u))
+    some = np.flatnonzero(above_p > 0)
+    best = some[((above_u[some] + room) / above_p[some]).argmin()]
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Network:
     """A network from the labels and documents that may be learned."""
     ship_package(docs.sparkSession)
     told = labels.filter(is_training() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     told = materialize(told, "told")
-    good, known = told.agg(F.coalesce(F.sum("quality"), F.lit(0)), F.count("*")).first()
-    prior = (good + 1) / (known + 2)
     draw = F.xxhash64("doc_id")
     trusted = told.filter("quality = 1").select("doc_id").orderBy(draw, "doc_id").limit(positives).withColumn("kind", F.lit(1))
     rows = docs.filter(is_training()).select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -149,7 +166,8 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     measured = arrow_map(chosen, measure, "doc_id long, x binary").join(F.broadcast(drawn), "doc_id").toPandas().sort_values("doc_id").drop_duplicates("doc_id")  # at most positives + unlabelled rows
     x = np.stack([np.frombuffer(v, np.float32) for v in measured["x"]]) if len(measured) else np.zeros((0, N_FEATURES), np.float32)
-    return train(x[(measured["trusted"] == 1).to_numpy(bool)], x[(measured["other"] == 0).to_numpy(bool)], prior)
+    positive, unlabelled_ = x[(measured["trusted"] == 1).to_numpy(bool)], x[(measured["other"] == 0).to_numpy(bool)]
+    return train(positive, unlabelled_, estimated_prior(positive, unlabelled_))
 
 
 def score_documents(docs: DataFrame, network: Network) -> DataFrame:

@@ -1,17 +1,19 @@
 """Operator 5: secret scans with an incremental blob ledger.
 
 Every version of a text is a blob, named by its SHA-256.  A ledger (a folder of Parquet
-tables) records which blobs were scanned under which version of the rules, and what was
-found.  A scan reads only blobs whose pair with the current rules is new, once each
-however many documents hold them, adds them to the ledger, and joins the findings back to
-all documents.  All of it is DataFrame functions.
+tables) records which document held which blob at each scan, which blobs were scanned under
+which version of the rules, and what was found.  A scan reads only blobs whose pair with the
+current rules is new, once each however many documents hold them, adds them to the ledger,
+and joins the findings back to all documents; ``history`` joins them to the documents of
+every earlier scan.  All of it is DataFrame functions.
 
 The base rules are fixed by contract; the method adds private key blocks, bearer
 credentials and JSON web tokens, as kinds of their own.
 
 Cases: null text is the empty blob; an empty or very long text is a blob like any other;
 repeated rows share their blob and are returned one by one; an empty table gives no rows
-and an empty addition to the ledger; other columns are ignored, or kept by ``redacted``.
+and an empty addition to the ledger; rows without an id are scanned and returned like any
+other; other columns, whatever their names, are ignored, or kept by ``redacted``.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, restrict, scratch_path, text_or_empty
+from .common import BROADCAST_ROWS, fits, keeps_names, materialize, restrict, scratch_path, text_or_empty
 from .spans import Kind, joined, kind_spans
 
 #: The base rules, then the rules that the method adds.
@@ -41,6 +43,7 @@ RULE_VERSION = hashlib.sha256("\n".join(f"{k.name} {k.pattern}" for k in RULES).
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 _HINT = "|".join(f"(?:{k.hint})" for k in RULES)
 
+_PATHS = "doc_id long, blob string, scan int"
 _SCANNED = "blob string, rules string"
 _FINDINGS = "blob string, rules string, n_assign long, n_access long, n_hex long, base string, spans string, places array<struct<start:int,rank:int,end:int>>"
 
@@ -70,7 +73,9 @@ def update_ledger(docs: DataFrame, ledger: str) -> DataFrame:
     """Scans the blobs of ``docs`` that the ledger has not seen under these rules; returns (doc_id, blob) of all rows."""
     spark = docs.sparkSession
     text = text_or_empty()
-    paths = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("blob")), "paths")
+    version = (_read(spark, f"{ledger}/paths", _PATHS).agg(F.max("scan")).first()[0] or 0) + 1
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("blob")).write.mode("overwrite").parquet(f"{ledger}/paths/scan={version}")
+    paths = spark.read.schema("doc_id long, blob string").parquet(f"{ledger}/paths/scan={version}")
     seen = _read(spark, f"{ledger}/scanned", _SCANNED).filter(F.col("rules") == RULE_VERSION).select("blob")
     first = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(seen.distinct(), "blob", "left_anti")
     unseen = materialize(first, "unseen")
@@ -88,6 +93,18 @@ def update_ledger(docs: DataFrame, ledger: str) -> DataFrame:
     return paths
 
 
+def _findings(spark: SparkSession, ledger: str) -> DataFrame:
+    found = _read(spark, f"{ledger}/findings", _FINDINGS).filter(F.col("rules") == RULE_VERSION).drop("rules")
+    return materialize(found.filter("spans <> ''").dropDuplicates(["blob"]), "findings")
+
+
+def history(spark: SparkSession, ledger: str) -> DataFrame:
+    """Every document version that holds a finding: scan (1 for the first), doc_id, blob, spans."""
+    found = _findings(spark, ledger).select("blob", "spans")
+    paths = _read(spark, f"{ledger}/paths", _PATHS)
+    return paths.join(F.broadcast(found) if fits(found, "blob", "spans") else found, "blob").select("scan", "doc_id", "blob", "spans")
+
+
 def _ids_repeat(paths: DataFrame) -> bool:
     total, distinct = paths.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     return total != distinct
@@ -101,22 +118,22 @@ def secret_findings(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     ledger = ledger or scratch_path(spark, "ledger")
     paths = update_ledger(docs, ledger)
-    found = _read(spark, f"{ledger}/findings", _FINDINGS).filter(F.col("rules") == RULE_VERSION).drop("rules").filter("spans <> ''").dropDuplicates(["blob"])
-    found = materialize(found, "findings")
-    joined_ = paths.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS // 20 else found, "blob", "left")
+    found = _findings(spark, ledger)
+    joined_ = paths.join(F.broadcast(found) if fits(found, "blob", "base", "spans") else found, "blob", "left")
     return joined_.select("doc_id", "blob", *[F.coalesce(f"n_{k.name}", F.lit(0).cast("long")).alias(f"n_{k.name}") for k in BASE], F.when(F.coalesce("base", F.lit("")) == "", F.lit(EMPTY_SHA)).otherwise(F.sha2("base", 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), "places")
 
 
+@keeps_names
 def redacted(docs: DataFrame, ledger: str | None = None, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found secret replaced by ``mask`` (overlapping spans by one); n_chars follows the text."""
     found = secret_findings(docs, ledger).filter("spans <> ''").select(F.col("blob").alias("_blob"), F.col("places").alias("_places")).dropDuplicates(["_blob"])
     found = materialize(found, "redactions")
-    small = found.count() <= BROADCAST_ROWS // 20
-    hit = docs.join(F.broadcast(found) if small else found, F.sha2(text_or_empty(), 256) == F.col("_blob"), "left")
+    places = found.agg(F.coalesce(F.sum(F.size("_places")), F.lit(0))).first()[0]
+    hit = docs.join(F.broadcast(found) if fits(found, "_blob") and places <= BROADCAST_ROWS else found, F.sha2(text_or_empty(), 256) == F.col("_blob"), "left")
     # pieces between the spans, then the mask between the pieces
     step = lambda s, x: F.when(x["start"] >= s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["keep"], F.array(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]))).alias("keep"))).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["keep"].alias("keep")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("keep"))
     clean = F.aggregate("_places", zero, step, lambda s: F.concat(F.array_join(s["keep"], mask), F.lit(mask), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
     new = F.when(F.col("_places").isNotNull(), clean).otherwise(F.col("text"))
-    changed = {"text": new} | ({"n_chars": F.when(F.col("_places").isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    changed = {"text": new} | ({"n_chars": F.when(F.col("_places").isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return hit.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])

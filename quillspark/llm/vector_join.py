@@ -1,21 +1,27 @@
 """Operator 6: near-duplicate vectors by an exact metric range join.
 
 On unit vectors a cosine of at least c is a distance of at most ``r = sqrt(2 - 2 c)``.
-Pivots are chosen from a bounded sample; each vector's home is the cell of its nearest
-pivot.  By the triangle inequality a vector x of home h can only have partners in cell p
-if ``d(x, p) - d(x, h) <= 2 r`` and ``d(x, p) <= R_p + r``, R_p being the cell's radius;
-to those cells, of higher number than its own, it is sent as a visitor.  Each cell then
-joins its own vectors with each other and with its visitors, independently of all other
-cells.  Cells are cut into blocks, so that no task sees more than two of them, and a
-task returns link counts and the edges of a spanning forest, never all pairs.
+Each label has pivots of its own, from a bounded sample; a vector's home is the cell of its
+nearest pivot.  How much nearer x is to its home's pivot h than to p, taken as its distance
+from the plane half way between them, ``(x h - x p) / |h - p|``, changes by at most the
+distance from x to y when x becomes y (the triangle inequality), and is not above 0 for the
+vectors of cell p.  So x has partners there only if it is at most r, and to those cells, of
+higher number than its own, x is sent as a visitor.  Each cell then joins its own vectors
+with each other and with its visitors, independently of all other cells.  Cells are cut
+into blocks, so that no task sees more than two of them, and a task returns link counts
+and the edges of a spanning forest, never all pairs.
+
+How many pivots a label gets is measured: on the sample, cells and visitors are counted for
+4, 16, 64 and more pivots, and the number is taken whose comparisons and copies cost least.
 
 Pivots change the cost only: whatever they are, every pair is met exactly once, and its
 cosine is computed in double precision.
 
 Cases: vectors that are null, zero, of another length than their partner's, or hold null
-or non-finite components link with nothing, as do rows with a null label; repeated rows
-of one vec_id are one vector; rows without a vec_id are left out; an empty table gives no
-rows; other columns are ignored.
+or non-finite components link with nothing, as do rows with a null label; rows of one vec_id are
+one vector, the usable one that sorts first; a row without a vec_id links with nothing and is
+returned with a null component, not kept; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, by_runs, connected_components, lookup_join, materialize, ship_package
 
-#: Vectors that a cell should hold, most pivots, vectors sampled for pivots, vectors in a block.
-CELL, MOST_PIVOTS, SAMPLE, BLOCK = 2048, 1024, 20_000, 1024
+#: Vectors sampled for pivots (the number of pivots is below this, whatever the input), vectors in a block, rows compared at once.
+SAMPLE, BLOCK, ROWS = 50_000, 4096, 512
+#: Fewest pivots of a label, vectors of a label for each pivot, and what a copy of a vector costs in comparisons.
+LEAST_PIVOTS, VECTORS_EACH, COPY = 4, 256, 500
 #: Slack for rounding in bounds that only decide where a vector is sent.
-_SLACK = 1e-9
-
+_SLACK = 1e-6
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, label, dims, unit): the double precision unit vectors, packed, of rows that can link."""
@@ -57,25 +64,53 @@ def usable(vectors: DataFrame) -> DataFrame:
     return arrow_map(rows, normalise, "vec_id long, label string, dims int, unit binary")
 
 
-def choose_pivots(units: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Pivots for each vector length, by farthest-point traversal of a sample of at most SAMPLE vectors (those of smallest hash)."""
-    drawn = units.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id").limit(SAMPLE).select("dims", "unit").toPandas()
-    out = {}
-    for dims, own in drawn.groupby("dims"):
-        x = np.stack([np.frombuffer(u) for u in own["unit"]])
-        want = min(MOST_PIVOTS, len(x), max(1, round(count * len(x) / len(drawn) / CELL)))
-        picked, gap = [0], np.full(len(x), np.inf)
-        while len(picked) < want:
-            gap = np.minimum(gap, 2 - 2 * x @ x[picked[-1]])
-            if gap.max() <= 1e-12:
-                break
-            picked.append(int(gap.argmax()))
-        out[int(dims)] = x[picked]
-    return out
+def routes(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home of each row of ``x``, and the visits (row, cell) that it makes."""
+    dots = x @ pivots.T
+    home = dots.argmax(1)
+    between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-24))
+    goes = (dots[np.arange(len(x)), home][:, None] - dots) / between[home] <= reach
+    goes &= np.arange(len(pivots)) > home[:, None]
+    return home, *np.nonzero(goes)
 
 
-def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 - 2 * x @ pivots.T, 0))
+def far_points(x: np.ndarray, count: int) -> np.ndarray:
+    """Rows of ``x``, each the farthest from those before it; fewer if all others are copies."""
+    picked, gap = [0], np.full(len(x), np.inf)
+    while len(picked) < count:
+        gap = np.minimum(gap, 2 - 2 * x @ x[picked[-1]])
+        if gap.max() <= 1e-12:
+            break
+        picked.append(int(gap.argmax()))
+    return np.array(picked)
+
+
+def cheapest(x: np.ndarray, total: int, reach: float) -> np.ndarray:
+    """Pivots for a label of ``total`` vectors of which ``x`` is a sample."""
+    most = max(1, min(len(x) // 4, total // VECTORS_EACH), min(LEAST_PIVOTS, len(x) // 8))
+    order = far_points(x, most)
+    best, least, size = order[:1], np.inf, LEAST_PIVOTS
+    while True:
+        pivots = order[:size]
+        home, _, cell = routes(x, x[pivots], reach)
+        own, guests = np.bincount(home, minlength=len(pivots)) / len(x), np.bincount(cell, minlength=len(pivots)) / len(x)
+        cost = total**2 * float((own * own / 2 + own * guests).sum()) + COPY * total * (1 + float(guests.sum()))
+        if cost < least:
+            best, least = pivots, cost
+        if size >= len(order):
+            return x[best]
+        size *= 4
+
+
+def choose_pivots(units: DataFrame, reach: float, sample: int = SAMPLE) -> dict[tuple[str, int], np.ndarray]:
+    """Pivots for each label and vector length of a sample of at most ``sample`` vectors (those of smallest hash)."""
+    drawn = materialize(units.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id").limit(sample).select("label", "dims", "unit"), "drawn")
+    counts = units.groupBy("label", "dims").count().join(F.broadcast(drawn.select("label", "dims").distinct()), ["label", "dims"]).collect()  # at most one row for each of the sample
+    total = {(r["label"], r["dims"]): r["count"] for r in counts}
+    out = {}
+    for key, own in drawn.toPandas().groupby(["label", "dims"]):
+        out[key[0], int(key[1])] = cheapest(np.stack([np.frombuffer(u) for u in own.sort_values("unit")["unit"]]), total[key], reach)
+    return out
 
 
 def range_links(vectors: DataFrame, cosine: float = 0.98) -> tuple[DataFrame, DataFrame]:
@@ -84,50 +119,33 @@ def range_links(vectors: DataFrame, cosine: float = 0.98) -> tuple[DataFrame, Da
     units = materialize(usable(vectors), "units")
     total, ids = units.agg(F.count("*"), F.countDistinct("vec_id")).first()
     if total != ids:
-        units = materialize(units.dropDuplicates(["vec_id"]), "units")
-    pivots = choose_pivots(units, ids)
+        units = materialize(units.groupBy("vec_id").agg(F.min(F.struct("label", "dims", "unit")).alias("v")).select("vec_id", "v.*"), "units")
     reach = float(np.sqrt(2 - 2 * cosine)) + _SLACK
+    pivots = vectors.sparkSession.sparkContext.broadcast(choose_pivots(units, reach))  # at most SAMPLE vectors
 
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, raw = np.array(batch.column("dims").to_pylist()), batch.column("unit").to_pylist()
-            cell, far = np.zeros(len(raw), np.int32), np.zeros(len(raw))
-            for d in np.unique(dims).tolist() if len(raw) else []:
-                if d in pivots:
-                    own = np.flatnonzero(dims == d)
-                    gaps = _distances(np.stack([np.frombuffer(raw[i]) for i in own]), pivots[d])
-                    cell[own], far[own] = gaps.argmin(1), gaps.min(1)
-            yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "label": batch.column("label"), "dims": batch.column("dims"), "cell": pa.array(cell, pa.int32()), "far": pa.array(far)})
-
-    homes = materialize(arrow_map(units, home, "vec_id long, label string, dims int, cell int, far double"), "homes")
-    cells = homes.groupBy("dims", "cell").agg(F.max("far").alias("radius"))
-    radius = {(r["dims"], r["cell"]): r["radius"] for r in cells.collect()}  # one row for each pivot
-    radii = {d: np.array([radius.get((d, c), -np.inf) for c in range(len(p))]) for d, p in pivots.items()}
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                dims, raw = np.array(part.column("dims").to_pylist()), part.column("unit").to_pylist()
-                rows, cells_, guests = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for d in np.unique(dims).tolist() if len(raw) else []:
-                    own = np.flatnonzero(dims == d)
-                    if d not in pivots:
-                        rows.append(own), cells_.append(np.zeros(len(own), np.int64)), guests.append(np.zeros(len(own), np.int64))
-                        continue
-                    gaps = _distances(np.stack([np.frombuffer(raw[i]) for i in own]), pivots[d])
-                    nearest = gaps.argmin(1)
-                    near = gaps.min(1)[:, None]
-                    goes = (gaps - near <= 2 * reach) & (gaps <= radii[d] + reach) & (np.arange(gaps.shape[1]) > nearest[:, None])
-                    i, c = np.nonzero(goes)
-                    rows += [own, own[i]]
-                    cells_ += [nearest, c]
-                    guests += [np.zeros(len(own), np.int64), np.ones(len(i), np.int64)]
-                at = np.concatenate(rows)
-                out = part.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cells_), pa.int32()), pa.array(np.concatenate(guests), pa.int32())], [*out.schema.names, "cell", "guest"])
-
-    sent = materialize(arrow_map(units, visit, "vec_id long, label string, dims int, unit binary, cell int, guest int"), "sent")
+            keys = list(zip(batch.column("label").to_pylist(), batch.column("dims").to_pylist(), strict=True))
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                places.setdefault(key, []).append(i)
+            raw = batch.column("unit").to_pylist()
+            rows, cells, guests = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for key, at in places.items():
+                own = np.array(at)
+                home, i, cell = np.zeros(len(own), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if key in pivots.value:
+                    home, i, cell = routes(np.stack([np.frombuffer(raw[j]) for j in at]), pivots.value[key], reach)
+                rows += [own, own[i]]
+                cells += [home, cell]
+                guests += [np.zeros(len(own), np.int64), np.ones(len(i), np.int64)]
+            taken = np.concatenate(rows)
+            for lo in range(0, len(taken), 4096):
+                part = slice(lo, lo + 4096)
+                out = batch.take(pa.array(taken[part]))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cells)[part], pa.int32()), pa.array(np.concatenate(guests)[part], pa.int32())], [*out.schema.names, "cell", "guest"])
+
+    sent = materialize(arrow_map(units, send, "vec_id long, label string, dims int, unit binary, cell int, guest int"), "sent")
     room = F.xxhash64("label", "dims", "cell").alias("room")
     sent = sent.withColumn("room", room)
     blocks = sent.groupBy("room", "guest").agg(F.ceil(F.count("*") / BLOCK).alias("m"))
@@ -159,15 +177,19 @@ def range_links(vectors: DataFrame, cosine: float = 0.98) -> tuple[DataFrame, Da
                     return None
         if not len(left) or not len(right):
             return None
-        near = x[left] @ x[right].T >= cosine
-        if same:
-            np.fill_diagonal(near, False)
         links = np.zeros(len(who), np.int64)
-        links[left] += near.sum(1)
-        if not same:
-            links[right] += near.sum(0)
-        i, j = np.nonzero(near)
-        i, j = left[i], right[j]
+        found = []
+        for lo in range(0, len(left), ROWS):
+            some = left[lo : lo + ROWS]
+            i, j = np.nonzero(x[some] @ x[right].T >= cosine)
+            i, j = some[i], right[j]
+            if same:
+                i, j = i[i != j], j[i != j]
+            links += np.bincount(i, minlength=len(who))
+            if not same:
+                links += np.bincount(j, minlength=len(who))
+            found.append(np.stack(_forest(len(who), i, j)))
+        i, j = np.concatenate(found, 1)
         a, b = _forest(len(who), i, j)
         some = np.flatnonzero(links)
         pad = pa.nulls(len(some), pa.int64())
@@ -198,7 +220,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     counts, edges = range_links(vectors, cosine)
     labels = materialize(connected_components(materialize(edges, "edges")), "labels").withColumnRenamed("id", "vec_id")
     found = materialize(labels.join(counts, "vec_id"), "found")
-    ids = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
+    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
+    ids = ids.filter("vec_id is not null").distinct().union(ids.filter("vec_id is null"))
     out = lookup_join(ids, found, ["vec_id"])
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

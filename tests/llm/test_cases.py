@@ -55,8 +55,8 @@ def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(5)
     ids = np.concatenate([rng.integers(0, 5, 4000), np.full(501, 3), np.tile([1, 2, 1], 300)]).astype(np.uint32)
     counts = np.array([1, 1999, 2000, 501, 900], np.int64)
-    shard = repair.Shard(repair.pack_shard(ids, counts, [7, None, 9, 9, 11], 10, rounds=6, least_uses=2))
-    assert shard.doc_ids == [7, None, 9, 9, 11] and np.array_equal(shard.all_ids(), ids) and len(shard.sequence) < len(ids) / 3
+    shard = repair.Shard(repair.pack_shard(ids, counts, [7, None, 9, 9, 11], 10))
+    assert shard.doc_ids == [7, None, 9, 9, 11] and len(shard.sequence) < len(ids) / 3
     for i, (end, n) in enumerate(zip(np.cumsum(counts), counts, strict=True)):
         assert np.array_equal(shard.document(i), ids[end - n : end])
 
@@ -247,9 +247,10 @@ def test_context_discovers_identifiers(spark):
     assert found == {30: "context:15:24"}
 
 
-@pytest.mark.parametrize("cell,block", [(2048, 1024), (16, 8)])
-def test_vector_links(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(vector_join, "CELL", cell)
+@pytest.mark.parametrize("each,copy,block", [(256, 500, 1024), (2, 0, 8)])
+def test_vector_links(spark, monkeypatch, each, copy, block):
+    monkeypatch.setattr(vector_join, "VECTORS_EACH", each)
+    monkeypatch.setattr(vector_join, "COPY", copy)
     monkeypatch.setattr(vector_join, "BLOCK", block)
     rng = np.random.default_rng(9)
     x = rng.normal(size=(120, 8))
@@ -261,6 +262,7 @@ def test_vector_links(spark, monkeypatch, cell, block):
     bad = [(900, None, 1, 1), (901, [0.0] * 8, 1, 1), (902, [1.0, None] + [0.0] * 6, 1, 1), (903, [float("nan")] * 8, 1, 1), (904, x[0].tolist(), None, 1), (905, [], 0, 1), (906, [1.0, 2.0], 0, 1), (None, x[0].tolist(), 0, 1)]
     df = spark.createDataFrame(rows + bad + rows[3:5], "vec_id long, embedding array<double>, label int, n_links int").repartition(5)
     got = {r.vec_id: r for r in vector_join.near_vectors(df).collect()}
+    assert (got.pop(None).n_links, got.get(0) is not None) == (0, True)
     want = components(range(len(x)), list(zip(*np.nonzero(near), strict=True)))
     assert len(got) == len(x) + 7 and near.sum() > 100
     for i in range(len(x)):
