@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import card_catalog
+from . import card_catalog, text_catalog
 from .functions import tokens as T
 from .operators import catalogue, overlap, retrieval, scoring, segments, sessions, stats
 from .plans.literals import Literal
@@ -22,12 +22,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # literal tables
 
-TOKENS = Literal("t", "id int, text string, expected string", ((1, "cost", "cost"), (2, "first principles", "first principles"), (3, "SpaceX", "spacex"), (4, "主要矛盾", "主要 要矛 矛盾"), (5, "AI 效率", "ai 效率"), (6, "抓总的、主要的", "抓总 总的 主要 要的"), (7, "道", "道"), (8, "a-b c/d", "a-b c/d")))
-MARKDOWN = Literal("t", "doc_id long, text string", ((1, "# One\nfirst line\nsecond line\n\n- item a\n- item b\n## Two\n```\n# no heading\ncode\n```\nlast"), (2, "no heading\n# A\n### C\ntext\n## B\ntext"), (3, "")))
-ELEMENTS = Literal("e", "doc_id long, seq long, type string, path string, text string", (
-    (1, 0, "heading", "One", "# One"), (1, 1, "paragraph", "One", "first line\nsecond line"), (1, 2, "list", "One", "- item a"), (1, 3, "list", "One", "- item b"), (1, 4, "heading", "One / Two", "## Two"), (1, 5, "code", "One / Two", "```\n# no heading\ncode\n```"), (1, 6, "paragraph", "One / Two", "last"),
-    (2, 0, "paragraph", "", "no heading"), (2, 1, "heading", "A", "# A"), (2, 2, "heading", "A / C", "### C"), (2, 3, "paragraph", "A / C", "text"), (2, 4, "heading", "A / B", "## B"), (2, 5, "paragraph", "A / B", "text"),
-))
 CASES = Literal("cases", "case_id string, target string, sibling string", (("t-01", "a", "b"), ("t-02", "b", "a"), ("t-03", "a", "b"), ("t-04", "b", "a"), ("d-01", None, None), ("d-02", None, None)))
 ANSWERS = Literal("answers", "case_id string, selected string", (("t-01", "a"), ("t-02", " a "), ("t-03", "a"), ("t-04", "b"), ("d-01", "None"), ("d-02", "b")))
 SCORES = Literal("s", "subject string, score double", (("p", 95.0), ("p", 91.0), ("q", 95.0), ("q", 83.0), ("r", 95.0), ("r", 85.0), ("s", 95.0), ("t", None), ("u", 130.0), ("u", 90.0)))
@@ -37,12 +31,6 @@ REVIEWS = Literal("r", "card string, reviewer_type string, grade string, fabrica
 CARDS = Literal("c", "slug string, description string, src string, bundle string, promoted boolean, trigger_ready boolean", (("good-card", "A description that is long enough to say what this is for.", "cards/a.md", "k", True, True), ("Bad_Slug", "short", "../b.md", "k", True, True), ("twin", None, "/c.md", "k", True, True), ("twin", "Another description that is long enough to pass the rule.", "d/e.md", "l", False, True)))
 RELATIONS = Literal("rel", "slug string, target string, relation string", (("good-card", "twin", "contrasts_with"), ("twin", "good-card", "contrasts_with"), ("twin", "missing", "depends_on")))
 FAILURES = Literal("f", "category string, severity string", (("locator", "P0"), ("locator", "P1"), ("locator", "P1"), ("cjk", "P0")))
-SUBTITLES = Literal("t", "file string, text string", (("a.srt", "1\n00:00:00,000 --> 00:00:02,000\nHello <b>there</b>\n\n2\n00:00:02,500 --> 00:00:04,000\n...\n\n3\n00:00:05,000 --> 00:00:06,500\nsecond\nline"), ("b.vtt", "WEBVTT\n\n01:02.300 --> 01:03.000\nno hours")))
-CUES = Literal("t", "file string, idx long, start_ms long, end_ms long, text string", (("a", 1, 0, 1000, "one two"), ("a", 2, 3500, 4000, "at the limit"), ("a", 3, 6501, 7000, "one above"), ("a", 4, 7100, 7200, "x" * 420), ("a", 5, 7300, 7400, "y")))
-MARKED = Literal("t", "src string, text string", (("s1", "intro\n[00:00:01] first\nmore\n\n[00:00:09.5] second"), ("s2", "no marks")))
-MATTER = Literal("t", "card string, text string", (("k1", "---\nname: one\ndescription: two words\n---\nbody\nname: not this"), ("k2", "no front matter")))
-USES = Literal("t", "id int, text string", ((1, "适用：plan a trip；plan a trip；cook well。no"), (2, "only this one use"), (3, "")))
-RATIOS = Literal("t", "id int, text string", ((1, "[一手] a [二手] b [一手] c [一手]"), (2, "nothing")))
 
 
 def _shingle_sql(words: str, n: int) -> str:
@@ -105,7 +93,6 @@ def _quality(s: SparkSession, d: str) -> DataFrame:
 
 _add("retrieval_quality", _quality, f"""WITH f AS (SELECT doc_id FROM documents WHERE contains(source, 'with') OR contains(lower(text), 'with')), t AS (SELECT doc_id FROM documents WHERE list_contains({_LEX}, 'with'))
 SELECT 'with' AS query, count(*) FILTER (f.doc_id IS NOT NULL AND t.doc_id IS NOT NULL) AS tp, count(*) FILTER (t.doc_id IS NULL) AS fp, count(*) FILTER (f.doc_id IS NULL) AS fn FROM f FULL JOIN t ON f.doc_id = t.doc_id""")
-_add("document_stats", lambda s, d: stats.document_stats(_table(s, d, "documents")), f"SELECT doc_id, CAST({_UNITS} AS BIGINT) AS units, {_ESTIMATE} AS tokens, 'en' AS family FROM documents")
 _add("token_totals", lambda s, d: stats.token_totals(_table(s, d, "documents")), f"WITH t AS (SELECT source, {_ESTIMATE} AS t FROM documents) SELECT source, count(*) AS files, min(t) AS fewest, max(t) AS most, CAST(sum(t) AS BIGINT) AS tokens FROM t GROUP BY source")
 _add("secret_documents", lambda s, d: stats.secret_documents(_table(s, d, "documents")), r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)(api_?key|token|secret|password)\s*[:=]\s*["''][^"'']{8,}["'']')) AS BIGINT) AS n_secrets FROM documents WHERE regexp_matches(text, '(?i)(api_?key|token|secret|password)\s*[:=]\s*["''][^"'']{8,}["'']')""")
 _add("expression_stats", lambda s, d: stats.expression_stats(_table(s, d, "documents")), r"""WITH raw AS (SELECT lang, length(trim(unnest(string_split(regexp_replace(coalesce(text, ''), '[.!?。！？\n]+', chr(1), 'g'), chr(1))))) AS n FROM documents)
@@ -115,32 +102,8 @@ _add("page_text", lambda s, d: markup.page_text(_table(s, d, "pages")), r"""SELE
 _add("gap_sessions", lambda s, d: sessions.gap_sessions(_table(s, d, "events").select("user_id", "ts", F.col("event_id").alias("tie")), "user_id", "ts", F.expr("interval 6 hours")), """
 WITH o AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w > interval 6 hours OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM o) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first, max(ts) AS last FROM s GROUP BY user_id, session""")
-_add("speakers", lambda s, d: sessions.speakers(_table(s, d, "conversations").select(F.concat_ws(": ", "role", "text").alias("text"))), "SELECT role AS speaker, count(*) AS n FROM conversations GROUP BY role HAVING count(*) >= 2")
 
 
-def _versions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The documents, and an edition in which each text stands one doc_id later."""
-    docs = _table(s, d, "documents").select("doc_id", "text")
-    return docs, docs.withColumn("doc_id", F.col("doc_id") + 1)
-
-
-_EDITIONS = """WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS x FROM documents), b AS (SELECT doc_id + 1 AS doc_id, sha256(coalesce(text, '')) AS y FROM documents), c AS (SELECT * FROM a FULL JOIN b USING (doc_id))"""
-_add("version_diff", lambda s, d: catalogue.version_diff(*_versions(s, d)), _EDITIONS + " SELECT doc_id, CASE WHEN x IS NULL THEN 'additive' WHEN y IS NULL THEN 'deletion' WHEN x <> y THEN 'modified' ELSE 'unchanged' END AS change FROM c")
-
-
-def _manifest(s: SparkSession, d: str) -> DataFrame:
-    old, new = (x.select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")) for x in _versions(s, d))
-    return catalogue.manifest_drift(old, new)
-
-
-_add("manifest_drift", _manifest, _EDITIONS + " SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN y IS NULL THEN 'deleted' ELSE 'changed' END AS state FROM c WHERE x IS NOT NULL AND (y IS NULL OR x <> y)")
-_add("label_agreement", lambda s, d: _table(s, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n")), "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic")
-
-_add("lexical_tokens", lambda s, d: TOKENS.df(s).select("id", F.array_join(T.lexical_tokens(F.col("text")), " ").alias("tokens")), f"WITH {TOKENS.cte} SELECT CAST(id AS INTEGER) AS id, expected AS tokens FROM t")
-_add("markdown_elements", lambda s, d: segments.elements(MARKDOWN.df(s)), f"WITH {ELEMENTS.cte} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(seq AS BIGINT) AS seq, type, path, text FROM e")
-_add("packed_chunks", lambda s, d: segments.chunks(segments.elements(MARKDOWN.df(s)), 40))
-_add("document_chunks", lambda s, d: segments.chunks(_table(s, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "text")).select("doc_id", F.col("seq").cast("long").alias("seq"), F.lit("paragraph").alias("type"), F.lit("").alias("path"), "text"), 1000))
-_add("trigger_metrics", lambda s, d: scoring.trigger_metrics(CASES.df(s), ANSWERS.df(s)), "SELECT 3::BIGINT AS tp, 1::BIGINT AS fp, 1::BIGINT AS fn, 1::BIGINT AS sibling_confusion, 4::BIGINT AS passed, 6::BIGINT AS cases")
 _add("normal_answers", lambda s, d: ANSWERS.df(s).select("case_id", scoring.normal_answer(F.col("selected")).alias("answer")), f"WITH {ANSWERS.cte} SELECT case_id, CASE WHEN lower(trim(selected)) IN ('none', 'null', 'nil', 'n/a', 'na', '-', '', '无', '不适用') THEN NULL ELSE trim(selected) END AS answer FROM answers")
 _add("cross_review", lambda s, d: scoring.cross_review(SCORES.df(s)), f"""WITH {SCORES.cte}, b AS (SELECT subject, count(score) AS scorers, max(score) - min(score) AS spread, bool_or(score < 0 OR score > 100) AS bad FROM s GROUP BY subject)
 SELECT subject, scorers, CAST(spread AS DOUBLE) AS spread, CASE WHEN scorers = 0 OR bad THEN 'error' WHEN scorers < 2 THEN 'insufficient_scorers' WHEN spread > 10 THEN 'needs_human_review' ELSE 'pass' END AS verdict, coalesce(scorers >= 2 AND abs(spread - 10) <= 1, false) AS fragile FROM b""")
@@ -156,15 +119,10 @@ _add("bundle_rules", lambda s, d: catalogue.bundle_rules(CARDS.df(s)), f"""WITH
 UNION ALL SELECT slug, 'escaping_src' FROM c WHERE src LIKE '/%' OR src LIKE '../%' UNION ALL SELECT slug, 'duplicate_slug' FROM c GROUP BY slug HAVING count(*) > 1""")
 _add("dependencies", lambda s, d: catalogue.dependencies(RELATIONS.df(s), CARDS.df(s)), f"WITH {RELATIONS.cte}, {CARDS.cte} SELECT slug, target, relation, CASE WHEN target IN (SELECT slug FROM c) THEN 'edge' ELSE 'orphan' END AS state FROM rel")
 _add("impact", lambda s, d: catalogue.impact(RELATIONS.df(s), "twin"), f"WITH {RELATIONS.cte} SELECT DISTINCT slug FROM rel WHERE target = 'twin'")
-_add("subtitles", lambda s, d: markup.subtitles(SUBTITLES.df(s)), "SELECT * FROM (VALUES ('a.srt', 1::BIGINT, 0::BIGINT, 2000::BIGINT, 'Hello there'), ('a.srt', 2, 5000, 6500, 'second line'), ('b.vtt', 1, 62300, 63000, 'no hours')) AS v(file, idx, start_ms, end_ms, text)")
-_add("capped_sessions", lambda s, d: sessions.capped_sessions(CUES.df(s)), "SELECT * FROM (VALUES ('a', 0::BIGINT, 0::BIGINT, 4000::BIGINT, 20::BIGINT, 2::BIGINT), ('a', 1, 6501, 7000, 9, 1), ('a', 2, 7100, 7200, 420, 1), ('a', 3, 7300, 7400, 1, 1)) AS v(file, para, start_ms, end_ms, chars, cue_count)")
-_add("time_segments", lambda s, d: markup.time_segments(MARKED.df(s)), "SELECT * FROM (VALUES ('s1', 0::BIGINT, '00:00:01', 'first more'), ('s1', 1, '00:00:09.5', 'second')) AS v(src, seg_no, mark, text)")
-_add("front_matter", lambda s, d: markup.front_matter(MATTER.df(s)), "SELECT * FROM (VALUES ('k1', 'name', 'one'), ('k1', 'description', 'two words')) AS v(card, key, value)")
-_add("use_cases", lambda s, d: USES.df(s).select("id", F.array_join(catalogue.use_cases(F.col("text")), "|").alias("uses")), "SELECT * FROM (VALUES (1::INTEGER, 'plan a trip|cook well'), (2, 'only this one use'), (3, '')) AS v(id, uses)")
-_add("source_ratio", lambda s, d: RATIOS.df(s).select("id", catalogue.source_ratio(F.col("text")).alias("ratio")), "SELECT * FROM (VALUES (1::INTEGER, 0.75::DOUBLE), (2, NULL)) AS v(id, ratio)")
 
 
 QUERIES |= card_catalog.QUERIES
+QUERIES |= text_catalog.QUERIES
 
 
 def queries() -> dict[str, Query]:

@@ -27,36 +27,55 @@ def _spaced(text: Column) -> Column:
     return F.regexp_replace(text, f"([{CJK}]+)", " $1 ")
 
 
+def _with_bigrams(own: Column, inside: str) -> Column:
+    """Runs of ``inside``, those of CJK characters as bigrams; texts without CJK take no part in the latter."""
+    every = lambda text: F.regexp_extract_all(text, F.lit(inside), F.lit(0))
+    return F.when(own.rlike(f"[{CJK}]"), F.flatten(F.transform(every(_spaced(own)), _bigrams))).otherwise(every(own))
+
+
 def words(text: Column) -> Column:
     """Lower-case words and CJK bigrams, in order."""
-    found = F.regexp_extract_all(_spaced(F.lower(F.coalesce(text, F.lit("")))), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
-    return F.flatten(F.transform(found, _bigrams))
+    return _with_bigrams(F.lower(F.coalesce(text, F.lit(""))), r"[\p{L}\p{N}']+")
+
+
+def _lexical(text: Column) -> Column:
+    """Lower-cased, with a blank for each separator."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " " * len(SEPARATORS))
 
 
 def lexical_tokens(text: Column) -> Column:
     """Like words, but anything that is no separator stays inside its token."""
-    inside = "[^" + SEPARATORS.replace("(", r"\(").replace(")", r"\)") + "]+"
-    return F.flatten(F.transform(F.regexp_extract_all(_spaced(F.lower(F.coalesce(text, F.lit("")))), F.lit(inside), F.lit(0)), _bigrams))
+    return _with_bigrams(_lexical(text), "[^ ]+")
+
+
+def lexical_count(text: Column, term: str | None = None) -> Column:
+    """The number of lexical tokens, or of those that are ``term``."""
+    own = _lexical(text)
+    tokens = lexical_tokens(text)
+    slow = F.size(tokens if term is None else F.filter(tokens, lambda x: x == F.lit(term)))
+    fast = F.regexp_count(own, F.lit("[^ ]+" if term is None else f"(?<![^ ])\\Q{term}\\E(?![^ ])"))
+    count = F.when(own.rlike(f"[{CJK}]"), slow).otherwise(fast)
+    return (count if term is None else F.when(F.lower(text).contains(term), count).otherwise(0)).cast("long")
 
 
 def shingles(tokens: Column, n: int) -> Column:
-    """Distinct runs of n tokens, joined by blanks; none if there are fewer.
+    """Distinct runs of n tokens (without blanks), joined by blanks; none if there are fewer.
 
-    ``tokens`` must be a column of its own: an expression would be computed again for each run.
+    The runs are matches of a look-ahead, one at each token's start.
     """
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)]))
-    return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    run = f"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{n - 1}}})(?![^ ]))"
+    return F.array_distinct(F.regexp_extract_all(F.array_join(tokens, " "), F.lit(run), F.lit(1)))
 
 
-def bare_chars(text: Column) -> Column:
-    """The lower-cased letters and digits of a text, one by one."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", ""), ""), lambda c: c != "")
+def bare(text: Column) -> Column:
+    """The lower-cased letters and digits of a text."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "")
 
 
-def char_grams(chars: Column, n: int = 3) -> Column:
-    """The set of runs of n characters of a column of bare_chars; up to n characters are one run."""
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)]))
-    return F.when(F.size(chars) == 0, F.array().cast("array<string>")).when(F.size(chars) <= n, F.array(F.array_join(chars, ""))).otherwise(F.array_distinct(runs))
+def char_grams(own: Column, n: int = 3) -> Column:
+    """The set of runs of n characters of a bare text; up to n characters are one run."""
+    runs = F.array_distinct(F.regexp_extract_all(own, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    return F.when(own == "", F.array().cast("array<string>")).when(F.length(own) <= n, F.array(own)).otherwise(runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -85,6 +104,29 @@ def token_estimate(text: Column) -> Column:
 
 
 def clock(ms: Column) -> Column:
-    """Milliseconds as HH:MM:SS."""
+    """Milliseconds as HH:MM:SS.ff, cut to tenths of a second."""
     s = F.floor(ms / 1000)
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    return F.format_string("%02d:%02d:%02d.%d0", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60, F.floor(ms / 100) % 10)
+
+
+#: Fixed value: the punctuation that cleaning deletes.
+PUNCTUATION = "，。、；：？！“”‘’「」『』（）《》〈〉【】—…·,.;:?!\"'()[]<>-"
+
+
+def clean(text: Column) -> Column:
+    """A text without blanks and punctuation; letter case and order stay."""
+    return F.translate(F.regexp_replace(text, r"\s+", ""), PUNCTUATION, "")
+
+
+def normal(text: Column) -> Column:
+    """Character entities, emphasis, quotation marks, dashes and blanks brought to one form."""
+    out = text
+    for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    out = F.translate(F.translate(out, "*", ""), "“”‘’", "\"\"''")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, "[—–]|--+", "-"), r"\s+", " "))
+
+
+def mapped(text: Column, pairs: dict[str, str]) -> Column:
+    """A text with single characters replaced, as simplified by traditional forms; the table is the caller's data."""
+    return F.translate(text, "".join(pairs), "".join(pairs.values()))

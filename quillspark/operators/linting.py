@@ -19,7 +19,10 @@ HEAD_CHARS, DESCRIPTION_CHARS, MOST_STEPS = 4000, 40, 6
 
 
 def layer(text: Column, name: Column, marker: str = "SOURCE_LAYER") -> Column:
-    """verbatim, user-supplied or ai-observation, by a marker line in the first 4000 characters, a JSON field or the file's name."""
+    """verbatim, user-supplied or ai-observation, by a marker line in the first 4000 characters, a JSON field or the file's name.
+
+    ``marker`` is the word that the corpus at hand uses for its marker lines; set it to match.
+    """
     head = F.substring(F.coalesce(text, F.lit("")), 1, HEAD_CHARS)
     marked = F.regexp_extract(head, rf"(?m)^\s*(?:<!--|#|//|/\*)?\s*{marker}\s*:\s*(ai-observation|user-supplied)\b", 1)
     hinted = F.lit(False)
@@ -53,18 +56,21 @@ def card_rules(cards: DataFrame) -> DataFrame:
     claims = F.filter(F.split(section, "\n"), lambda x: x.rlike(r"^\s*[-*]\s+\S"))
     b, has_steps = F.col("body"), F.col("body").rlike(EXECUTION)
     steps = F.regexp_count(b, F.lit(r"(?m)^\*\*Step\s*\d"))
-    rule = lambda cond, level, name: F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(name).alias("rule")))
-    found = F.array_compact(F.array(
-        rule(F.col("slug") == "", "error", "no_name"), rule(F.col("about") == "", "error", "no_description"),
-        rule((F.col("slug") != "") & ~F.col("slug").rlike(r"^[a-z0-9]+(-[a-z0-9]+)*$"), "error", "bad_name"),
-        rule(F.length("about") < DESCRIPTION_CHARS, "warn", "short_description"), rule(~F.col("about").rlike(NOT_FOR), "warn", "no_exclusion"),
-        rule(~has_steps, "warn", "no_execution"), rule(has_steps & ~b.contains(DONE_WHEN), "error", "no_completion"),
-        rule(has_steps & (steps == 0), "warn", "no_steps"), rule(has_steps & (steps > MOST_STEPS), "warn", "many_steps"),
-        rule(has_steps & ~b.rlike(BOUNDARY), "warn", "no_boundary"), rule(has_steps & b.rlike(BOUNDARY) & ~b.contains(FAILURE_MODES), "error", "no_failure_modes"),
-        rule(~b.rlike(SOURCES) & ~F.col("matter").rlike(r"(?m)^(?:source_locator|source_book|source_chapter|material|material_type):[ \t]*\S"), "warn", "no_source"),
-        rule(section.isNull(), "warn", "no_claim_status"), rule(F.size(claims) == 0, "error", "empty_claim_status"),
-        rule(F.exists(claims, lambda x: ~x.rlike(STATUS_LINE)), "error", "unmarked_claims"),
-    ))
+    bounded, marked = b.rlike(BOUNDARY), section.isNotNull()
+    named = F.col("matter").rlike(r"(?m)^(?:source_locator|source_book|source_chapter|material|material_type):[ \t]*\S")
+    # what must hold, by level; a rule that says nothing about a card (null) is no violation
+    table = {
+        "error": {
+            "no_name": F.col("slug") != "", "bad_name": (F.col("slug") == "") | F.col("slug").rlike(r"^[a-z0-9]+(-[a-z0-9]+)*$"), "no_description": F.col("about") != "",
+            "no_completion": ~has_steps | b.contains(DONE_WHEN), "no_failure_modes": ~(has_steps & bounded) | b.contains(FAILURE_MODES),
+            "empty_claim_status": ~marked | (F.size(claims) > 0), "unmarked_claims": ~F.exists(claims, lambda x: ~x.rlike(STATUS_LINE)),
+        },
+        "warn": {
+            "short_description": F.length("about") >= DESCRIPTION_CHARS, "no_exclusion": F.col("about").rlike(NOT_FOR), "no_execution": has_steps, "no_steps": ~has_steps | (steps > 0),
+            "many_steps": ~has_steps | (steps <= MOST_STEPS), "no_boundary": ~has_steps | bounded, "no_source": b.rlike(SOURCES) | named, "no_claim_status": marked,
+        },
+    }
+    found = F.array_compact(F.array(*[F.when(~holds, F.struct(F.lit(level).alias("level"), F.lit(name).alias("rule"))) for level, rules in table.items() for name, holds in rules.items()]))
     return rows.select("name", F.explode(found).alias("r")).select("name", "r.level", "r.rule")
 
 

@@ -73,13 +73,20 @@ def parsed_reports(reports: DataFrame, dimensions: tuple = DIMENSIONS) -> DataFr
 def seeded_split(cases: DataFrame, seed: int = 42, ratio: float = 0.6) -> DataFrame:
     """(case_id, part): train or validation, in the order of a hash of seed and case_id, cut at ``ratio``.
 
-    The order is by sha-256, so membership is the same everywhere; case lists are small, so one
-    ranked limit serves.  Repeated case_ids share their part's fate only if they are distinct rows of one hash.
+    The order is by sha-256, so membership is the same everywhere.  Rows are counted by the hash's first
+    three digits; only those of the digits that the cut falls into are ranked.
     """
-    marked = cases.select("case_id", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("case_id").cast("string")), 256).alias("h"))
-    train = round(marked.count() * ratio)
-    first = marked.orderBy("h").limit(train).select("case_id", F.lit("train").alias("part"))
-    return marked.join(first, "case_id", "left").select("case_id", F.coalesce("part", F.lit("validation")).alias("part"))
+    marked = cases.select("case_id", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("case_id").cast("string")), 256).alias("h")).withColumn("head", F.substring("h", 1, 3))
+    counts = {r["head"]: r["count"] for r in marked.groupBy("head").count().collect()}  # at most 4096 rows
+    left, edge = round(sum(counts.values()) * ratio), ""
+    for edge in sorted(counts):
+        if counts[edge] >= left:
+            break
+        left -= counts[edge]
+    nth = F.row_number().over(Window.partitionBy("head").orderBy("h", "case_id"))
+    apart = marked.filter(F.col("head") == edge).withColumn("first", nth <= left)
+    rest = marked.filter(F.col("head") != edge).withColumn("first", F.col("head") < edge)
+    return apart.union(rest).select("case_id", F.when(F.col("first"), "train").otherwise("validation").alias("part"))
 
 
 def compiled_prompts(files: DataFrame, most: int = REFERENCE_CHARS) -> DataFrame:
@@ -90,3 +97,21 @@ def compiled_prompts(files: DataFrame, most: int = REFERENCE_CHARS) -> DataFrame
     piece: Column = F.when(F.col("entry"), bare(text)).otherwise(F.concat(F.lit("## "), F.col("path"), F.lit("\n\n"), bare(cut)))
     by = files.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct((~F.col("entry")).alias("later"), "path", piece.alias("piece")))).alias("p"))
     return by.select("bundle", F.array_join(F.transform("p", lambda x: x["piece"]), "\n\n---\n\n").alias("prompt"), F.size("p").cast("long").alias("n_files"))
+
+
+def compiled_modes(files: DataFrame, mode: str = "inline", most: int = REFERENCE_CHARS) -> DataFrame:
+    """(bundle, prompt, n_files): ``entry`` the entry alone, ``inline`` all files, ``cards`` the entry and files below ``cards/``."""
+    if mode not in ("entry", "inline", "cards"):
+        raise ValueError(f"unknown mode {mode}")
+    kept = {"entry": F.col("entry"), "inline": F.lit(True), "cards": F.col("entry") | F.col("path").startswith("cards/")}[mode]
+    return compiled_prompts(files.filter(kept), most)
+
+
+def rendered_table(rows: DataFrame, title: str, most: int = 1000) -> str:
+    """A small result as a markdown table, for people; more than ``most`` rows are refused, not cut."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    head = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
+    return "\n".join(head + ["| " + " | ".join(cell(x) for x in r) + " |" for r in found]) + "\n"

@@ -28,7 +28,7 @@ def _cut(frame: DataFrame) -> DataFrame:
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
+        if shared is None and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return frame.checkpoint()
@@ -69,7 +69,7 @@ def distinct_cues(cues: DataFrame, least: float = CUE) -> DataFrame:
     Alike: one bare text holds the other, or their 3-grams are.  What is kept depends on what was
     kept before, so this is a fold over one file's cues; texts without letters or digits stay.
     """
-    rows = cues.select("file", "idx", "text", T.bare_chars(F.col("text")).alias("c")).select("file", "idx", "text", F.array_join("c", "").alias("bare"), T.char_grams(F.col("c")).alias("g"))
+    rows = cues.select("file", "idx", "text", T.bare(F.col("text")).alias("bare")).select("file", "idx", "text", "bare", T.char_grams(F.col("bare")).alias("g"))
     files = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "bare", "g"))).alias("e"))
     kind = rows.schema
     none = F.array().cast(f"array<struct<idx:{kind['idx'].dataType.simpleString()},text:string,bare:string,g:array<string>>>")

@@ -18,7 +18,7 @@ def shingled(texts: DataFrame, key: list[str], n: int) -> DataFrame:
 
 def gram_sets(texts: DataFrame, key: list[str]) -> DataFrame:
     """(key, g): the character 3-grams of each text."""
-    return texts.select(*key, T.bare_chars(F.col("text")).alias("c")).select(*key, T.char_grams(F.col("c")).alias("g"))
+    return texts.select(*key, T.bare(F.col("text")).alias("b")).select(*key, T.char_grams(F.col("b")).alias("g"))
 
 
 def exploded(sets: DataFrame, key: list[str], column: str, name: str) -> DataFrame:
@@ -30,32 +30,77 @@ def exploded(sets: DataFrame, key: list[str], column: str, name: str) -> DataFra
     return sets.select(*key, F.explode_outer(column).alias(name)).filter(F.col(name).isNotNull())
 
 
+#: Rows up to which the smaller side of a join of shingles is broadcast (of at most a few hundred bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def _beside(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def _known_in(sets: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """(key, size, hits): the size of each text's set and how many of its elements are in ``known``.
+
+    A text's elements stay in their task while the known side is small, and only the counts of a
+    text move; else elements travel as 64-bit hashes.
+    """
+    rows = sets.select(key, F.size("s").cast("long").alias("size"), F.explode_outer("s").alias("x"))
+    rows = rows.select(key, "size", F.xxhash64("x").alias("h"), F.col("x").isNull().alias("none"))
+    right = known.select(F.xxhash64("x").alias("h")).distinct().withColumn("hit", F.lit(1))
+    joined = rows.join(_beside(right), "h", "left")
+    return joined.groupBy(key, "size").agg(F.count(F.when(~F.col("none"), F.col("hit"))).alias("hits"))
+
+
 def containment(new: DataFrame, old: DataFrame, key: str = "doc_id", n: int = SHINGLE, most: float = CONTAINMENT) -> DataFrame:
     """Per new text: distinct n-word shingles, how many occur in any old text, and a verdict.
 
-    Only shingles move, after being made distinct in their row; the row's own count never does.
-    Texts of fewer than n words are ``TOO_SHORT``, not a pass.
+    Texts of fewer than n words are ``TOO_SHORT``, not a pass.  Keys name texts, once each.
     """
-    own = shingled(new, [key], n)
-    sizes = own.select(key, F.size("s").cast("long").alias("n_shingles"))
-    known = exploded(shingled(old, [], n), [], "s", "shingle").distinct()
-    hits = exploded(own, [key], "s", "shingle").join(known, "shingle", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
-    out = sizes.join(hits, key, "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0).cast("long")))
+    known = exploded(shingled(old, [], n), [], "s", "x")
+    out = _known_in(shingled(new, [key], n), key, known).select(key, F.col("size").alias("n_shingles"), F.col("hits").alias("n_shared"))
     verdict = F.when(F.col("n_shingles") == 0, "TOO_SHORT").when(F.col("n_shared") > F.col("n_shingles") * most, "FAIL").otherwise("PASS")
     return out.withColumn("verdict", verdict)
 
 
-def sentences(docs: DataFrame, key: str) -> DataFrame:
-    """(key, sentence): normalised sentences of at least SENTENCE words."""
-    own = docs.select(key, F.explode(F.split(F.coalesce("text", F.lit("")), r"[.!?。！？\n]+")).alias("raw")).select(key, T.words(F.col("raw")).alias("w"))
-    return own.filter(F.size("w") >= SENTENCE).select(key, F.array_join("w", " ").alias("sentence"))
+def sentence_hashes(docs: DataFrame, key: str) -> DataFrame:
+    """(key, h): 64-bit hashes of the distinct normalised sentences of at least SENTENCE words of each text."""
+    parts = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[.!?。！？\n]+"), lambda x: x != "")
+    raw = docs.select(key, F.explode(F.array_distinct(parts)).alias("raw")).select(key, T.words(F.col("raw")).alias("w"))
+    # a projection of its own, so that the words are not made anew for the filter
+    own = raw.select(key, F.when(F.size("w") >= SENTENCE, F.xxhash64(F.array_join("w", " "))).alias("h"))
+    return own.filter("h is not null")
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
-    """Per document with one: how many of its sentences occur in another document too."""
-    own = sentences(docs, "doc_id").distinct()
-    often = own.groupBy("sentence").agg(F.count("*").alias("n")).filter("n > 1").select("sentence")
-    return own.join(often, "sentence", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_repeated"))
+    """Per document with one: how many of its sentences occur in another document too.
+
+    Hashes are dealt out once, and counted and looked up where they lie.
+    """
+    own = sentence_hashes(docs, "doc_id").repartition("h")
+    often = own.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
+    return own.join(often, "h", "left_semi").groupBy("doc_id").agg(F.countDistinct("h").alias("n_repeated"))
+
+
+def sentences_in_old(new: DataFrame, old: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_sentences, n_old): each new text's distinct sentences of at least SENTENCE words, and those that an old text has."""
+    rows = sentence_hashes(new, key).distinct()
+    known = sentence_hashes(old.select(F.lit(0).alias("k"), "text"), "k").select("h").distinct().withColumn("hit", F.lit(1))
+    return rows.join(_beside(known), "h", "left").groupBy(key).agg(F.count("*").alias("n_sentences"), F.count("hit").alias("n_old"))
+
+
+def overlap_report(new: DataFrame, old: DataFrame, n: int = SHINGLE, most: float = CONTAINMENT) -> DataFrame:
+    """One row: shingles and shared ones over all new texts, containment (6 digits), sentences that are in old texts, verdict.
+
+    The verdict fails above the bound or with any old sentence, and is ``vacuous`` without shingles.
+    """
+    known = exploded(shingled(old, [], n), [], "s", "x").select(F.xxhash64("x").alias("h")).distinct().withColumn("hit", F.lit(1))
+    own = exploded(shingled(new, [], n), [], "s", "x").select(F.xxhash64("x").alias("h")).distinct()
+    counts = own.join(_beside(known), "h", "left").agg(F.count("*").alias("n_shingles"), F.count("hit").alias("n_shared"))
+    again = sentences_in_old(new, old).agg(F.coalesce(F.sum("n_old"), F.lit(0)).alias("n_sentences"))
+    both = counts.crossJoin(again)  # one row each
+    share = F.col("n_shared") / F.col("n_shingles")
+    verdict = F.when(F.col("n_shingles") == 0, "vacuous").when((share > most) | (F.col("n_sentences") > 0), "FAIL").otherwise("PASS")
+    return both.select("n_shingles", "n_shared", F.when(F.col("n_shingles") > 0, F.round(share, 6)).alias("containment"), "n_sentences", verdict.alias("verdict"))
 
 
 def best_segments(quotes: DataFrame, segments: DataFrame, n: int = 5, top: int = 3) -> DataFrame:
@@ -64,9 +109,9 @@ def best_segments(quotes: DataFrame, segments: DataFrame, n: int = 5, top: int =
     Shingles are joined, not texts: nothing is compared with a segment it shares nothing with.
     """
     asked = shingled(quotes, ["item_id"], n).select("item_id", F.size("s").cast("long").alias("total"), "s")
-    asked = exploded(asked, ["item_id", "total"], "s", "shingle")
-    held = exploded(shingled(segments, ["doc_id"], n), ["doc_id"], "s", "shingle")
-    shared = held.join(asked, "shingle").groupBy("item_id", "total", "doc_id").agg(F.count("*").alias("shared"))
+    asked = exploded(asked, ["item_id", "total"], "s", "x").select("item_id", "total", F.xxhash64("x").alias("h"), F.col("x").alias("asked"))
+    held = exploded(shingled(segments, ["doc_id"], n), ["doc_id"], "s", "x").select("doc_id", F.xxhash64("x").alias("h"))
+    shared = held.join(_beside(asked.drop("asked")), "h").groupBy("item_id", "total", "doc_id").agg(F.count("*").alias("shared"))
     ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))).filter(F.col("rank") <= top)
     verdict = F.when(F.col("shared") * 10 >= F.col("total") * 6, "HIT").when(F.col("shared") * 10 >= F.col("total") * 4, "PARTIAL").otherwise("MISS")
     return ranked.select("item_id", "doc_id", "shared", "total", "rank", verdict.alias("verdict"))
@@ -74,10 +119,36 @@ def best_segments(quotes: DataFrame, segments: DataFrame, n: int = 5, top: int =
 
 def coverage(source: DataFrame, card: DataFrame) -> DataFrame:
     """Per source text of at least 8 units: its character 3-grams and how many the card's texts cover."""
-    grams = gram_sets(source.filter(T.unit_count(F.col("text")) >= 8), ["doc_id"])
-    known = exploded(gram_sets(card, []), [], "g", "gram").distinct()
-    hits = exploded(grams, ["doc_id"], "g", "gram").join(known, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("hit"))
-    return grams.select("doc_id", F.size("g").cast("long").alias("grams")).join(hits, "doc_id", "left").withColumn("hit", F.coalesce("hit", F.lit(0).cast("long")))
+    grams = gram_sets(source.filter(T.unit_count(F.col("text")) >= 8), ["doc_id"]).withColumnRenamed("g", "s")
+    known = exploded(gram_sets(card, []), [], "g", "x")
+    return _known_in(grams, "doc_id", known).select("doc_id", F.col("size").alias("grams"), F.col("hits").alias("hit"))
+
+
+def coverage_audit(covered: DataFrame, percent: int = 60, strict: int = 10) -> DataFrame:
+    """One row of (doc_id, grams, hit): texts, covered ones at ``percent`` and at ``strict`` more, quartiles, fragility.
+
+    Quartiles are elements of the ascending order, at n/4, n/2 and 3n/4 rounded down.  ``fragile``:
+    the least covered text is below the bound, or the strict count differs.
+    """
+    share = F.when(F.col("grams") > 0, F.col("hit") / F.col("grams")).otherwise(F.lit(0.0))
+    rows = covered.select("doc_id", share.alias("share"))
+    at = lambda p: F.sum((F.col("hit") * 100 >= F.col("grams") * p).cast("long"))
+    total = covered.agg(F.count("*").alias("n"), F.coalesce(at(percent), F.lit(0)).alias("covered"), F.coalesce(at(percent + strict), F.lit(0)).alias("covered_strict"))
+    # shares of equal value are counted first: as many rows as there are different shares
+    values = rows.groupBy("share").agg(F.count("*").alias("c"))
+    upto = Window.orderBy("share").rowsBetween(Window.unboundedPreceding, 0)
+    placed = values.withColumn("upto", F.sum("c").over(upto)).crossJoin(F.broadcast(total.select("n")))
+    pick = lambda k: F.min(F.when(F.col("upto") > F.floor(F.col("n") * k / 4), F.col("share")))
+    quartiles = placed.agg(pick(1).alias("q1"), pick(2).alias("q2"), pick(3).alias("q3"))
+    out = total.crossJoin(quartiles)  # one row each
+    state = F.when(F.col("n") == 0, "insufficient").when(F.col("covered") == F.col("n"), "covered").otherwise("uncovered")
+    return out.select("n", "covered", "covered_strict", *[F.round(q, 6).alias(q) for q in ("q1", "q2", "q3")], ((F.col("covered") < F.col("n")) | (F.col("covered") != F.col("covered_strict"))).alias("fragile"), state.alias("state"))
+
+
+def least_covered(covered: DataFrame, percent: int = 60, top: int = 20) -> DataFrame:
+    """(doc_id, share): the ``top`` texts below the bound, ascending by share, then by id."""
+    share = F.when(F.col("grams") > 0, F.col("hit") / F.col("grams")).otherwise(F.lit(0.0))
+    return covered.filter(F.col("hit") * 100 < F.col("grams") * percent).select("doc_id", share.alias("share")).orderBy("share", "doc_id").limit(top)
 
 
 def sensitivity(covered: DataFrame, percents: tuple[int, ...] = (50, 55, 60, 65, 70, 75, 80)) -> DataFrame:

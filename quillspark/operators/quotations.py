@@ -7,13 +7,13 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..functions import tokens as T
 from .segments import lines
 
 #: Quotation forms, words that mark a quotation as talk about quotations, forms of locators.
-LINT_QUOTES = ('"([^"\\n]{8,400})"', "「([^」]{8,400})」")
+LINT_QUOTES = ("「([^」]{8,400})」", '"([^"\\n]{8,400})"')
 ANCHOR_QUOTES = ('"([^"\\n]{4,600})"', "[「“]([^」”\\n]{4,600})[」”]")
 META_TAGS = ("归属拆分", "**归属**", "归属：", "归属标注", "措辞修正", "口径统一", "更正记录")
 AUTHOR_FRAME = ("语言信号", "用户会怎么说", "触发情境")
@@ -210,3 +210,21 @@ def best_sentences(quotes: DataFrame, sentences: DataFrame) -> DataFrame:
     near = near.filter(F.col("shared") * 5 + 5 >= n + m).withColumn("ratio", _ratio("quote", "sentence")).filter(F.col("ratio") >= LEAST_RATIO)
     best = near.withColumn("nth", F.row_number().over(Window.partitionBy("quote_id").orderBy(F.desc("ratio"), "sent_id"))).filter("nth = 1")
     return best.filter(F.abs(n - m) <= F.greatest(F.lit(4), F.floor(n / 4))).select("quote_id", "sent_id", "ratio")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _differing(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        pairs = []
+        for tag, i, j, k, m in difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).get_opcodes():
+            if tag != "equal":
+                left, right = (x or "")[i:j], (y or "")[k:m]
+                pairs += [f"{left[n : n + 1]}>{right[n : n + 1]}" for n in range(max(len(left), len(right)))]
+        out.append(pairs[:8])
+    return pd.Series(out)
+
+
+def differing_characters(pairs: DataFrame) -> DataFrame:
+    """(quote_id, sent_id, differs) of matched pairs (quote_id, sent_id, quote, sentence): up to 8 of ``a>b``, one side empty where the other has more."""
+    return pairs.select("quote_id", "sent_id", _differing("quote", "sentence").alias("differs"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
@@ -17,28 +17,38 @@ def postings(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
 
 
-def _is(term: str):
-    return lambda x: x == F.lit(term)
-
-
 def bm25(docs: DataFrame, query: list[str]) -> DataFrame:
     """(doc_id, score) of the documents that hold every term of the query, score rising with relevance.
 
-    Terms are counted inside each row, so only documents with all of them are aggregated.
+    Terms are counted inside each row; the scores read again only the texts that hold them all.
     """
-    own = docs.select("doc_id", T.lexical_tokens(F.col("text")).alias("t"))
-    tf = [F.size(F.filter("t", _is(q))).cast("long").alias(f"tf{i}") for i, q in enumerate(query)]
-    rows = own.select("doc_id", F.size("t").cast("long").alias("length"), *tf)
+    rows = docs.select("doc_id", T.lexical_count(F.col("text")).alias("length"), *[T.lexical_count(F.col("text"), q).alias(f"tf{i}") for i, q in enumerate(query)])
     stats = rows.agg(F.count("*").alias("N"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(query))])
-    score = F.lit(0.0)
-    for i in range(len(query)):
+    score, held, every = F.lit(0.0), F.lit(True), F.lit(True)
+    for i, q in enumerate(query):
         n, f = F.col(f"n{i}"), F.col(f"tf{i}")
         idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("N") - n + 0.5) / (n + 0.5)))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    every = F.lit(True)
+        held, every = held & F.lower("text").contains(q), every & (f > 0)
+    found = docs.filter(held).select("doc_id", T.lexical_count(F.col("text")).alias("length"), *[T.lexical_count(F.col("text"), q).alias(f"tf{i}") for i, q in enumerate(query)])
+    return found.filter(every).crossJoin(F.broadcast(stats)).select("doc_id", score.alias("score"))  # one row of totals
+
+
+def bm25_fields(chunks: DataFrame, query: list[str]) -> DataFrame:
+    """:func:`bm25` over three columns: a chunk's path, its keywords (the path's tokens once more) and its text (chunk_id, path, text).
+
+    A term may stand in any column; counts and lengths are sums over the columns.
+    """
+    twice = lambda term=None: 2 * T.lexical_count(F.col("path"), term) + T.lexical_count(F.col("text"), term)
+    rows = chunks.select("chunk_id", twice().alias("length"), *[twice(q).alias(f"tf{i}") for i, q in enumerate(query)])
+    stats = rows.agg(F.count("*").alias("N"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(query))])
+    score, every = F.lit(0.0), F.lit(True)
     for i in range(len(query)):
-        every = every & (F.col(f"tf{i}") > 0)
-    return rows.filter(every).join(F.broadcast(stats)).select("doc_id", score.alias("score"))  # one row of totals
+        n, f = F.col(f"n{i}"), F.col(f"tf{i}")
+        idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("N") - n + 0.5) / (n + 0.5)))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        every = every & (f > 0)
+    return rows.filter(every).crossJoin(F.broadcast(stats)).select("chunk_id", score.alias("score"))  # one row of totals
 
 
 def top_k(scored: DataFrame, k: int = 5) -> DataFrame:
@@ -56,6 +66,44 @@ def grep(docs: DataFrame, needle: str) -> DataFrame:
     return docs.filter(F.col("source").contains(needle) | F.lower("text").contains(needle.lower())).select("doc_id").distinct()
 
 
+def grep_chunks(chunks: DataFrame, needle: str, most: int = 20) -> DataFrame:
+    """(chunk_id, path): the first ``most`` chunks, by id, whose path holds the needle as it is, or whose text does in any letter case."""
+    hit = F.col("path").contains(needle) | F.lower("text").contains(needle.lower())
+    return chunks.filter(F.coalesce(hit, F.lit(False))).select("chunk_id", "path").distinct().orderBy("chunk_id").limit(most)
+
+
+def store_postings(docs: DataFrame, path: str, buckets: int = 64) -> None:
+    """Writes the postings below ``path``, one folder for each bucket of terms, and their totals beside them."""
+    rows = postings(docs).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    docs.select(T.lexical_count(F.col("text")).alias("length")).agg(F.count("*").alias("N"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def stored_bm25(spark: SparkSession, path: str, query: list[str]) -> DataFrame:
+    """:func:`bm25` from stored postings: only the buckets of the query's terms are read."""
+    total = spark.read.parquet(f"{path}/totals").first()
+    asked = spark.createDataFrame([(q,) for q in query], "term string").withColumn("b", F.pmod(F.xxhash64("term"), F.lit(total["buckets"])).cast("int"))
+    wanted = [r["b"] for r in asked.select("b").distinct().collect()]  # as many as terms
+    rows = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(wanted) & F.col("term").isin(query))
+    held = rows.groupBy("term").agg(F.count("*").alias("n"))
+    idf = F.greatest(F.lit(LEAST_IDF), F.log((total["N"] - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    own = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / total["mean"]))
+    by = rows.join(F.broadcast(held), "term").groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum(own).alias("score"))
+    return by.filter(F.col("terms") == len(set(query))).select("doc_id", "score")
+
+
+def quality_scores(counts: DataFrame) -> DataFrame:
+    """(query, precision, recall, f1) of the counts of :func:`retrieval_quality`, and their macro averages as query ``macro``.
+
+    A query that finds nothing has precision 0, one without relevant documents recall 0.
+    """
+    p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(F.lit(0.0))
+    r = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(F.lit(0.0))
+    rows = counts.select("query", p.alias("precision"), r.alias("recall")).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0)))
+    macro = rows.agg(F.lit("macro").alias("query"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+    return rows.union(macro).select("query", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def retrieval_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: true and false positives, false negatives of found against relevant (query, doc_id) pairs."""
     both = found.select("query", "doc_id", F.lit(1).alias("f")).join(truth.select("query", "doc_id", F.lit(1).alias("t")), ["query", "doc_id"], "full")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +50,102 @@ def elements(docs: DataFrame) -> DataFrame:
     return grouped.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("grp")) - 1).cast("long").alias("seq"), "type", "path", "text")
 
 
+def pack_numbers(most: int, glue: int):
+    """A vectorised function of (sizes, cuts): the number of the pack of each piece, filled in order up to ``most`` with ``glue`` between.
+
+    A true cut starts a new pack.  What a pack holds depends on those before, so pieces of one text are
+    gone through in order, once.
+    """
+
+    def number(sizes: pd.Series, cuts: pd.Series) -> pd.Series:
+        out = []
+        for own, starts in zip(sizes, cuts, strict=True):
+            pack, held, numbers = -1, 0, []
+            for size, cut in zip([] if own is None else own, [] if starts is None else starts, strict=True):
+                if pack < 0 or cut or held + glue + size > most:
+                    pack, held = pack + 1, size
+                else:
+                    held += glue + size
+                numbers.append(pack)
+            out.append(numbers)
+        return pd.Series(out)
+
+    return F.pandas_udf(number, "array<int>")
+
+
+def packed_elements(parts: DataFrame, most: int = 4000) -> DataFrame:
+    """(doc_id, chunk, path, type, seq, text): elements (doc_id, seq, type, path, text) dealt to chunks in order.
+
+    A chunk keeps one path and holds up to ``most`` characters, elements parted by a blank line;
+    code stands alone.
+    """
+    rows = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "type", "path", "text"))).alias("e"))
+    code = lambda i: F.coalesce(F.get("e", i)["type"] == "code", F.lit(False))
+    cuts = F.transform("e", lambda x, i: (x["type"] == "code") | code(i - 1) | ~x["path"].eqNullSafe(F.get("e", i - 1)["path"]))
+    sizes = F.transform("e", lambda x: F.length(x["text"]))
+    rows = rows.withColumn("n", pack_numbers(most, 2)(sizes, cuts))
+    out = rows.select("doc_id", F.explode(F.arrays_zip("e", "n")).alias("z"))
+    return out.select("doc_id", F.col("z.n").cast("long").alias("chunk"), "z.e.path", "z.e.type", "z.e.seq", "z.e.text")
+
+
+def chunk_texts(parts: DataFrame, most: int = 4000) -> DataFrame:
+    """(doc_id, chunk, path, text, n_elements, code) of :func:`packed_elements`; a chunk is gathered, so at most ``most`` characters or one element."""
+    by = packed_elements(parts, most).groupBy("doc_id", "chunk").agg(F.first("path").alias("path"), F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("e"), F.max((F.col("type") == "code").cast("int")).alias("code"))
+    return by.select("doc_id", "chunk", "path", F.array_join(F.transform("e", lambda x: x["text"]), "\n\n").alias("text"), F.size("e").cast("long").alias("n_elements"), (F.col("code") == 1).alias("code"))
+
+
 def chunks(parts: DataFrame, most: int = 4000) -> DataFrame:
-    """(doc_id, chunk, path, chars, n_elements): elements packed in order, up to ``most`` characters joined by a blank line.
+    """(doc_id, chunk, path, chars, n_elements) of :func:`packed_elements`; no text is gathered."""
+    by = packed_elements(parts, most).groupBy("doc_id", "chunk").agg(F.first("path").alias("path"), F.sum(F.length("text")).alias("own"), F.count("*").alias("n_elements"))
+    return by.select("doc_id", "chunk", "path", (F.col("own") + 2 * (F.col("n_elements") - 1)).cast("long").alias("chars"), "n_elements")
+
+
+def index_totals(chunked: DataFrame) -> DataFrame:
+    """(doc_id, n_chunks, largest, chars) of chunks (doc_id, chunk, chars)."""
+    return chunked.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("chars").alias("largest"), F.sum("chars").alias("chars"))
+
+
+def _packed(rows: DataFrame, most: int, joint: str) -> DataFrame:
+    """(doc_id, part, text) of rows (doc_id, p: array<struct<text, alone>>): pieces packed in order, size of the joint not counted."""
+    cuts = F.transform("p", lambda x, i: x["alone"] | F.coalesce(F.get("p", i - 1)["alone"], F.lit(False)))
+    rows = rows.withColumn("n", pack_numbers(most, 0)(F.transform("p", lambda x: F.length(x["text"])), cuts))
+    out = rows.select("doc_id", F.posexplode(F.arrays_zip("p", "n")).alias("at", "z"))
+    by = out.groupBy("doc_id", F.col("z.n").cast("long").alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("z.p.text").alias("text")))).alias("e"))
+    return by.select("doc_id", "part", F.array_join(F.transform("e", lambda x: x["text"]), joint).alias("text"))
+
+
+#: Fixed value: where a sentence ends.
+SENTENCE_END = r"(?<=[。！？；!?;])|(?<=\.\s)"
+
+
+def split_long(docs: DataFrame, most: int = 4000) -> DataFrame:
+    """(doc_id, part, text): texts over ``most`` characters cut at ends of sentences, sentences over that cut hard; nothing is lost."""
+    pieces = F.filter(F.split("text", SENTENCE_END), lambda x: x != "")
+    hard = lambda x: F.transform(F.sequence(F.lit(0), F.ceil(F.length(x) / most).cast("int") - 1), lambda i: F.struct(F.substring(x, i * most + 1, F.lit(most)).alias("text"), F.lit(True).alias("alone")))
+    parts = F.flatten(F.transform(pieces, lambda x: F.when(F.length(x) > most, hard(x)).otherwise(F.array(F.struct(x.alias("text"), F.lit(False).alias("alone"))))))
+    whole = F.array(F.struct(F.col("text").alias("text"), F.lit(False).alias("alone")))
+    return _packed(docs.select("doc_id", F.when(F.length("text") > most, parts).otherwise(whole).alias("p")), most, "")
+
+
+def structure_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, block, by, text): texts cut at their book marks, else at markdown headings, else at blank lines; numbered from 1.
 
-    A chunk keeps one path, and code stands alone.  The fold runs over the elements of one document.
+    What is before the first heading is a block of its own; blocks without words go.
     """
-    rows = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "type", "path", F.length("text").alias("chars")))).alias("e"))
-    none = F.array().cast("array<struct<path:string,chars:int,n:int,code:boolean>>")
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        code = x["type"] == "code"
-        fits = (F.size(done) > 0) & ~code & ~F.coalesce(F.get(done, F.size(done) - 1)["code"], F.lit(False)) & (F.get(done, F.size(done) - 1)["path"] == x["path"]) & (F.get(done, F.size(done) - 1)["chars"] + x["chars"] + 2 <= most)
-        own = F.struct(x["path"].alias("path"), x["chars"].alias("chars"), F.lit(1).alias("n"), code.alias("code"))
-        grown = F.struct(last["path"].alias("path"), (last["chars"] + x["chars"] + 2).alias("chars"), (last["n"] + 1).alias("n"), last["code"].alias("code"))
-        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(own)))
-
-    out = rows.select("doc_id", F.posexplode(F.aggregate("e", none, step)).alias("chunk", "c"))
-    return out.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "c.path", F.col("c.chars").cast("long").alias("chars"), F.col("c.n").cast("long").alias("n_elements"))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")
+    some = lambda a: F.filter(F.transform(a, bare), lambda x: x != "")
+    marked, headed = text.rlike(r"【第\d+[段条]】"), some(F.split(F.regexp_replace(text, r"(?m)^(#{1,6}\s)", "\u0001$1"), "\u0001"))
+    by_mark = some(F.slice(F.split(text, r"【第\d+[段条]】"), 2, F.length(text) + 1))
+    rows = docs.select("doc_id", text.alias("t"), marked.alias("marked"), F.when(marked, by_mark).alias("m"), headed.alias("h"))
+    blocks = F.when(F.col("marked"), F.col("m")).when(F.size("h") > 1, F.col("h")).otherwise(some(F.split("t", r"\n\s*\n")))
+    by = F.when(F.col("marked"), "marks").when(F.exists("h", lambda x: x.startswith("#")) & (F.size("h") > 1), "headings").otherwise("blank_lines")
+    return rows.select("doc_id", by.alias("by"), F.posexplode(blocks).alias("block", "text")).select("doc_id", (F.col("block") + 1).cast("long").alias("block"), "by", "text")
+
+
+def split_blocks(blocks: DataFrame, most: int) -> DataFrame:
+    """(doc_id, part, text): texts over ``most`` characters cut after sentences and at blank lines, pieces joined by line ends."""
+    pieces = F.filter(F.split("text", r"(?<=[。！？；])|\n\s*\n"), lambda x: x != "")
+    parts = F.transform(F.when(F.length("text") > most, pieces).otherwise(F.array("text")), lambda x: F.struct(x.alias("text"), F.lit(False).alias("alone")))
+    out = _packed(blocks.select("doc_id", parts.alias("p")), most, "\n")
+    return out.withColumn("text", F.regexp_replace("text", r"^\s+|\s+\z", "")).filter("text <> ''")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import pack_numbers
+
 #: The gap in ms and the characters up to which cues are merged.
 GAP_MS, MOST_CHARS = 2500, 420
 
@@ -18,22 +20,19 @@ def gap_sessions(rows: DataFrame, key: str, at: str, gap: Column) -> DataFrame:
 
 
 def capped_sessions(cues: DataFrame, gap_ms: int = GAP_MS, most: int = MOST_CHARS) -> DataFrame:
-    """Cues (file, idx, start_ms, end_ms, text) merged while the gap and the size allow it; one row per paragraph.
+    """Cues (file, idx, start_ms, end_ms, text) merged while the gap and the size allow it; one row per paragraph, with its text.
 
-    Where a paragraph ends depends on how long it has become, so this is a fold over one file's cues.
+    Paragraphs of under 12 characters that are nothing but a bracketed remark go.
     """
-    rows = cues.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("idx", "start_ms", "end_ms", F.length("text").alias("chars")))).alias("c"))
-    none = F.array().cast("array<struct<start_ms:bigint,end_ms:bigint,chars:int,n:int>>")
-
-    def step(done, x):
-        last = F.get(done, F.size(done) - 1)
-        fits = (F.size(done) > 0) & (x["start_ms"] - last["end_ms"] <= gap_ms) & (last["chars"] + x["chars"] + 1 <= most)
-        own = F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["chars"].alias("chars"), F.lit(1).alias("n"))
-        grown = F.struct(last["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), (last["chars"] + x["chars"] + 1).alias("chars"), (last["n"] + 1).alias("n"))
-        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(own)))
-
-    out = rows.select("file", F.posexplode(F.aggregate("c", none, step)).alias("para", "p"))
-    return out.select("file", F.col("para").cast("long").alias("para"), "p.start_ms", "p.end_ms", F.col("p.chars").cast("long").alias("chars"), F.col("p.n").cast("long").alias("cue_count"))
+    rows = cues.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("idx", "start_ms", "end_ms", "text"))).alias("c"))
+    cuts = F.transform("c", lambda x, i: F.coalesce(x["start_ms"] - F.get("c", i - 1)["end_ms"] > gap_ms, F.lit(False)))
+    rows = rows.withColumn("n", pack_numbers(most, 1)(F.transform("c", lambda x: F.length(x["text"])), cuts))
+    out = rows.select("file", F.explode(F.arrays_zip("c", "n")).alias("z")).select("file", F.col("z.n").alias("n"), "z.c.*")
+    by = out.groupBy("file", "n").agg(F.min_by("start_ms", "idx").alias("start_ms"), F.max_by("end_ms", "idx").alias("end_ms"), F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("t"))
+    by = by.withColumn("text", F.array_join(F.transform("t", lambda x: x["text"]), " "))
+    by = by.filter(~((F.length("text") < 12) & F.col("text").rlike(r"^\s*[\[(（【][^\])）】]*[\])）】]\s*$")))
+    para = F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1
+    return by.select("file", para.cast("long").alias("para"), "start_ms", "end_ms", F.length("text").cast("long").alias("chars"), F.size("t").cast("long").alias("cue_count"), "text")
 
 
 def speakers(rows: DataFrame, least: int = 2) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
@@ -11,6 +11,22 @@ from ..functions import tokens as T
 SECRET = r"(?i)(api_?key|token|secret|password)\s*[:=]\s*[\"'][^\"']{8,}[\"']"
 
 
+#: Fixed value: media of file endings.
+MEDIA = {"md": "markdown", "markdown": "markdown", "txt": "txt", "pdf": "pdf", "html": "html", "epub": "epub", "srt": "subtitle", "vtt": "subtitle", "json": "txt"}
+
+
+def described_files(files: DataFrame) -> DataFrame:
+    """(path, media, title, family) of files (path, text): media by ending (null if unknown), the first ``# `` heading, up to 120 characters, or the name."""
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    media = F.element_at(F.create_map(*[F.lit(x) for pair in MEDIA.items() for x in pair]), ending)
+    text = F.coalesce("text", F.lit(""))
+    heading = F.trim(F.regexp_extract(text, r"(?m)^[ \t]*#[ \t]+(.+?)[ \t]*$", 1))
+    name = F.regexp_extract("path", r"([^/]*?)(?:\.[A-Za-z0-9]+)?$", 1)
+    head = F.substring(text, 1, 4000)
+    family = F.when(F.regexp_count(head, F.lit(f"[{T.CJK}]")) * 20 > F.length(head), "zh").otherwise("en")
+    return files.select("path", media.alias("media"), F.when(heading != "", F.substring(heading, 1, 120)).otherwise(name).alias("title"), family.alias("family"))
+
+
 def document_stats(docs: DataFrame) -> DataFrame:
     """Per document: units, estimated tokens and language family."""
     head = F.substring("text", 1, 4000)
@@ -34,11 +50,75 @@ def filler(text: Column, least: int = 8) -> Column:
     return text.rlike(r"(?i)^\s*\((laughter|applause|music)\)|^\s*thank you") | (T.unit_count(text) < least)
 
 
-def path_like(quote: Column) -> Column:
-    return quote.rlike(r"://|[*?]|/[^一-鿿\s]+$")
-
-
 def token_totals(docs: DataFrame) -> DataFrame:
     """One row per source: files, fewest, most and all estimated tokens."""
     own = docs.select("source", T.token_estimate(F.col("text")).cast("long").alias("t"))
     return own.groupBy("source").agg(F.count("*").alias("files"), F.min("t").alias("fewest"), F.max("t").alias("most"), F.sum("t").alias("tokens"))
+
+
+def largest_files(docs: DataFrame, top: int = 10) -> DataFrame:
+    """(doc_id, tokens): the ``top`` documents by estimated tokens, then by id."""
+    return docs.select("doc_id", T.token_estimate(F.col("text")).cast("long").alias("tokens")).orderBy(F.desc("tokens"), "doc_id").limit(top)
+
+
+def token_metrics(cards: DataFrame) -> DataFrame:
+    """One row of cards (card, text): cards, fewest, median (cut to a whole number), most and all tokens, tokens of the front matter."""
+    head = F.regexp_extract(F.coalesce("text", F.lit("")), r"(?s)\A---\n(.*?)\n---", 1)
+    own = cards.select(T.token_estimate(F.col("text")).cast("long").alias("t"), T.token_estimate(head).cast("long").alias("h"))
+    return own.agg(F.count("*").alias("cards"), F.min("t").alias("fewest"), F.percentile("t", F.lit(0.5)).cast("long").alias("median"), F.max("t").alias("most"), F.sum("t").alias("tokens"), F.sum("h").alias("discovery"))
+
+
+#: Shell lines that do not do what they seem to.
+HAZARDS = {
+    "name_meets_letter": r"\$(?!\{)([A-Za-z_]\w*)(?=[^\x00-\x7f\s\"'`;)\]}])",
+    "pipe_as_status": r"\|\s*(tail|head)\b[^|;&]*\|\s*(&&|\|\|)",
+    "bare_argument": r"(?<![\"$\w])\$[1-9](?!\w)",
+}
+
+
+def shell_hazards(scripts: DataFrame) -> DataFrame:
+    """(path, line, hazard) of scripts (path, text), comments left out; lines count from 1."""
+    rows = scripts.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r\n?|\n")).alias("line", "l"))
+    code = F.get(F.split("l", "#", 2), 0)
+    found = F.array_compact(F.array(*[F.when(code.rlike(p), F.lit(n)) for n, p in HAZARDS.items()]))
+    return rows.select("path", (F.col("line") + 1).cast("long").alias("line"), F.explode(found).alias("hazard"))
+
+
+#: Characters that no counted pair holds, words of four kinds, fewest characters of a sample.
+STOP_CHARACTERS = "之乎者也矣焉哉其此彼是我你他吾爾予為與以於則而乃故蓋夫且若如所不無未有非勿毋豈何誰孰安曷胡得能可宜當須應將欲願敢曰云愛問答一二三十又今時耳然後前中上下大小"
+MARKERS = {
+    "turn": ("然", "然而", "但", "顧", "雖然", "雖", "抑", "第", "但恐", "唯", "獨"),
+    "certain": ("必", "定", "斷然", "決", "自然", "固是", "只是", "便是", "即是", "自是", "無疑", "決然", "斷斷", "本是", "原是"),
+    "hedge": ("恐", "或", "庶幾", "未必", "恐未", "亦未", "竊", "姑", "且", "庶", "殆", "大抵", "大段", "約", "似"),
+    "self": ("某", "吾", "我", "予", "僕", "愚"),
+}
+LEAST_SAMPLE = 3000
+
+
+def marker_rates(texts: DataFrame, key: str, markers: dict[str, tuple[str, ...]] = MARKERS, least: int = LEAST_SAMPLE) -> DataFrame:
+    """(key, chars, state, one rate for each kind of marker): occurrences in 1000 characters that are no blanks.
+
+    Each word is counted without overlap of its own, so that a word inside a longer one counts in both.
+    Below ``least`` characters there are no rates.
+    """
+    text = F.coalesce("text", F.lit(""))
+    times = lambda w: (F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)
+    rows = texts.select(key, F.length(F.regexp_replace(text, r"\s", "")).cast("long").alias("chars"), *[sum((times(w) for w in words), F.lit(0.0)).alias(kind) for kind, words in markers.items()])
+    by = rows.groupBy(key).agg(F.sum("chars").alias("chars"), *[F.sum(kind).alias(kind) for kind in markers])
+    enough = F.col("chars") >= least
+    return by.select(key, "chars", F.when(enough, "ok").otherwise("insufficient").alias("state"), *[F.when(enough, F.round(F.col(kind) * 1000 / F.col("chars"), 2)).alias(f"{kind}_rate") for kind in markers])
+
+
+def top_bigrams(texts: DataFrame, key: str, top: int = 10, stop: str = STOP_CHARACTERS) -> DataFrame:
+    """(key, pair, n, rank): the most frequent pairs of CJK characters within a sentence, without stop characters; ties in code point order."""
+    said = texts.select(key, F.explode(F.split(F.coalesce("text", F.lit("")), "[。！？；!?;]+")).alias("s")).select(key, F.regexp_replace("s", f"[^{T.CJK}]", "").alias("s"))
+    pairs = said.select(key, F.explode(F.regexp_extract_all("s", F.lit(f"(?=([^{stop}]{{2}}))"), F.lit(1))).alias("pair"))
+    by = pairs.groupBy(key, "pair").agg(F.count("*").alias("n"))
+    return by.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "pair"))).filter(F.col("rank") <= top)
+
+
+def top_titles(texts: DataFrame, key: str, top: int = 8) -> DataFrame:
+    """(key, title, n, rank): the titles most often named between 《 and 》, of up to 12 characters."""
+    named = texts.select(key, F.explode(F.regexp_extract_all("text", F.lit("《([^》]{1,12})》"), F.lit(1))).alias("title"))
+    by = named.groupBy(key, "title").agg(F.count("*").alias("n"))
+    return by.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "title"))).filter(F.col("rank") <= top)
