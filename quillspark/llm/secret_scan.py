@@ -134,6 +134,9 @@ def redacted(docs: DataFrame, ledger: str | None = None, mask: str = "[SECRET]")
     step = lambda s, x: F.when(x["start"] >= s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["keep"], F.array(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]))).alias("keep"))).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["keep"].alias("keep")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("keep"))
     clean = F.aggregate("_places", zero, step, lambda s: F.concat(F.array_join(s["keep"], mask), F.lit(mask), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    new = F.when(F.col("_places").isNotNull(), clean).otherwise(F.col("text"))
-    changed = {"text": new} | ({"n_chars": F.when(F.col("_places").isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    # a column of its own: beside an alias ``text``, the lambda's ``text`` would be taken for that
+    hit = hit.withColumn("_new", F.when(F.col("_places").isNotNull(), clean).otherwise(F.col("text")))
+    changed = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_places").isNotNull(), F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return hit.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
