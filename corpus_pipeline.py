@@ -1,13 +1,20 @@
 """A corpus pipeline of five of the training-data operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
-and read again as the next stage's docs.
+and read again as the next stage's docs.  All stages but the last return the columns of their docs,
+whatever other columns there are.
 
 1. language_id: documents in none of the learned languages go.
 2. near_duplicates: of each component of near duplicates the document of smallest id stays.
 3. secrets: found secrets are masked in the texts.
 4. mix: each document as many times as the mix takes it; those taken 0 times go.
 5. pack: pieces of sequences, with their token ids.
+
+Cases: 1 judges each row by its text alone, so that rows without an id or of equal id are judged one by
+one; null texts and texts without a letter go.  2 keeps rows without an id and, of rows of equal id and
+text, one; different texts of one id are documents of their own.  3 leaves null texts null.  4 takes
+nothing of texts without words; a null source is a source.  5 takes null texts as empty.  Ties are
+settled by the smallest id, then by hash; an empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -48,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("pack", pack)]
 
-#: Tokenising and learning have no SQL form; tests hold each stage against a brute-force version.
+#: Tokenising and learning have no SQL form; tests/llm/test_methods.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
