@@ -15,6 +15,12 @@ STATUS_LINE = r"^\s*[-*]\s*\[(?:原文|通法|本卡规则)\]\s*\S"
 SOURCES = r"(?m)source_locator|source_book|source_chapter|source_manifest|素材来源|^#{1,4}\s*来源"
 NOT_FOR = "不做|不适用|不要用于|不用于"
 DONE_WHEN, FAILURE_MODES = "完成标准", "失败模式"
+PERSON = r"(?m)^(?:subject_type|material_type):[ \t]*person[ \t]*$"
+PERSON_OPENING = "你不是在模仿语气"
+PERSON_SECTION = r"(?m)^#{1,4}\s*我看问题的方式[^\n]*$([\s\S]*?)(?=^#{1,4}\s|\z)"
+PERSON_STEP = r"(?im)^\s*(?:step\s*\d|第[一二三四五六七八九十]+步\s*[:：]|\d+\.\s)"
+PERSON_PARTS = {"no_beliefs": "信念及其来源", "no_limits": "我明确不懂的", "no_tension": "内在矛盾", "no_red_lines": "我绝不会做的事"}
+FIRST_HAND = r"\[一手\]|一手来源合计权重|coverage"
 HEAD_CHARS, DESCRIPTION_CHARS, MOST_STEPS = 4000, 40, 6
 
 
@@ -74,6 +80,23 @@ def card_rules(cards: DataFrame) -> DataFrame:
     return rows.select("name", F.explode(found).alias("r")).select("name", "r.level", "r.rule")
 
 
+def person_rules(cards: DataFrame) -> DataFrame:
+    """(name, level, rule) of what is wrong with cards on persons (name, text); other cards have no rows.
+
+    A card on a person opens with what it is not, has a way of seeing that is no list of steps, says its
+    beliefs, limits, tensions and red lines, and how far its sources are first-hand.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = cards.select("name", F.regexp_extract(text, r"(?s)^---\n(.*?)\n---", 1).alias("matter"), F.regexp_replace(text, r"(?s)^---\n.*?\n---\n?", "").alias("body")).filter(F.col("matter").rlike(PERSON))
+    way = F.regexp_extract("body", PERSON_SECTION, 1)
+    has_way = F.col("body").rlike(PERSON_SECTION)
+    wrong = {"no_opening": ~F.col("body").contains(PERSON_OPENING), "no_way_of_seeing": ~has_way, "steps_as_way": has_way & way.rlike(PERSON_STEP)}
+    wrong |= {rule: ~F.col("body").contains(part) for rule, part in PERSON_PARTS.items()}
+    found = [F.when(bad, F.struct(F.lit("error").alias("level"), F.lit(rule).alias("rule"))) for rule, bad in wrong.items()]
+    found.append(F.when(~F.col("body").rlike(FIRST_HAND), F.struct(F.lit("warn").alias("level"), F.lit("no_first_hand").alias("rule"))))
+    return rows.select("name", F.explode(F.array_compact(F.array(*found))).alias("r")).select("name", "r.level", "r.rule")
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(path, target): relative links outside code, as written."""
     fence = r"(?ms)^\s*(?:```|~~~)[^\n]*\n.*?^\s*(?:```|~~~)\s*$"

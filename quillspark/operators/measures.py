@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from statistics import median
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,3 +119,13 @@ def rendered_table(rows: DataFrame, title: str, most: int = 1000) -> str:
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
     head = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
     return "\n".join(head + ["| " + " | ".join(cell(x) for x in r) + " |" for r in found]) + "\n"
+
+
+def timed(query: Callable[[], DataFrame], runs: int = 3) -> dict[str, float]:
+    """Seconds of a query that is run to its end ``runs`` times: fewest, median, most."""
+    took = []
+    for _ in range(runs):
+        began = time.monotonic()
+        query().write.format("noop").mode("overwrite").save()
+        took.append(time.monotonic() - began)
+    return {"fewest": min(took), "median": median(took), "most": max(took)}

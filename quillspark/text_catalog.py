@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import tokens as T
-from .operators import anchoring, catalogue, measures, overlap, quotations, retrieval, scoring, segments, sessions, stats
+from .operators import anchoring, catalogue, linting, measures, overlap, quotations, retrieval, scoring, segments, sessions, stats
 from .sinks import store
 from .sources import files, markup
 
@@ -503,3 +503,9 @@ _add(
     """WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(translate(substr(coalesce(text, ''), 1, 2000), 'eao', '山水火')), '([\\x{4E00}-\\x{9FFF}]+)', ' \\1 ', 'g'), '[\\p{L}\\p{N}'']+') AS w FROM documents)
 SELECT doc_id, md5(array_to_string(flatten(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^[\\x{4E00}-\\x{9FFF}]') AND length(x) > 1 THEN list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) ELSE [x] END)), '|')) AS tokens FROM t""",
 )
+
+_add(
+    "person_rules",
+    lambda s, d: linting.person_rules(_table(s, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("---\nname: x\nsubject_type: "), F.when(F.col("lang") == "es", "book").otherwise("person"), F.lit("\n---\n你不是在模仿语气\n## 我看问题的方式 way\n"), F.when(F.col("lang") == "de", "1. look\n").otherwise("see\n"), F.lit("## 内在矛盾\n我明确不懂的 信念及其来源\n"), F.when(F.col("n_chars") > 500, "我绝不会做的事 [一手]").otherwise("")).alias("text"))),
+    "WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS name, lang, n_chars FROM documents WHERE lang <> 'es') SELECT name, 'error' AS level, 'steps_as_way' AS rule FROM d WHERE lang = 'de' UNION ALL SELECT name, 'error', 'no_red_lines' FROM d WHERE n_chars <= 500 UNION ALL SELECT name, 'warn', 'no_first_hand' FROM d WHERE n_chars <= 500",
+)
