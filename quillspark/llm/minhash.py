@@ -31,6 +31,10 @@ from .shingles import mix64, shingle_rows, shingle_sets, stream64
 PERMS = 128
 #: Bands of a fingerprint for candidate search, each of PERMS // BANDS places: of pairs at 0.8, 5 in 100,000 share none.
 BANDS = 25
+#: Bands of more classes than this are gone through where their texts meet, without making pairs.
+CROWD = 32
+#: Standard errors of an estimate by which a pair of the second pass may fall short.
+SPREAD = 3.5
 #: What :func:`banded_duplicates` tells of a row.
 LABELS = ("component_id", "n_candidates")
 
@@ -133,9 +137,11 @@ def banded_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERM
     Texts of equal fingerprint form a class.  Classes that agree in a band meet there and are
     linked if the true Jaccard similarity of their shingle sets reaches ``threshold``.  First
     each is compared with the band's smallest member; when those links are components, a second
-    pass compares what the band still holds in different components, block by block.  A class
+    pass compares what the band still holds in different components, block by block: by estimates
+    from the fingerprints, so that texts that only share a passage are not paired, then by their
+    sets; in a crowded band the likeliest pair first, and none whose components have met.  A class
     goes by a hash of one of its rows.  ``n_candidates`` is the number of classes that a row's
-    class was compared with.  Rows without an id, and texts without words, link with nothing.
+    class was paired with, crowds aside.  Rows without an id, and texts without words, link with nothing.
     """
     ship_package(docs.sparkSession)
     rows = perms // bands
@@ -150,12 +156,13 @@ def banded_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERM
             cuts = pa.array(np.arange(len(signed) + 1, dtype=np.int32) * bands)
             digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in signed]
             keys = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("doc_id", "h", "row")}, "k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]), "empty": empty, "bands": pa.ListArray.from_arrays(cuts, pa.array(names.ravel().view(np.int64)))})
+            low = (signed & np.uint32(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("doc_id", "h", "row")}, "sketch": pa.array([x.tobytes() for x in low], pa.binary()), "k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]), "empty": empty, "bands": pa.ListArray.from_arrays(cuts, pa.array(names.ravel().view(np.int64)))})
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("h", F.xxhash64("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    signed = materialize(arrow_map(base, sign, "doc_id long, h long, row long, k1 long, k2 long, empty boolean, bands array<long>"), "signed")
-    classes = signed.filter("not empty and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.min("bands").alias("bands"))
-    classes = materialize(classes.select("k1", "k2", F.col("r.row").alias("c"), F.col("r.doc_id").alias("least"), "bands"), "classes")
+    signed = materialize(arrow_map(base, sign, "doc_id long, h long, row long, sketch binary, k1 long, k2 long, empty boolean, bands array<long>"), "signed")
+    classes = signed.filter("not empty and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
+    classes = materialize(classes.select("k1", "k2", F.col("r.row").alias("c"), F.col("r.doc_id").alias("least"), "bands", "sketch"), "classes")
     bands_of = classes.select("c", F.explode("bands").alias("band"))
     leaders = materialize(bands_of.groupBy("band").agg(F.min("c").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a"), "leaders")
     shared = materialize(lookup_join(bands_of, leaders, ["band"], "inner"), "shared")
@@ -163,53 +170,103 @@ def banded_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERM
     links = materialize(_verified(base, pairs, threshold, k), "links")
     found = materialize(connected_components(links), "components")
 
-    # second pass: what a band holds in different components
+    # second pass: what a band holds in different components; a pair goes on if the low bytes of its fingerprints agree
+    # as often as those of a likeness at the threshold do, less SPREAD standard errors
+    plausible = threshold - SPREAD * (threshold * (1 - threshold) / perms) ** 0.5
     entries = lookup_join(shared.select("band", "c"), found.select(F.col("id").alias("c"), "component"), ["c"]).withColumn("component", F.coalesce("component", "c"))
     entries = materialize(entries, "entries")
-    open_ = entries.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), (F.min("component") != F.max("component")).alias("several")).filter("several")
-    open_ = materialize(open_.select("band", "blocks"), "open")
-    seated = lookup_join(entries, open_, ["band"], "inner").withColumn("seat", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    open_ = entries.groupBy("band").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("blocks"), (F.min("component") != F.max("component")).alias("several")).filter("several")
+    open_ = materialize(open_.select("band", "n", "blocks"), "open")
+    seated = lookup_join(entries, open_, ["band"], "inner").withColumn("seat", F.pmod(F.xxhash64("c"), F.col("blocks"))).join(classes.select("c", "sketch"), "c")
+    seated = materialize(seated, "seated")
     # block i meets block j >= i once: the row is sent to each (min, max) that it belongs to
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    sent = seated.withColumn("other", other).select("band", F.least("seat", "other").alias("i"), F.greatest("seat", "other").alias("j"), "seat", "c", "component")
+    columns = ["band", F.least("seat", "other").alias("i"), F.greatest("seat", "other").alias("j"), "seat", "c", "component", "sketch"]
+    few = seated.filter(F.col("n") <= CROWD).withColumn("other", other).select(*columns)
+    crowd = seated.filter(F.col("n") > CROWD)
 
-    def cross(part: pa.Table) -> pa.Table | None:
+    def likely(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs of different components that may be alike enough, the likeliest first."""
         i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-        seat, c, component = (part.column(x).to_numpy() for x in ("seat", "c", "component"))
+        seat, component = part.column("seat").to_numpy(), part.column("component").to_numpy()
         left, right = np.flatnonzero(seat == i), np.flatnonzero(seat == j)
-        good = component[left][:, None] != component[right]
-        if i == j:
-            good &= left[:, None] < right
-        x, y = np.nonzero(good)
-        x, y = c[left[x]], c[right[y]]
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
-
-    left_over = by_runs(sent, ["band", "i", "j"], [], cross, "a long, b long").distinct()
+        sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, perms)
+        found = [(left[:0], right[:0], np.zeros(0))]
+        for lo in range(0, len(left), 64):
+            some = left[lo : lo + 64]
+            alike = (sketch[some][:, None] == sketch[right]).mean(2)
+            good = (alike >= plausible) & (component[some][:, None] != component[right])
+            if i == j:
+                good &= some[:, None] < right
+            x, y = np.nonzero(good)
+            found.append((some[x], right[y], alike[x, y]))
+        x, y, likeness = (np.concatenate(z) for z in zip(*found, strict=True))
+        order = np.argsort(-likeness, kind="stable")
+        return x[order], y[order]
+
+    def cross(part: pa.Table) -> pa.Table | None:
+        x, y = likely(part)
+        c = part.column("c").to_numpy()
+        return pa.table({"a": pa.array(np.minimum(c[x], c[y]), pa.int64()), "b": pa.array(np.maximum(c[x], c[y]), pa.int64())})
+
+    def meet(part: pa.Table) -> pa.Table | None:
+        """Links between components of a crowd, found where its texts meet; no pair of one component is compared again."""
+        x, y = likely(part)
+        c, raw = part.column("c").to_numpy(), part.column("packed")
+        up = {v: v for v in part.column("component").to_pylist()}
+        at = part.column("component").to_pylist()
+        sets: dict[int, np.ndarray] = {}
+
+        def root(v: int) -> int:
+            while up[v] != v:
+                up[v] = up[up[v]]
+                v = up[v]
+            return v
+
+        def own(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = _unpacked(raw[i].as_py(), k)
+            return sets[i]
+
+        a, b = [], []
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            p, q = root(at[i]), root(at[j])
+            if p != q and _alike(own(i), own(j), percent):
+                a.append(c[i]), b.append(c[j])
+                up[p] = q
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    percent = round(100 * threshold)
+    left_over = by_runs(few, ["band", "i", "j"], [], cross, "a long, b long").distinct()
     left_over = materialize(left_over.join(pairs, ["a", "b"], "left_anti"), "left_over")
+    members = materialize(crowd.select("c").distinct(), "members")
+    held = crowd.join(_packed_texts(base, members).select(F.col("id").alias("c"), "packed"), "c").withColumn("other", other).select(*columns, "packed")
+    more = materialize(by_runs(held, ["band", "i", "j"], [], meet, "a long, b long").distinct(), "more")
+    if not more.isEmpty():
+        links = materialize(links.union(more), "links")
+        found = materialize(connected_components(links), "components")
     if not left_over.isEmpty():
         more = materialize(_verified(base, left_over, threshold, k), "links")
         # all links once more, so that each id has one label
         found = materialize(connected_components(links.union(more)), "components")
     compared = pairs.union(left_over)
     met = compared.select(F.col("a").alias("c")).union(compared.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_candidates"))
-    grouped = classes.drop("bands").join(found.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    grouped = classes.drop("bands", "sketch").join(found.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     grouped = materialize(grouped.join(met, "c", "left"), "grouped")
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     told = materialize(grouped.join(least, "component").select("k1", "k2", "component_id", F.coalesce("n_candidates", F.lit(0).cast("long")).alias("n_candidates")), "told")
-    out = lookup_join(signed.drop("bands"), told, ["k1", "k2"])
+    out = lookup_join(signed.drop("bands", "sketch"), told, ["k1", "k2"])
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(~F.col("empty"), F.col("component_id")), F.col("doc_id")))
     alone = F.col("doc_id").isNull() | F.col("empty")
     labels = materialize(out.select("doc_id", "h", own.alias("component_id"), F.when(alone, 0).otherwise(F.col("n_candidates")).cast("long").alias("n_candidates")), "labels")
-    for table in (signed, classes, leaders, shared, pairs, links, found, entries, open_, left_over, grouped, told):
+    for table in (signed, classes, leaders, shared, pairs, links, found, entries, open_, seated, left_over, more, grouped, told):
         drop_table(table)
     release(docs.sparkSession)
     return labels
 
 
-def _verified(base: DataFrame, pairs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The pairs (a, b) of row hashes whose texts reach the threshold; the texts travel compressed, their sets are made where they meet."""
-    percent = round(100 * threshold)
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+def _packed_texts(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, n, packed): the compressed texts of the rows whose hashes are in the one-column table ``rows``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -217,16 +274,24 @@ def _verified(base: DataFrame, pairs: DataFrame, threshold: float, k: int) -> Da
             texts = [squeeze.compress(x.encode()) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": batch.column("row"), "n": pa.array([0] * len(texts), pa.int64()), "packed": pa.array(texts, pa.binary())})
 
-    texts = arrow_map(restrict(base, ids, "row").select("row", "text"), pack, "id long, n long, packed binary")
+    return arrow_map(restrict(base, rows, "row").select("row", "text"), pack, "id long, n long, packed binary")
+
+
+def _unpacked(raw: bytes, k: int) -> np.ndarray:
+    """The shingle set of a compressed text."""
+    return shingle_sets(pa.array([zstandard.ZstdDecompressor().decompress(raw).decode()], pa.large_string()), k)[0]
+
 
-    def unpack(raw: bytes) -> np.ndarray:
-        return shingle_sets(pa.array([zstandard.ZstdDecompressor().decompress(raw).decode()], pa.large_string()), k)[0]
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
-    def linked(_: int, a: np.ndarray, __: int, b: np.ndarray) -> bool:
-        small, large = sorted((a, b), key=len)
-        if not len(small):
-            return False
-        both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-        return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
-    return with_hubs(pairs, texts, "packed", linked, "texts", unpack).distinct()
+def _verified(base: DataFrame, pairs: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The pairs (a, b) of row hashes whose texts reach the threshold; the texts travel compressed, their sets are made where they meet."""
+    percent = round(100 * threshold)
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    return with_hubs(pairs, _packed_texts(base, ids), "packed", lambda _, a, __, b: _alike(a, b, percent), "texts", lambda raw: _unpacked(raw, k)).distinct()

@@ -159,7 +159,8 @@ def test_banded_duplicates_of_crowds(spark, monkeypatch):
     want = components(sets, links)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
     assert {r.doc_id: r.component_id for r in minhash.banded_duplicates(df).collect()} == want
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "CROWD", 4)
     assert {r.doc_id: r.component_id for r in minhash.banded_duplicates(df).collect()} == want
 
 
