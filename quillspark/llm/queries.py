@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, ngram_join, packing, pii, quality, repair, secret_scan, vector_join
+from . import divergence, langid, minhash, mixing, ngram_join, packing, pii, quality, repair, secret_scan, vector_join
 from .common import ship_package
 
 
@@ -62,7 +62,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_repair_shards, op2_minhash, op3_pivotal_mix, op4_ngram_jaccard, op5_secret_scan, op6_metric_join, op7_language_id, op8_hilbert_packing, op9_personal_data, op10_quality)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repair_shards, op2_minhash, op3_pivotal_mix, op4_ngram_jaccard, op5_secret_scan, op6_metric_join, op7_language_id, op8_hilbert_packing, op9_personal_data, op10_quality, op11_source_divergence)}
 
 #: SQL for DuckDB, where SQL can express a query over whole tables in reasonable time.
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op11_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+     w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+     k AS (SELECT lang, term, count(*) AS cl FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     o AS (SELECT lang, source, term, count(*) AS c FROM w GROUP BY ALL),
+     c AS (SELECT g.lang, g.source, k.term, k.cl, coalesce(o.c, 0) AS c FROM g JOIN k USING (lang) LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+     n AS (SELECT lang, source, sum(c) AS n, sum(cl) AS nl, count(*) AS v FROM c GROUP BY ALL),
+     p AS (SELECT c.*, 1 + (1000000000::HUGEINT * (c + 2)) // (n + 2 * v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (cl + 2)) // (nl + 2 * v)::HUGEINT AS q FROM c JOIN n USING (lang, source)),
+     f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+           FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+           FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+           UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE c > 0 AND p > q),
+     s AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM s WHERE part = 'pair' OR rank <= 10
+"""
