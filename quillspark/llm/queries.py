@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, langid, minhash, mixing, ngram_join, packing, pii, quality, repair, secret_scan, vector_join
+from . import divergence, langid, minhash, mixing, ngram_join, packing, pii, prefix_trie, quality, repair, secret_scan, token_counts, vector_join
 from .common import ship_package
 
 
@@ -66,7 +66,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repair_shards, op2_minhash, op3_pivotal_mix, op4_ngram_jaccard, op5_secret_scan, op6_metric_join, op7_language_id, op8_hilbert_packing, op9_personal_data, op10_quality, op11_source_divergence)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repair_shards, op2_minhash, op3_pivotal_mix, op4_ngram_jaccard, op5_secret_scan, op6_metric_join, op7_language_id, op8_hilbert_packing, op9_personal_data, op10_quality, op11_source_divergence, op12_prefix_trie, op13_token_counts)}
 
 #: SQL for DuckDB, where SQL can express a query over whole tables in reasonable time.
 ORACLE_SQL: dict[str, str] = {}
@@ -89,3 +97,24 @@ WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coales
      s AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM s WHERE part = 'pair' OR rank <= 10
 """
+
+ORACLE_SQL["op12_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS i
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+     c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+                  xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii((conv_id::VARCHAR)[i:i])::BIGINT)),
+                      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT)))) % 4 AS h
+           FROM (SELECT DISTINCT conv_id FROM t)),
+     r AS (SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+           UNION ALL SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+     p AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+           FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+           UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+     n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved FROM p GROUP BY path, depth),
+     k AS (SELECT path[1 : 32 * (depth - 1)] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+     m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+     s AS (SELECT p.path, count(*) FILTER (m.n_children = 0) AS n_leaves, sum(m.saved) AS saved_tokens FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.path),
+     e AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM (SELECT conv_id, arg_max(path, depth) AS path FROM p GROUP BY conv_id) GROUP BY path)
+SELECT m.conv_id, m.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM m JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN n u ON m.depth > 0 AND u.path = m.path[1 : 32 * (m.depth - 1)]
+"""
