@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import linting, measures, merging, quotations
-from .plans.literals import Literal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -18,41 +17,10 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
     QUERIES[name] = (query, sql)
 
 
-def _rows(columns: str, *rows: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS v({columns})"
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-OWNED = Literal("t", "doc_id long, text string", ((1, "§4「天行健君子以自強」 and「not owned here」\n「quote before」 §7\nno locator 「alone」\n§9「first of two」／「second of two」\nsrc-02 §3 said: much later \"far away quote\""), (2, "第3段「書中一句話」\n最重要的是第4段「叙述而已」"), (3, None)))
-BLOCKS = Literal("t", "doc_id long, text string", ((1, "> 「one」\n>\n\n> —— 《書》第3段\ntext\n> 「two」\n> —— 同上\ntext\n> 「three」\nend"), (2, "> 「a」—— 同上\n> 第5段 「b」"), (3, "")))
-ENTRIES = Literal("e", "entry long, text string", ((1, "the first entry holds a *long* quotation here"), (2, "nothing to see")))
-REFERRING = Literal("t", "doc_id long, text string", ((1, "【第1条】「a long quotation here」 and 【第2条】「this is made up」【第9条】「an entry not there」 【第1条】 without"), (2, "【第1条】「short」"), (3, None)))
-STAMPED = Literal("t", "doc_id long, text string", ((1, "[00:00:01]、[00:00:02.50] one quotation\nsee [00:00:03] and then [00:00:04,10]"), (2, "none")))
-STAMP_CUES = Literal("c", "file string, stamp string, text string", (("f", "00:00:01", "the quick brown fox jumps over"), ("f", "00:00:02", "the lazy dog and sleeps all day"), ("f", "00:00:03", "something else entirely is said"), ("g", "00:00:01", "the quick brown fox jumps over")))
-STAMP_CLAIMS = Literal("q", "claim_id long, file string, stamp string, quote string", ((1, "f", "00:00:01", "quick brown fox"), (2, "f", "00:00:01", "brown fox jumps over the lazy dog"), (3, "f", "00:00:01", "something else entirely"), (4, "f", "00:00:02", "words never spoken at all"), (5, "f", "00:09:00", "quick brown fox"), (6, "g", "00:00:01", "The quick brown fox, quick brown, fox jumps")))
-SOURCES = Literal("s", "src_no int, src string, seg long", ((1, "01-lex-interview", 1), (1, "01-lex-interview", 2), (2, "03-forum", 1), (3, "forum", 7)))
-CLAIMS = Literal("q", "claim_id long, src string, seg long", ((1, "src-03", 1), (2, "forum", 7), (3, None, 2), (4, "src-09", 1), (5, "SRC-01", 5)))
-QUOTED = Literal("q", "quote_id long, quote string", ((1, "the cat sat on the mat"), (2, "completely different words"), (3, "short"), (4, "a long road goes ever on and on")))
-SAID = Literal("s", "sent_id long, sentence string", ((1, "the cat sat on a mat"), (2, "the bat sat on the mat"), (3, "a long road goes on"), (4, "")))
-FINDINGS = Literal("t", "item_id long, lane string, text string, first_hand boolean", ((1, "a", "the company was founded in a small garage", False), (2, "a", "the company was founded in a small garage.", True), (3, "b", "the company was founded in one small garage", True), (4, "b", "revenue doubled within three years", True), (5, "c", "revenue doubled within three full years", True), (6, "c", None, False)))
-REPEATS = Literal("t", "file string, idx long, text string", (("a", 1, "hello there"), ("a", 2, "Hello there, friend"), ("a", 3, "Hello there"), ("a", 4, "..."), ("a", 5, "something new"), ("b", 1, "hello there"), ("b", 2, None)))
-LAYERED = Literal("t", "name string, text string", (("a.md", "<!-- SOURCE_LAYER: ai-observation -->\ntext"), ("b.md", "talk of SOURCE_LAYER: ai-observation"), ("c.json", '{"layer": "ai-observation"}'), ("d.visual.md", None), ("e.md", "# SOURCE_LAYER: user-supplied"), ("f.md", "plain")))
-LAYER_CARDS = Literal("k", "name string, text string", (("k1", "出处: d.visual-notes.md"), ("k2", "fine"), ("k3", "SOURCE_LAYER: ai-observation\nsource_locator: x.vision.md")))
-RULED = Literal("t", "name string, text string", (
-    ("good", "---\nname: good-card\ndescription: helps to decide between plans when time is short; 不适用于 others\nsource_book: b\n---\n## E — Execution\n**Step 1 · x**\n完成标准: done\n## B — Boundary\n失败模式: y\n## 来源状态\n- [原文] said\n- [通法] known\n## End\n- free"),
-    ("poor", "---\nname: Poor_Card\n---\n## E - Execution\nno steps\n## B - 边界\n## claim status\n- unmarked\n"),
-    ("bare", None),
-))
-LINKED = Literal("t", "path string, text string", (("a/one.md", "[ok](two.md) [up](../b/three.md#part) [dead](none.md) [out](../../x.md) [web](https://x.y) `[code](no.md)`\n```\n[fenced](no.md)\n```\n[abs](/etc/x) [here](#h) [dir](../b/)"), ("b/three.md", None)))
-FILES = Literal("f", "path string", (("a/one.md",), ("a/two.md",), ("b/three.md",)))
-VIDEOS = Literal("v", "video string, mode string, seconds double", (("a", "agent-slices", 601.0), ("b", "keyframes", 61.0), ("c", "full", 1200.0), ("d", "full", None), ("e", "keyframes", -5.0)))
-REPORTS = Literal("r", "name string, text string", (("full", "立场/结论一致性 28/30\n风格辨识度 得分：18\n边缘诚实度 17 / 20\n来源透明度 12/15\n认知结构完整度 13/15\n**总分**：88"), ("part", "风格辨识度 18/20\n边缘诚实度 good\n总分 50"), ("none", None)))
-BUNDLES = Literal("b", "bundle string, path string, entry boolean, text string", (("k", "z.md", True, "entry text\n"), ("k", "b.md", False, "second"), ("k", "a.md", False, "first, longer than twenty characters"), ("l", "e.md", True, None)))
-
-
 def _lines(table: str, key: str, text: str) -> str:
     split = f"string_split(regexp_replace({text}, '\r\n?', chr(10), 'g'), chr(10))"
     return f"l AS (SELECT {key} AS doc_id, unnest({split}) AS text, unnest(range(0, len({split}))) AS line FROM {table})"
@@ -70,21 +38,6 @@ SELECT doc_id, line, quote, meta FROM q WHERE length(quote) >= 8 AND NOT regexp_
 _add("anchor_quotes", lambda s, d: quotations.anchor_quotes(_table(s, d, "documents")), f"""WITH {_lines('documents', 'doc_id', 'text')}, q AS (SELECT doc_id, line, unnest(list_concat(regexp_extract_all(text, '"([^"\n]{{4,600}})"', 1), regexp_extract_all(text, '[「“]([^」”\n]{{4,600}})[」”]', 1))) AS q FROM l),
 c AS (SELECT doc_id, line, trim(q) AS quote, len(regexp_extract_all(q, '[\\x{{4E00}}-\\x{{9FFF}}]')) AS cjk FROM q)
 SELECT doc_id, line, quote, CASE WHEN (cjk >= 8 AND cjk >= length(quote) * 0.4::DOUBLE) OR (regexp_matches(quote, '^[A-Za-z0-9]') AND regexp_matches(quote, '[A-Za-z]{{2}}') AND length(quote) >= 12) THEN 'quote' WHEN cjk BETWEEN 4 AND 7 THEN 'short' ELSE 'noise' END AS kind FROM c""")
-_add("owned_quotes", lambda s, d: quotations.owned_quotes(OWNED.df(s)), _rows("doc_id, line, quote", "(1::BIGINT, 0::BIGINT, '天行健君子以自強')", "(1, 1, 'quote before')", "(1, 3, 'first of two')", "(1, 3, 'second of two')", "(2, 0, '書中一句話')"))
-_add("block_targets", lambda s, d: quotations.block_targets(BLOCKS.df(s)), _rows("doc_id, line, target", "(1::BIGINT, 0::BIGINT, 3::BIGINT)", "(1, 1, 3)", "(1, 3, 3)", "(1, 5, 3)", "(1, 6, 3)", "(2, 0, 5)", "(2, 1, 5)"))
-_add("checked_references", lambda s, d: quotations.checked_references(quotations.entry_references(REFERRING.df(s)), ENTRIES.df(s)), _rows("doc_id, pos, entry, status", "(1::BIGINT, 1::BIGINT, 1::BIGINT, 'verified')", "(1, 2, 2, 'unverified')", "(1, 3, 9, 'orphaned')", "(1, 4, 1, 'unquoted')", "(2, 1, 1, 'unquoted')"))
-_add("stamp_groups", lambda s, d: quotations.stamp_groups(STAMPED.df(s)), _rows("doc_id, line, grp, stamp", "(1::BIGINT, 0::BIGINT, 0::BIGINT, '00:00:01')", "(1, 0, 0, '00:00:02.50')", "(1, 1, 0, '00:00:03')", "(1, 1, 1, '00:00:04.10')"))
-_add("checked_stamps", lambda s, d: quotations.checked_stamps(STAMP_CLAIMS.df(s), STAMP_CUES.df(s)), _rows("claim_id, status, places", "(1::BIGINT, 'verified', '')", "(2, 'verified', '')", "(3, 'misplaced', '00:00:03')", "(4, 'unverified', '')", "(5, 'orphaned', '')", "(6, 'verified', '')"))
-_add("resolved_claims", lambda s, d: quotations.resolved_claims(CLAIMS.df(s), SOURCES.df(s)), _rows("claim_id, src, seg, status", "(1::BIGINT, '03-forum', 1::BIGINT, 'found')", "(2, 'forum', 7, 'found')", "(3, '01-lex-interview', 2, 'found')", "(4, NULL, 1, 'unknown_source')", "(5, '01-lex-interview', 5, 'unknown_segment')"))
-_add("best_sentences", lambda s, d: quotations.best_sentences(QUOTED.df(s), SAID.df(s)).select("quote_id", "sent_id"), _rows("quote_id, sent_id", "(1::BIGINT, 2::BIGINT)"))
-_add("merged_claims", lambda s, d: merging.merged_claims(FINDINGS.df(s).filter("text is not null")).select("item_id", "leader", "conflict"), _rows("item_id, leader, conflict", "(1::BIGINT, 1::BIGINT, false)", "(2, 1, false)", "(3, 1, false)", "(4, 4, false)", "(5, 4, true)"))
-_add("merge_totals", lambda s, d: merging.merge_totals(FINDINGS.df(s), merging.merged_claims(FINDINGS.df(s))), _rows("lane, items, kept, first_hand", "('a', 2::BIGINT, 1::BIGINT, 1::BIGINT)", "('b', 2, 1, 1)", "('c', 2, 1, 0)"))
-_add("distinct_cues", lambda s, d: merging.distinct_cues(REPEATS.df(s)), _rows("file, idx, text", "('a', 2::BIGINT, 'Hello there, friend')", "('a', 4, '...')", "('a', 5, 'something new')", "('b', 1, 'hello there')", "('b', 2, NULL)"))
-_add("layers", lambda s, d: LAYERED.df(s).select("name", linting.layer(F.col("text"), F.col("name")).alias("layer")), _rows("name, layer", "('a.md', 'ai-observation')", "('b.md', 'verbatim')", "('c.json', 'ai-observation')", "('d.visual.md', 'ai-observation')", "('e.md', 'user-supplied')", "('f.md', 'verbatim')"))
-_add("layer_violations", lambda s, d: linting.layer_violations(LAYERED.df(s), LAYER_CARDS.df(s)), _rows("name, violation", "('a.md', 'corpus')", "('c.json', 'corpus')", "('d.visual.md', 'corpus')", "('k1', 'locator')", "('k3', 'card')", "('k3', 'locator')"))
-_add("card_rules", lambda s, d: linting.card_rules(RULED.df(s)), _rows("name, level, rule", *[f"('poor', '{level}', '{rule}')" for level, rule in (("error", "no_description"), ("error", "bad_name"), ("warn", "short_description"), ("warn", "no_exclusion"), ("error", "no_completion"), ("warn", "no_steps"), ("error", "no_failure_modes"), ("warn", "no_source"), ("error", "unmarked_claims"))],
-    *[f"('bare', '{level}', '{rule}')" for level, rule in (("error", "no_name"), ("error", "no_description"), ("warn", "short_description"), ("warn", "no_exclusion"), ("warn", "no_execution"), ("warn", "no_source"), ("warn", "no_claim_status"))]))
-_add("dead_links", lambda s, d: linting.dead_links(LINKED.df(s), FILES.df(s)), _rows("path, target, state", "('a/one.md', 'none.md', 'dead')", "('a/one.md', '../../x.md', 'escaping')", "('a/one.md', '/etc/x', 'escaping')"))
 _add("token_saving", lambda s, d: measures.token_saving(_table(s, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("seq"), F.col("role").alias("title"), "text"), ["with", "from"]), """
 WITH r AS (SELECT conv_id AS book, turn AS seq, length(coalesce(text, '')) AS chars, len(regexp_extract_all(coalesce(text, ''), '[\\x{4E00}-\\x{9FFF}]')) AS z, coalesce(CAST(contains(text, 'with') AS INT), 0) + coalesce(CAST(contains(text, 'from') AS INT), 0) AS hits, coalesce(role, '') AS title FROM conversations),
 t AS (SELECT *, CAST(floor(z + (chars - z) * 0.35::DOUBLE) AS BIGINT) AS tokens, coalesce(lag(hits) OVER w, 0) + coalesce(lead(hits) OVER w, 0) > 0 AS beside, length(CAST(seq AS VARCHAR) || '  ' || title || '  (' || CAST(chars AS VARCHAR) || 'c, ' || CAST(hits AS VARCHAR) || ')') AS e FROM r WINDOW w AS (PARTITION BY book ORDER BY seq)),
@@ -92,7 +45,4 @@ g AS (SELECT book, count(*) AS blocks, count(*) FILTER (hits > 0) AS hit_blocks,
   CAST(floor((sum(e) + count(*) - 1) * 0.35::DOUBLE) AS BIGINT) AS idx, max(tokens) FILTER (hits > 0) < 200 AS degenerate FROM t GROUP BY book),
 b AS (SELECT book, tokens, row_number() OVER (PARTITION BY book ORDER BY hits DESC, tokens, seq) AS nth FROM t WHERE hits > 0)
 SELECT g.book, blocks, hit_blocks, whole, hit_only, with_neighbours, idx + b.tokens AS index_then_one, degenerate FROM g JOIN b ON g.book = b.book AND nth = 1""")
-_add("cost_estimate", lambda s, d: measures.cost_estimate(VIDEOS.df(s), 2.0, 8.0), _rows("video, tokens_in, tokens_out, cost", "('a', 3600::BIGINT, 800::BIGINT, 0.0136::DOUBLE)", "('b', 2400, 450, 0.0084)", "('c', 50000, 600, 0.1048)", "('d', NULL, NULL, NULL)", "('e', 0, 0, 0.0)"))
-_add("parsed_reports", lambda s, d: measures.parsed_reports(REPORTS.df(s)), _rows("name, consistency, style, edge_honesty, source_transparency, structure, declared, unparsed, summed, mismatch", "('full', 28::BIGINT, 18::BIGINT, 17::BIGINT, 12::BIGINT, 13::BIGINT, 88::BIGINT, '', 88::BIGINT, false)", "('part', NULL, 18, NULL, NULL, NULL, 50, 'consistency edge_honesty source_transparency structure', 18, true)", "('none', NULL, NULL, NULL, NULL, NULL, NULL, 'consistency style edge_honesty source_transparency structure', 0, false)"))
 _add("seeded_split", lambda s, d: measures.seeded_split(_table(s, d, "benchmark").select(F.col("item_id").alias("case_id"))), "WITH r AS (SELECT item_id AS case_id, row_number() OVER (ORDER BY sha256('42:' || CAST(item_id AS VARCHAR))) AS nth, count(*) OVER () AS n FROM benchmark) SELECT case_id, CASE WHEN nth <= round_even(n * 0.6::DOUBLE, 0) THEN 'train' ELSE 'validation' END AS part FROM r")
-_add("compiled_prompts", lambda s, d: measures.compiled_prompts(BUNDLES.df(s), 20), _rows("bundle, prompt, n_files", "('k', 'entry text\n\n---\n\n## a.md\n\nfirst, longer than t\n\n[cut at 20 of 36 characters]\n\n---\n\n## b.md\n\nsecond', 3::BIGINT)", "('l', '', 1)"))

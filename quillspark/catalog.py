@@ -1,4 +1,4 @@
-"""All queries of the engine over the driver's tables or small literal tables, with their SQL twins."""
+"""All queries of the engine over the given tables, with their SQL twins."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import card_catalog, text_catalog
+from . import card_catalog, derived_catalog, search_catalog, text_catalog
 from .functions import tokens as T
 from .operators import catalogue, overlap, retrieval, scoring, segments, sessions, stats
-from .plans.literals import Literal
 from .sources import markup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,17 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# literal tables
 
-CASES = Literal("cases", "case_id string, target string, sibling string", (("t-01", "a", "b"), ("t-02", "b", "a"), ("t-03", "a", "b"), ("t-04", "b", "a"), ("d-01", None, None), ("d-02", None, None)))
-ANSWERS = Literal("answers", "case_id string, selected string", (("t-01", "a"), ("t-02", " a "), ("t-03", "a"), ("t-04", "b"), ("d-01", "None"), ("d-02", "b")))
-SCORES = Literal("s", "subject string, score double", (("p", 95.0), ("p", 91.0), ("q", 95.0), ("q", 83.0), ("r", 95.0), ("r", 85.0), ("s", 95.0), ("t", None), ("u", 130.0), ("u", 90.0)))
-GRADES = Literal("g", "subject string, grader string, dimension string, score int", tuple((s, g, d, v) for s, g, vs in (("x", "g1", (28, 19, 19, 12, 15)), ("x", "g2", (27, 18, 19, 11, 14)), ("y", "g1", (30, 20, 20, 15, 15)), ("y", "g2", (22, 14, 15, 11, 12)), ("z", "g1", (20, 10, 9, 8, 7))) for d, v in zip(("consistency", "style", "edge_honesty", "source_transparency", "structure"), vs, strict=True)))
-HITS = Literal("h", "subject string, run int, arm string, hit boolean", tuple((s, i, arm, i < n) for s, a, b in (("m", 3, 0), ("n", 2, 1), ("o", 1, 1)) for arm, n in (("with", a), ("without", b)) for i in range(3)))
-REVIEWS = Literal("r", "card string, reviewer_type string, grade string, fabricated boolean", (("c1", "cross_model", "A", False), ("c1", "self", "A", False), ("c2", "human", "none", False), ("c2", "human", "B", True), ("c3", "human", "B", False)))
-CARDS = Literal("c", "slug string, description string, src string, bundle string, promoted boolean, trigger_ready boolean", (("good-card", "A description that is long enough to say what this is for.", "cards/a.md", "k", True, True), ("Bad_Slug", "short", "../b.md", "k", True, True), ("twin", None, "/c.md", "k", True, True), ("twin", "Another description that is long enough to pass the rule.", "d/e.md", "l", False, True)))
-RELATIONS = Literal("rel", "slug string, target string, relation string", (("good-card", "twin", "contrasts_with"), ("twin", "good-card", "contrasts_with"), ("twin", "missing", "depends_on")))
-FAILURES = Literal("f", "category string, severity string", (("locator", "P0"), ("locator", "P1"), ("locator", "P1"), ("cjk", "P0")))
+
 
 
 def _shingle_sql(words: str, n: int) -> str:
@@ -104,25 +94,12 @@ WITH o AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w > interva
 s AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM o) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first, max(ts) AS last FROM s GROUP BY user_id, session""")
 
 
-_add("normal_answers", lambda s, d: ANSWERS.df(s).select("case_id", scoring.normal_answer(F.col("selected")).alias("answer")), f"WITH {ANSWERS.cte} SELECT case_id, CASE WHEN lower(trim(selected)) IN ('none', 'null', 'nil', 'n/a', 'na', '-', '', '无', '不适用') THEN NULL ELSE trim(selected) END AS answer FROM answers")
-_add("cross_review", lambda s, d: scoring.cross_review(SCORES.df(s)), f"""WITH {SCORES.cte}, b AS (SELECT subject, count(score) AS scorers, max(score) - min(score) AS spread, bool_or(score < 0 OR score > 100) AS bad FROM s GROUP BY subject)
-SELECT subject, scorers, CAST(spread AS DOUBLE) AS spread, CASE WHEN scorers = 0 OR bad THEN 'error' WHEN scorers < 2 THEN 'insufficient_scorers' WHEN spread > 10 THEN 'needs_human_review' ELSE 'pass' END AS verdict, coalesce(scorers >= 2 AND abs(spread - 10) <= 1, false) AS fragile FROM b""")
-_add("merged_grades", lambda s, d: scoring.merged_grades(GRADES.df(s)), f"""WITH {GRADES.cte}, dim AS (SELECT subject, dimension, CAST(round_even(avg(score), 0) AS BIGINT) AS p FROM g GROUP BY ALL), t AS (SELECT subject, CAST(sum(p) AS BIGINT) AS total FROM dim GROUP BY subject),
-o AS (SELECT subject, count(*) AS graders, CAST(max(t) - min(t) AS BIGINT) AS gap FROM (SELECT subject, grader, sum(score) AS t FROM g GROUP BY ALL) GROUP BY subject)
-SELECT subject, total, graders, gap, CASE WHEN total >= 85 THEN 'A' WHEN total >= 70 THEN 'B' WHEN total >= 55 THEN 'C' ELSE 'D' END AS grade, CASE WHEN graders < 2 THEN 'insufficient' WHEN gap > 10 THEN 'rejected' ELSE 'pass' END AS verdict FROM t JOIN o USING (subject)""")
-_add("utility_gain", lambda s, d: scoring.utility(HITS.df(s)), f"""WITH {HITS.cte}, b AS (SELECT subject, count(*) FILTER (arm = 'with' AND hit) AS with_card, count(*) FILTER (arm = 'without' AND hit) AS without_card FROM h GROUP BY subject)
-SELECT *, with_card - without_card AS delta, CASE WHEN with_card - without_card >= 2 AND with_card >= 3 AND without_card <= 1 THEN 'significant' WHEN with_card - without_card >= 1 THEN 'moderate' ELSE 'none' END AS level FROM b""")
-_add("review_ledger", lambda s, d: scoring.review_ledger(REVIEWS.df(s)), f"WITH {REVIEWS.cte} SELECT card, count(*) AS reviews, count(*) FILTER (NOT fabricated AND grade <> 'none' AND reviewer_type IN ('cross_model', 'human')) AS valid, count(*) FILTER (NOT fabricated AND grade <> 'none' AND reviewer_type IN ('cross_model', 'human')) >= 1 AS independent FROM r GROUP BY card")
-_add("output_strategy", lambda s, d: scoring.output_strategy(CARDS.df(s)), f"WITH {CARDS.cte} SELECT bundle, count(*) AS cards, count(*) FILTER (promoted AND trigger_ready) AS ready, CASE WHEN count(*) FILTER (promoted AND trigger_ready) >= 3 THEN 'pack' ELSE 'single' END AS strategy, count(*) > 8 AS over_budget FROM c GROUP BY bundle")
-_add("failure_counts", lambda s, d: scoring.failure_counts(FAILURES.df(s)), f"WITH {FAILURES.cte} SELECT category, severity, count(*) AS n FROM f GROUP BY ALL")
-_add("bundle_rules", lambda s, d: catalogue.bundle_rules(CARDS.df(s)), f"""WITH {CARDS.cte} SELECT slug, 'bad_slug' AS rule FROM c WHERE NOT regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$') UNION ALL SELECT slug, CASE WHEN length(coalesce(description, '')) = 0 THEN 'no_description' ELSE 'short_description' END FROM c WHERE length(coalesce(description, '')) < 40
-UNION ALL SELECT slug, 'escaping_src' FROM c WHERE src LIKE '/%' OR src LIKE '../%' UNION ALL SELECT slug, 'duplicate_slug' FROM c GROUP BY slug HAVING count(*) > 1""")
-_add("dependencies", lambda s, d: catalogue.dependencies(RELATIONS.df(s), CARDS.df(s)), f"WITH {RELATIONS.cte}, {CARDS.cte} SELECT slug, target, relation, CASE WHEN target IN (SELECT slug FROM c) THEN 'edge' ELSE 'orphan' END AS state FROM rel")
-_add("impact", lambda s, d: catalogue.impact(RELATIONS.df(s), "twin"), f"WITH {RELATIONS.cte} SELECT DISTINCT slug FROM rel WHERE target = 'twin'")
 
 
 QUERIES |= card_catalog.QUERIES
 QUERIES |= text_catalog.QUERIES
+QUERIES |= search_catalog.QUERIES
+QUERIES |= derived_catalog.QUERIES
 
 
 def queries() -> dict[str, Query]:

@@ -27,7 +27,7 @@ def _spaced(text: Column) -> Column:
     return F.regexp_replace(text, f"([{CJK}]+)", " $1 ")
 
 
-def _with_bigrams(own: Column, inside: str) -> Column:
+def with_bigrams(own: Column, inside: str) -> Column:
     """Runs of ``inside``, those of CJK characters as bigrams; texts without CJK take no part in the latter."""
     every = lambda text: F.regexp_extract_all(text, F.lit(inside), F.lit(0))
     return F.when(own.rlike(f"[{CJK}]"), F.flatten(F.transform(every(_spaced(own)), _bigrams))).otherwise(every(own))
@@ -35,7 +35,7 @@ def _with_bigrams(own: Column, inside: str) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words and CJK bigrams, in order."""
-    return _with_bigrams(F.lower(F.coalesce(text, F.lit(""))), r"[\p{L}\p{N}']+")
+    return with_bigrams(F.lower(F.coalesce(text, F.lit(""))), r"[\p{L}\p{N}']+")
 
 
 def _lexical(text: Column) -> Column:
@@ -45,7 +45,7 @@ def _lexical(text: Column) -> Column:
 
 def lexical_tokens(text: Column) -> Column:
     """Like words, but anything that is no separator stays inside its token."""
-    return _with_bigrams(_lexical(text), "[^ ]+")
+    return with_bigrams(_lexical(text), "[^ ]+")
 
 
 def lexical_count(text: Column, term: str | None = None) -> Column:

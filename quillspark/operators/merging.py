@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
+from ..plans.folds import folded
 from .overlap import exploded, gram_sets
 
 #: Jaccard of 3-grams from which claims are one, below which equals may conflict, and from which cues repeat.
@@ -67,18 +69,26 @@ def distinct_cues(cues: DataFrame, least: float = CUE) -> DataFrame:
     """(file, idx, text): cues that do not repeat the last kept one; of two alike the longer stays.
 
     Alike: one bare text holds the other, or their 3-grams are.  What is kept depends on what was
-    kept before, so this is a fold over one file's cues; texts without letters or digits stay.
+    kept before, so this is a fold over a file's cues, whose state is one cue; texts without letters
+    or digits stay.
     """
-    rows = cues.select("file", "idx", "text", T.bare(F.col("text")).alias("bare")).select("file", "idx", "text", "bare", T.char_grams(F.col("bare")).alias("g"))
-    files = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "bare", "g"))).alias("e"))
-    kind = rows.schema
-    none = F.array().cast(f"array<struct<idx:{kind['idx'].dataType.simpleString()},text:string,bare:string,g:array<string>>>")
-
-    def step(done, x):
-        last = F.get(done, F.size(done) - 1)
-        holds = last["bare"].contains(x["bare"]) | x["bare"].contains(last["bare"])
-        alike = (F.size(done) > 0) & (x["bare"] != "") & (last["bare"] != "") & (holds | (T.jaccard(x["g"], last["g"]) >= least))
-        before = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(~F.coalesce(alike, F.lit(False)), F.concat(done, F.array(x))).when(F.length(x["bare"]) > F.length(last["bare"]), F.concat(before, F.array(x))).otherwise(done)
-
-    return files.select("file", F.explode(F.aggregate("e", none, step)).alias("k")).select("file", "k.idx", "k.text")
+    rows = cues.select("file", "idx", "text", T.bare(F.col("text")).alias("bare"))
+    grams = lambda x: {x} if len(x) <= 3 else {x[i : i + 3] for i in range(len(x) - 2)}
+
+    def alike(a: str, b: str) -> bool:
+        if not a or not b:
+            return False
+        x, y = grams(a), grams(b)
+        return a in b or b in a or len(x & y) / len(x | y) >= least
+
+    def kept(cues: Iterator[tuple]) -> Iterator[tuple]:
+        held = next(cues)
+        for cue in cues:
+            if not alike(cue[3], held[3]):
+                yield held[:3]
+                held = cue
+            elif len(cue[3]) > len(held[3]):
+                held = cue
+        yield held[:3]
+
+    return folded(rows, "file", ["idx", "text"], kept, cues.select("file", "idx", "text").schema)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..functions import tokens as T
+from ..plans.scratch import written
+from .occurrences import occurrences
 from .segments import lines
 
 #: Quotation forms, words that mark a quotation as talk about quotations, forms of locators.
@@ -23,7 +25,7 @@ ENTRY = r"【第(\d+)条"
 STAMP = r"[\[【]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?"
 STAMP_GAP = r"[\]】\s、,，/和及]*"
 GAP_CHARS, GAP_FORM = 3, r"^[\s（）()：:，,、＋+—*]*$"
-WINDOW_CHARS, PART_CHARS, RUN_CHARS, FRAGMENT_CHARS = 120, 8, 18, 60
+WINDOW_CHARS, PART_CHARS, RUN_CHARS = 120, 8, 18
 LEAST_RATIO = 0.80
 
 
@@ -100,14 +102,21 @@ def block_targets(docs: DataFrame) -> DataFrame:
     return rows.filter(F.col("quoted")).select("doc_id", F.col("line").cast("long").alias("line"), target.alias("target")).filter("target is not null")
 
 
-def entry_references(docs: DataFrame) -> DataFrame:
+def _asked(quote: Column, longest: int | None) -> Column:
+    """What of a quotation is looked for: its bare form, whole or its first ``longest`` characters."""
+    own = T.fragment(quote)
+    return own if longest is None else F.substring(own, 1, longest)
+
+
+def entry_references(docs: DataFrame, longest: int | None = None) -> DataFrame:
     """(doc_id, pos, entry, quotes): each reference to an entry with the quotations of its window.
 
-    A window is 120 characters from the reference and stops at the next one.
+    A window is 120 characters from the reference and stops at the next one; a quotation that ends
+    in it is taken whole, or its first ``longest`` characters.
     """
     parts = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), f"({ENTRY})", "\u0001$1"), "\u0001")
     rows = docs.select("doc_id", F.posexplode(parts).alias("pos", "part")).filter("pos > 0")
-    quotes = F.transform(F.regexp_extract_all(F.substring("part", 1, WINDOW_CHARS), F.lit("(?s)「(.+?)」"), F.lit(1)), lambda x: F.substring(T.fragment(x), 1, FRAGMENT_CHARS))
+    quotes = F.transform(F.regexp_extract_all(F.substring("part", 1, WINDOW_CHARS), F.lit("(?s)「(.+?)」"), F.lit(1)), lambda x: _asked(x, longest))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.regexp_extract("part", ENTRY, 1).cast("long").alias("entry"), F.filter(quotes, lambda x: F.length(x) >= 8).alias("quotes"))
 
 
@@ -143,26 +152,28 @@ def _cut_off(fragment: Column, body: Column) -> Column:
     return ~body.contains(fragment) & (F.length(tail) > 0) & body.contains(head) & ~body.contains(tail)
 
 
-def checked_stamps(claims: DataFrame, cues: DataFrame) -> DataFrame:
+def checked_stamps(claims: DataFrame, cues: DataFrame, longest: int | None = None) -> DataFrame:
     """(claim_id, status, places): claims (claim_id, file, stamp, quote) against cues (file, stamp, text).
 
-    A quotation cut off at its cue may go on in the next two.  One that is not at its stamp is
-    misplaced if other cues of the file match (the first three are named), else unverified; orphaned
-    without such a stamp.  The search joins on runs of 8 characters, which every match shares, so
-    only unmatched claims meet the cues that hold one of their runs.
+    Quotations are compared whole, or their first ``longest`` characters.  One cut off at its cue may
+    go on in the next two.  One that is not at its stamp is misplaced if other cues of the file match
+    (the first three are named), else unverified; orphaned without such a stamp.  Quotations and parts
+    that are not at their stamp are sought in all cues in one pass, so claims meet only cues that hold
+    something of theirs.
     """
     order = Window.partitionBy("file").orderBy("stamp")
     body = cues.select("file", "stamp", T.fragment(F.col("text")).alias("body"))
     wide = body.withColumn("more", F.concat_ws(" ", "body", F.lead("body", 1).over(order), F.lead("body", 2).over(order)))
-    own = claims.select("claim_id", "file", "stamp", F.substring(T.fragment(F.col("quote")), 1, FRAGMENT_CHARS).alias("q"))
+    own = claims.select("claim_id", "file", "stamp", _asked(F.col("quote"), longest).alias("q"))
     both = own.join(wide, ["file", "stamp"], "left")
     ok = loose_match(F.col("q"), F.col("body")) | F.coalesce(_cut_off(F.col("q"), F.col("body")) & loose_match(F.col("q"), F.col("more")), F.lit(False))
-    first = both.select("claim_id", "file", "q", F.when(F.col("body").isNull(), "orphaned").when(ok, "verified").otherwise("open").alias("status"))
-    keys = F.transform(F.when(F.size(_parts(F.col("q"))) > 0, _parts(F.col("q"))).otherwise(F.array("q")), lambda p: F.substring(p, 1, PART_CHARS))
-    wanted = first.filter("status = 'open'").select("claim_id", "file", "q", F.explode(F.array_distinct(keys)).alias("run"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - PART_CHARS + 1, F.lit(1))), lambda i: F.substring(F.col("body"), i, F.lit(PART_CHARS)))
-    held = body.select("file", "stamp", "body", F.explode(F.array_distinct(runs)).alias("run"))
-    found = wanted.join(held, ["file", "run"]).filter(loose_match(F.col("q"), F.col("body"))).select("claim_id", "stamp").distinct()
+    first = written(both.select("claim_id", "file", "q", F.when(F.col("body").isNull(), "orphaned").when(ok, "verified").otherwise("open").alias("status")), "claims")
+    parts = _parts(F.col("q"))
+    wanted = first.filter("status = 'open'").select("claim_id", "file", "q", parts.alias("parts"), F.explode(F.array_distinct(F.concat(F.array("q"), parts))).alias("string"))
+    wanted = wanted.select("claim_id", "file", "string", (F.col("string") == F.col("q")).alias("whole"), F.size(F.filter("parts", lambda x: x == F.col("string"))).alias("times"))
+    held = occurrences(wanted, body.select(F.struct("file", "stamp").alias("text_id"), F.col("body").alias("text"))).select("text_id.file", "text_id.stamp", "string")
+    by = wanted.join(held, ["file", "string"]).groupBy("claim_id", "stamp").agg(F.max("whole").alias("whole"), F.sum("times").alias("times"), F.max(F.when(F.col("times") > 0, F.length("string"))).alias("longest"))
+    found = by.filter(F.col("whole") | (F.col("times") >= 2) | (F.col("longest") >= RUN_CHARS)).select("claim_id", "stamp")
     found = found.withColumn("nth", F.row_number().over(Window.partitionBy("claim_id").orderBy("stamp"))).filter("nth <= 3").groupBy("claim_id").agg(F.array_join(F.array_sort(F.collect_list("stamp")), " ").alias("places"))
     out = first.join(found, "claim_id", "left")
     status = F.when(F.col("status") != "open", F.col("status")).when(F.col("places").isNotNull(), "misplaced").otherwise("unverified")
@@ -172,16 +183,18 @@ def checked_stamps(claims: DataFrame, cues: DataFrame) -> DataFrame:
 def resolved_claims(claims: DataFrame, segments: DataFrame) -> DataFrame:
     """(claim_id, src, seg, status): claims (claim_id, src, seg) against segments (src_no, src, seg).
 
-    A written source means the source of that name, else the first in order whose name is, begins
-    with or holds its tail; none means the first source.  Only distinct names meet distinct names.
+    A written source means the source of that name, else the first in order whose name
+    holds its tail; none means the first source.  Only distinct names meet distinct names.
     """
     names = segments.select("src_no", F.col("src").alias("name")).distinct()
     raw = F.lower(F.trim(F.coalesce("src", F.lit(""))))
     asked = claims.select(raw.alias("raw")).distinct().withColumn("tail", F.regexp_replace("raw", "^src-", ""))
-    low = F.lower("name")
-    rank = F.when(F.col("raw") == F.col("name"), 0).otherwise(1)
-    pairs = asked.join(names, (F.col("raw") == "") | (F.col("raw") == F.col("name")) | low.contains(F.col("tail")))
-    best = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("raw").orderBy(rank, "src_no"))).filter("nth = 1").select("raw", "name")
+    same = asked.join(names, F.col("raw") == F.col("name")).select("raw", F.lit(0).alias("rank"), "src_no", "name")
+    held = occurrences(asked.select(F.col("tail").alias("string")), names.select(F.struct("src_no", "name").alias("text_id"), F.lower("name").alias("text")))
+    held = asked.join(held, F.col("tail") == F.col("string")).select("raw", F.lit(1).alias("rank"), "text_id.src_no", "text_id.name")
+    first = names.agg(F.min(F.struct("src_no", "name")).alias("n"))
+    bare = asked.filter("tail = ''").crossJoin(F.broadcast(first)).select("raw", F.lit(1).alias("rank"), "n.src_no", "n.name")  # one row
+    best = same.union(held).union(bare).groupBy("raw").agg(F.min(F.struct("rank", "src_no", "name")).alias("n")).select("raw", "n.name")
     own = claims.select("claim_id", "seg", raw.alias("raw")).join(best, "raw", "left")
     known = segments.select(F.col("src").alias("name"), "seg", F.lit(True).alias("known")).distinct()
     both = own.join(known, ["name", "seg"], "left")

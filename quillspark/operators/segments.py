@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.folds import in_order, packed
+
 
 def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("line", "text"))
@@ -79,13 +81,12 @@ def packed_elements(parts: DataFrame, most: int = 4000) -> DataFrame:
     A chunk keeps one path and holds up to ``most`` characters, elements parted by a blank line;
     code stands alone.
     """
-    rows = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "type", "path", "text"))).alias("e"))
-    code = lambda i: F.coalesce(F.get("e", i)["type"] == "code", F.lit(False))
-    cuts = F.transform("e", lambda x, i: (x["type"] == "code") | code(i - 1) | ~x["path"].eqNullSafe(F.get("e", i - 1)["path"]))
-    sizes = F.transform("e", lambda x: F.length(x["text"]))
-    rows = rows.withColumn("n", pack_numbers(most, 2)(sizes, cuts))
-    out = rows.select("doc_id", F.explode(F.arrays_zip("e", "n")).alias("z"))
-    return out.select("doc_id", F.col("z.n").cast("long").alias("chunk"), "z.e.path", "z.e.type", "z.e.seq", "z.e.text")
+    order = ["seq", "type", "path", "text"]
+    before = lambda c: F.lag(c).over(Window.partitionBy("doc_id").orderBy(*order))
+    code = F.col("type") == "code"
+    rows = in_order(parts.select("doc_id", *order), "doc_id", order)
+    cut = code | (before("type") == "code") | ~F.col("path").eqNullSafe(before("path"))
+    return packed(rows, "doc_id", F.length("text"), cut, most, 2).select("doc_id", F.col("pack").alias("chunk"), "path", "type", "seq", "text")
 
 
 def chunk_texts(parts: DataFrame, most: int = 4000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import pack_numbers
+from ..plans.folds import in_order, packed
 
 #: The gap in ms and the characters up to which cues are merged.
 GAP_MS, MOST_CHARS = 2500, 420
@@ -24,10 +24,10 @@ def capped_sessions(cues: DataFrame, gap_ms: int = GAP_MS, most: int = MOST_CHAR
 
     Paragraphs of under 12 characters that are nothing but a bracketed remark go.
     """
-    rows = cues.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("idx", "start_ms", "end_ms", "text"))).alias("c"))
-    cuts = F.transform("c", lambda x, i: F.coalesce(x["start_ms"] - F.get("c", i - 1)["end_ms"] > gap_ms, F.lit(False)))
-    rows = rows.withColumn("n", pack_numbers(most, 1)(F.transform("c", lambda x: F.length(x["text"])), cuts))
-    out = rows.select("file", F.explode(F.arrays_zip("c", "n")).alias("z")).select("file", F.col("z.n").alias("n"), "z.c.*")
+    order = ["idx", "start_ms", "end_ms", "text"]
+    rows = in_order(cues.select("file", *order), "file", order)
+    cut = F.col("start_ms") - F.lag("end_ms").over(Window.partitionBy("file").orderBy(*order)) > gap_ms
+    out = packed(rows, "file", F.length("text"), cut, most, 1).withColumnRenamed("pack", "n")
     by = out.groupBy("file", "n").agg(F.min_by("start_ms", "idx").alias("start_ms"), F.max_by("end_ms", "idx").alias("end_ms"), F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("t"))
     by = by.withColumn("text", F.array_join(F.transform("t", lambda x: x["text"]), " "))
     by = by.filter(~((F.length("text") < 12) & F.col("text").rlike(r"^\s*[\[(（【][^\])）】]*[\])）】]\s*$")))

@@ -1,10 +1,8 @@
-"""Sinks: verified writes, content-addressed stages, atomic publication, snapshots."""
+"""Sinks: verified writes, content-addressed stages; versions and snapshots are in :mod:`.versions`."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,61 +46,3 @@ def cached_stage(spark: SparkSession, folder: str, key: str, make: Callable[[],
     if not fs.exists(at(f"{path}/_SUCCESS")):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-@contextmanager
-def writer_lock(spark: SparkSession, path: str) -> Iterator[None]:
-    """Holds ``path.lock``, which only one writer can create; raises while another one holds it."""
-    fs, at = _fs(spark, path)
-    lock = at(f"{path.rstrip('/')}.lock")
-    try:
-        fs.create(lock, False).close()
-    except Exception as error:
-        raise RuntimeError(f"{path} is being written by another job") from error
-    try:
-        yield
-    finally:
-        fs.delete(lock, False)
-
-
-def publish(rows: DataFrame, path: str, form: str = "parquet") -> None:
-    """Replaces the table at ``path``: it is written beside it first, and readers see the old or the new one, whole."""
-    spark = rows.sparkSession
-    fs, at = _fs(spark, path)
-    with writer_lock(spark, path):
-        staged, old = f"{path}.staged-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
-        rows.write.format(form).save(staged)
-        there = fs.exists(at(path))
-        if there and not fs.rename(at(path), at(old)):
-            raise OSError(f"cannot move {path}")
-        if not fs.rename(at(staged), at(path)):
-            if there:
-                fs.rename(at(old), at(path))
-            raise OSError(f"cannot move {staged}")
-        if there:
-            fs.delete(at(old), True)
-
-
-def snapshot(spark: SparkSession, path: str, folder: str, name: str) -> str:
-    """Copies the files at ``path`` to ``folder/name``; an existing snapshot is not overwritten."""
-    fs, at = _fs(spark, path)
-    target = f"{folder}/{name}"
-    if fs.exists(at(target)):
-        raise FileExistsError(target)
-    copy = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy
-    copy(fs, at(path), fs, at(target), False, spark.sparkContext._jsc.hadoopConfiguration())
-    return target
-
-
-def rollback(spark: SparkSession, path: str, folder: str, name: str) -> str:
-    """Puts a snapshot back in place, after a snapshot of what is there now, whose name is returned."""
-    fs, at = _fs(spark, path)
-    if not fs.exists(at(f"{folder}/{name}")):
-        raise FileNotFoundError(f"{folder}/{name}")
-    with writer_lock(spark, path):
-        before = f"before-{name}-{uuid.uuid4().hex[:8]}"
-        snapshot(spark, path, folder, before)
-        fs.delete(at(path), True)
-        copy = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy
-        copy(fs, at(f"{folder}/{name}"), fs, at(path), False, spark.sparkContext._jsc.hadoopConfiguration())
-    return before

@@ -56,14 +56,6 @@ def test_sinks(spark, tmp_path):
     made = []
     make = lambda: made.append(1) or rows
     assert store.cached_stage(spark, f"{root}/c", "k", make).count() == store.cached_stage(spark, f"{root}/c", "k", make).count() == 2 and len(made) == 1
-    store.publish(rows, f"{root}/p"), store.publish(rows.filter("id = 1"), f"{root}/p")
-    assert spark.read.parquet(f"{root}/p").count() == 1
-    with store.writer_lock(spark, f"{root}/p"), pytest.raises(RuntimeError):
-        store.publish(rows, f"{root}/p")
-    store.snapshot(spark, f"{root}/p", f"{root}/s", "one"), store.publish(rows, f"{root}/p")
-    before = store.rollback(spark, f"{root}/p", f"{root}/s", "one")
-    spark.catalog.clearCache()
-    assert spark.read.parquet(f"{root}/p").count() == 1 and spark.read.parquet(f"{root}/s/{before}").count() == 2
     store.write_markdown(spark.createDataFrame([("x", "one\ntwo")], "path string, text string"), f"{root}/m")
     assert sorted(r.value for r in spark.read.text(f"{root}/m").collect()) == ["one", "two"]
     assert measures.rendered_table(rows.orderBy("id"), "T") == "# T\n\n| id | t |\n| --- | --- |\n| 1 | a |\n| 2 |  |\n"
