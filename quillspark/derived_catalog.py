@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import anchoring, catalogue, linting, measures, merging, quotations, scoring
+from .operators import anchoring, catalogue, diffs, linting, measures, merging, quotations, scoring, stats
 from .plans.derived import Derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,3 +242,49 @@ _add(
 c AS (SELECT * FROM a WHERE n % 19 <> 0) {_RULE_ROWS} UNION ALL SELECT name, level, rule FROM (SELECT name FROM a WHERE n % 19 = 0), (VALUES {_BARE_CARD}) AS v(level, rule)""",
 )
 _add("best_sentences", lambda s, d: quotations.best_sentences(QUOTES.df(s, d), SAID.df(s, d)).select("quote_id", "sent_id"), None)
+
+
+# sentences, differences, promoted quotations
+
+_SENTENCES = r"regexp_split_to_array(coalesce(text, ''), '[。！？；!?;]+')"
+_add(
+    "sentence_lengths",
+    lambda s, d: stats.sentence_lengths(s.read.parquet(f"{d}/documents.parquet"), "source", 2000),
+    rf"""WITH n AS (SELECT source, length(regexp_replace(unnest({_SENTENCES}), '\s+', '', 'g')) AS n FROM documents), g AS (SELECT source, sum(n)::BIGINT AS chars, count(*) FILTER (n > 0) AS sentences, round(avg(n) FILTER (n > 0), 1) AS m, round(stddev_pop(n) FILTER (n > 0), 1) AS sd, min(n) FILTER (n > 0)::BIGINT AS lo, max(n) FILTER (n > 0)::BIGINT AS hi FROM n GROUP BY source)
+SELECT source, chars, CASE WHEN chars >= 2000 THEN 'ok' ELSE 'insufficient' END AS state, CASE WHEN chars >= 2000 THEN sentences END AS sentences, CASE WHEN chars >= 2000 THEN m END AS mean_chars, CASE WHEN chars >= 2000 THEN sd END AS stdev_chars, CASE WHEN chars >= 2000 THEN lo END AS shortest, CASE WHEN chars >= 2000 THEN hi END AS longest FROM g""",
+)
+
+
+
+def _editions(s: SparkSession, d: str) -> DataFrame:
+    """(doc_id, old, new): a line for each turn of a conversation, one of them edited."""
+    line = F.concat(F.lit("turn "), F.col("turn").cast("string"), F.lit(" of "), F.coalesce("role", F.lit("")))
+    told = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", c.alias("l")))), lambda x: x["l"]), "\n")
+    return s.read.parquet(f"{d}/conversations.parquet").groupBy(F.col("conv_id").alias("doc_id")).agg(told(line).alias("old"), told(F.when(F.col("turn") == 1, "edited").otherwise(line)).alias("new"))
+
+
+_add(
+    "line_differences",
+    lambda s, d: _editions(s, d).select("doc_id", F.posexplode(diffs.unified_diff(F.col("old"), F.col("new"))).alias("nth", "line")).select("doc_id", F.col("nth").cast("long").alias("nth"), "line"),
+    """WITH n AS (SELECT conv_id AS doc_id, turn, 'turn ' || turn || ' of ' || coalesce(role, '') AS l, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), o AS (SELECT doc_id, 3 + turn AS spot, CASE WHEN turn = 1 THEN '-' ELSE ' ' END || l AS line FROM n WHERE turn < 5 AND turn <= 1 UNION ALL SELECT doc_id, 5, '+edited' FROM n WHERE turn = 1
+UNION ALL SELECT doc_id, 4 + turn, ' ' || l FROM n WHERE turn BETWEEN 2 AND 4 UNION ALL SELECT doc_id, unnest([0, 1, 2]), unnest(['--- ', '+++ ', '@@ -1,' || least(n, 5) || ' +1,' || least(n, 5) || ' @@']) FROM n WHERE turn = 1)
+SELECT doc_id, spot::BIGINT AS nth, line FROM o""",
+)
+_MARKED = "CASE WHEN length(coalesce(text, '')) % 2 = 0 THEN ' §' || CAST(turn AS STRING) ELSE '' END"
+_HAN = "translate(lpad(CAST((conv_id * 31 + turn * 7) % 10000 AS STRING), 4, '0'), '0123456789', '零一二三四五六七八九')"
+QUOTING = Derived("t", f"SELECT conv_id * 1000 + turn AS doc_id, '「' || {_HAN} || '」' || {_MARKED} AS text FROM {{conversations}}")
+HELD_BY = Derived("g", f"SELECT conv_id * 1000 + turn AS seg, '前 ' || {_HAN} || '后' || coalesce(text, '') AS text FROM {{conversations}} WHERE turn % 2 = 1")
+
+
+def _promoted(s: SparkSession, d: str) -> DataFrame:
+    quotes = quotations.anchor_quotes(QUOTING.df(s, d))
+    located = QUOTING.df(s, d).filter("text like '%§%'").select("doc_id", F.lit(0).cast("long").alias("line"))
+    return anchoring.promoted_quotes(quotes, HELD_BY.df(s, d), located)
+
+
+_add(
+    "promoted_quotes",
+    _promoted,
+    f"""WITH {QUOTING.cte}, {HELD_BY.cte}, q AS (SELECT doc_id, regexp_extract(text, '「(.*)」', 1) AS quote, contains(text, '§') AS located FROM t)
+SELECT doc_id, 0::BIGINT AS line, quote, CASE WHEN located AND EXISTS (SELECT 1 FROM g WHERE contains(g.text, q.quote)) THEN 'promoted' ELSE 'short' END AS kind FROM q""",
+)

@@ -25,13 +25,12 @@ def anchor_verdicts(quotes: DataFrame, segments: DataFrame) -> DataFrame:
     k = F.when(F.size("w") >= LEAST_WORDS, F.least(F.lit(RUN), F.greatest(F.lit(2), F.floor(F.size("w") / 2).cast("int"))))
     own = own.withColumn("k", k)
     held = segments.select("seg", T.words(F.col("text")).alias("w"))
-    shared = None
-    for n in range(2, RUN + 1):
-        asked = exploded(own.filter(F.col("k") == n).select("quote_id", T.shingles(F.col("w"), n).alias("s")), ["quote_id"], "s", "x").select("quote_id", F.xxhash64("x").alias("h"))
-        there = exploded(held.select("seg", T.shingles(F.col("w"), n).alias("s")), ["seg"], "s", "x").select("seg", F.xxhash64("x").alias("h"))
-        found = there.join(_beside(asked), "h").select("quote_id", "seg")
-        shared = found if shared is None else shared.union(found)
-    counts = shared.groupBy("quote_id", "seg").agg(F.count("*").alias("shared"))
+    lengths = sorted(r["k"] for r in own.select("k").filter("k is not null").distinct().collect())  # of 2 to RUN
+    runs = lambda n: F.transform(T.shingles(F.col("w"), n), lambda x: F.xxhash64(F.lit(n), x))
+    none = F.array().cast("array<bigint>")
+    asked = exploded(own.select("quote_id", F.concat(none, *[F.when(F.col("k") == n, runs(n)).otherwise(none) for n in lengths]).alias("s")), ["quote_id"], "s", "h")
+    there = exploded(held.select("seg", F.concat(none, *[runs(n) for n in lengths]).alias("s")), ["seg"], "s", "h")
+    counts = there.join(_beside(asked), "h").groupBy("quote_id", "seg").agg(F.count("*").alias("shared"))
     totals = own.select("quote_id", "target", "k", F.when(F.col("k").isNotNull(), F.greatest(F.size("w") - F.col("k") + 1, F.lit(0))).alias("most"), _distinct_runs().alias("total"))
     both = totals.join(counts, "quote_id", "left")
     order = Window.partitionBy("quote_id").orderBy(F.desc_nulls_last("shared"), F.desc(F.coalesce(F.col("seg") == F.col("target"), F.lit(False))), "seg")

@@ -8,6 +8,7 @@ hold it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from typing import Any
@@ -21,26 +22,27 @@ from ..plans.scratch import written
 #: Characters of strings in one automaton.
 PART_CHARS = 2_000_000
 
-_built: dict[int, Any] = {}
+_built: dict[str, Any] = {}
 
 
-def _automaton(shared: Any) -> Any:
-    """This worker's automaton of a broadcast list of strings: one at a time, kept for the worker's next task."""
+def _automaton(name: str, strings: list[str]) -> Any:
+    """This worker's automaton of the named list of strings: one at a time, kept for the worker's next task."""
     import ahocorasick
 
-    if shared.value and id(shared.value) not in _built:
+    if strings and name not in _built:
         _built.clear()
         made = ahocorasick.Automaton()
-        for i, x in enumerate(shared.value):
+        for i, x in enumerate(strings):
             made.add_word(x, (i, len(x)))
         made.make_automaton()
-        _built[id(shared.value)] = made
-    return _built.get(id(shared.value))
+        _built[name] = made
+    return _built.get(name)
 
 
 def _searched(shared: Any):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, strings = _automaton(shared), shared.value
+        name, strings = shared.value
+        automaton = _automaton(name, strings)
         for batch in batches:
             rows: list[tuple[int, int, int, int]] = []
             for place, text in enumerate(batch.column("text").to_pylist()):
@@ -72,6 +74,6 @@ def occurrences(strings: DataFrame, texts: DataFrame, part_chars: int = PART_CHA
     found = []
     for part in range(parts):
         held = own.filter(F.col("part") == part).select("string").toArrow().column(0).to_pylist()  # about part_chars characters
-        one = texts.select("text_id", "text").mapInArrow(_searched(spark.sparkContext.broadcast(held)), f"text_id {kind}, string string, first long, n long")
+        one = texts.select("text_id", "text").mapInArrow(_searched(spark.sparkContext.broadcast((uuid.uuid4().hex, held))), f"text_id {kind}, string string, first long, n long")
         found.append(one if parts == 1 else written(one, "occurrences"))
     return reduce(DataFrame.union, found)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
+from ..plans.scratch import written
+from .ranks import nth, quantile_places
 
 #: Words of a shingle, the containment above which an overlap fails, words that a sentence needs.
 SHINGLE, CONTAINMENT, SENTENCE = 8, 0.005, 8
@@ -35,6 +37,8 @@ BROADCAST_ROWS = 500_000
 
 
 def _beside(small: DataFrame) -> DataFrame:
+    """The smaller side of a join, made once, to be broadcast if it is small enough."""
+    small = written(small, "beside")
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
@@ -131,16 +135,13 @@ def coverage_audit(covered: DataFrame, percent: int = 60, strict: int = 10) -> D
     the least covered text is below the bound, or the strict count differs.
     """
     share = F.when(F.col("grams") > 0, F.col("hit") / F.col("grams")).otherwise(F.lit(0.0))
-    rows = covered.select("doc_id", share.alias("share"))
+    covered = written(covered.select("doc_id", "grams", "hit"), "covered")
+    rows = covered.select(share.alias("share"))
     at = lambda p: F.sum((F.col("hit") * 100 >= F.col("grams") * p).cast("long"))
     total = covered.agg(F.count("*").alias("n"), F.coalesce(at(percent), F.lit(0)).alias("covered"), F.coalesce(at(percent + strict), F.lit(0)).alias("covered_strict"))
-    # shares of equal value are counted first: as many rows as there are different shares
-    values = rows.groupBy("share").agg(F.count("*").alias("c"))
-    upto = Window.orderBy("share").rowsBetween(Window.unboundedPreceding, 0)
-    placed = values.withColumn("upto", F.sum("c").over(upto)).crossJoin(F.broadcast(total.select("n")))
-    pick = lambda k: F.min(F.when(F.col("upto") > F.floor(F.col("n") * k / 4), F.col("share")))
-    quartiles = placed.agg(pick(1).alias("q1"), pick(2).alias("q2"), pick(3).alias("q3"))
-    out = total.crossJoin(quartiles)  # one row each
+    n = rows.count()
+    quartiles = [nth(rows, "share", place, n) for place in quantile_places(n, 4)]
+    out = total.select("*", *[F.lit(q).cast("double").alias(f"q{i}") for i, q in enumerate(quartiles, 1)])
     state = F.when(F.col("n") == 0, "insufficient").when(F.col("covered") == F.col("n"), "covered").otherwise("uncovered")
     return out.select("n", "covered", "covered_strict", *[F.round(q, 6).alias(q) for q in ("q1", "q2", "q3")], ((F.col("covered") < F.col("n")) | (F.col("covered") != F.col("covered_strict"))).alias("fragile"), state.alias("state"))
 

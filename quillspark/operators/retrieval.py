@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
+from ..functions.inverted import inverted
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, length)."""
-    own = docs.select("doc_id", T.lexical_tokens(F.col("text")).alias("t"))
-    return own.select("doc_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+    """(term, doc_id, length, tf) of documents with distinct ids; terms are counted inside each row."""
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", T.lexical_tokens(F.col("text")).alias("text")).mapInArrow(inverted(("text",)), f"term string, doc_id {kind}, field string, positions array<int>, length long")
+    return rows.filter("term <> ''").select("term", "doc_id", "length", F.size("positions").cast("long").alias("tf"))
 
 
 def bm25(docs: DataFrame, query: list[str]) -> DataFrame:
@@ -72,19 +74,16 @@ def grep_chunks(chunks: DataFrame, needle: str, most: int = 20) -> DataFrame:
     return chunks.filter(F.coalesce(hit, F.lit(False))).select("chunk_id", "path").distinct().orderBy("chunk_id").limit(most)
 
 
-def store_postings(docs: DataFrame, path: str, buckets: int = 64) -> None:
-    """Writes the postings below ``path``, one folder for each bucket of terms, and their totals beside them."""
-    rows = postings(docs).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    docs.select(T.lexical_count(F.col("text")).alias("length")).agg(F.count("*").alias("N"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/totals")
+def store_postings(docs: DataFrame, path: str) -> None:
+    """Writes the postings below ``path``, in ranges of term and document, and their totals beside them; a frequent term fills as many files as it needs."""
+    postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    docs.select(T.lexical_count(F.col("text")).alias("length")).agg(F.count("*").alias("N"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def stored_bm25(spark: SparkSession, path: str, query: list[str]) -> DataFrame:
-    """:func:`bm25` from stored postings: only the buckets of the query's terms are read."""
+    """:func:`bm25` from stored postings: only row groups with a term of the query are read."""
     total = spark.read.parquet(f"{path}/totals").first()
-    asked = spark.createDataFrame([(q,) for q in query], "term string").withColumn("b", F.pmod(F.xxhash64("term"), F.lit(total["buckets"])).cast("int"))
-    wanted = [r["b"] for r in asked.select("b").distinct().collect()]  # as many as terms
-    rows = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(wanted) & F.col("term").isin(query))
+    rows = spark.read.parquet(f"{path}/postings").filter(F.col("term").isin(query))
     held = rows.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((total["N"] - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     own = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / total["mean"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from py4j.java_gateway import JavaObject
@@ -21,17 +22,25 @@ def violations(rows: DataFrame, rules: dict[str, Column], key: str) -> DataFrame
 
 
 def write_verified(rows: DataFrame, rules: dict[str, Column], key: str, path: str, form: str = "json") -> None:
-    """Writes ``rows`` (json or parquet) if they break no rule; else raises and writes nothing."""
-    bad = violations(rows, rules, key).limit(3).collect()
+    """Writes ``rows`` (json or parquet) if they break no rule; else raises, and nothing is at ``path`` that was not there.
+
+    The rows are made once: they are written beside ``path``, checked as they lie there, and moved.
+    """
+    spark, staged = rows.sparkSession, f"{path}.staged-{uuid.uuid4().hex[:8]}"
+    fs, at = _fs(spark, path)
+    rows.write.format(form).save(staged)
+    bad = violations(spark.read.schema(rows.schema).format(form).load(staged), rules, key).limit(3).collect()
     if bad:
+        fs.delete(at(staged), True)
         raise ValueError(f"refused to write {path}: " + ", ".join(f"{r[key]}: {r['rule']}" for r in bad))
-    rows.write.mode("overwrite").format(form).save(path)
+    fs.delete(at(path), True)
+    if not fs.rename(at(staged), at(path)):
+        raise OSError(f"cannot move {staged}")
 
 
 def write_markdown(pages: DataFrame, path: str) -> None:
-    """Writes (path, text) rows as lines of text, one folder for each path."""
-    lines = pages.select("path", F.explode(F.split("text", "\n")).alias("value"))
-    lines.repartition("path").write.mode("overwrite").partitionBy("path").text(path)
+    """Writes (path, text) rows as files of text, one folder for each path; a text is written in one piece, so that its lines keep their order."""
+    pages.select("path", F.col("text").alias("value")).repartition("path").write.mode("overwrite").partitionBy("path").text(path)
 
 
 def stage_key(stage: str, versions: tuple[str, ...], *inputs: Column) -> Column:

@@ -63,7 +63,7 @@ def test_sinks(spark, tmp_path):
 
 def test_stored_postings_rank_alike(spark, sf001, tmp_path):
     docs = spark.read.parquet(f"{sf001}/documents.parquet")
-    retrieval.store_postings(docs, f"file://{tmp_path}/p", 8)
+    retrieval.store_postings(docs, f"file://{tmp_path}/p")
     want = {r.doc_id: round(r.score, 9) for r in retrieval.bm25(docs, ["with", "from"]).collect()}
     assert {r.doc_id: round(r.score, 9) for r in retrieval.stored_bm25(spark, f"file://{tmp_path}/p", ["with", "from"]).collect()} == want and want
 
