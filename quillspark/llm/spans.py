@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import WORD as _WORD
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -33,8 +35,9 @@ _CHUNK = 128
 def kind_spans(df: DataFrame, text: str, kind: Kind, rank: int, out: str, reach: int = 0) -> DataFrame:
     """Adds ``out``: array<struct<start int, rank int, end int>> of the kind's kept matches in column ``text``.
 
-    With ``reach``, the structs also hold ``text`` (the match), ``left`` and ``right`` (up to so
-    many code points before and after it, up to the next match of the kind).
+    With ``reach``, the structs also hold ``text`` (the match), ``left`` and ``right``: what lies before
+    and after it, up to the next match of the kind.  Of more than so many code points only the whole
+    words nearest to the match within them are kept, if they are five at least.
     Working columns start with the output's name, which must be free.
     """
     whole, part, gaps, starts = f"{out}_m", f"{out}_p", f"{out}_g", f"{out}_s"
@@ -56,10 +59,14 @@ def kind_spans(df: DataFrame, text: str, kind: Kind, rank: int, out: str, reach:
     heads = F.when(some, F.sequence(F.lit(0), F.size(whole) - 1, F.lit(_CHUNK))).otherwise(no_starts)
     df = df.withColumn(starts, F.aggregate(heads, zero, chunk, lambda s: s["starts"]))
 
+    def near(gap: Column, side: Callable[[Column, Column], Column], edge: str) -> Column:
+        cut, torn = side(gap, F.lit(reach)), f"^{_WORD}" if edge == "^" else _WORD + edge
+        return F.when(F.length(cut) < reach, cut).when(F.regexp_count(cut, F.lit(_WORD)) >= 6, F.regexp_replace(cut, torn, "")).otherwise(gap)
+
     def found(m: Column, i: Column) -> Column:
         fields = [F.get(starts, i).alias("start"), F.lit(rank).alias("rank"), (F.get(starts, i) + F.length(m)).alias("end"), m.alias("text"), F.get(part, i).alias("part")]
         if reach:
-            fields += [F.right(F.get(gaps, i), F.lit(reach)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(reach)).alias("right")]
+            fields += [near(F.get(gaps, i), F.right, "^").alias("left"), near(F.get(gaps, i + 1), F.left, r"\z").alias("right")]
         return F.struct(*fields)
 
     spans = F.transform(whole, found)

@@ -64,7 +64,7 @@ def test_band_recall_of_planted_copies(spark):
     got = {r.doc_id: r for r in minhash.edited_fingerprints(df, minhash.banded_duplicates(df)).collect()}
     want = components(range(len(texts)), links)
     assert np.mean([got[i].component_id == got[j].component_id for i, j in links]) >= 0.9
-    assert all(want[i] == want[got[i].component_id] for i in got) and sum(r.n_candidates for r in got.values()) > 0
+    assert all(want[i] == want[got[i].component_id] for i in got) and sum(r.n_shared_bands for r in got.values()) > 0
 
 
 def test_ledger_knows_earlier_versions(spark, tmp_path):
@@ -264,3 +264,46 @@ def test_flush_by_bytes_keeps_all_pieces(spark, monkeypatch):
     rows = spark.range(50).select(F.col("id").alias("doc_id"), F.expr("repeat('several words here ', cast(id * 9 as int))").alias("text"))
     got = packing.packed(rows, public_tokenizers.path("word_bpe_49k.json"), length=64, with_ids=False).collect()
     assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0) and len({r.doc_id for r in got}) == 50 and all(r.ids is None for r in got)
+
+
+def _planted(seeds, first, both, second, filler=60):
+    """Texts with e-mail addresses in a context, identifiers in the same one, in that and another one, and in the other one alone."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    around = lambda x: f"{word()} {word()} {word()} {x} {word()} {word()} {word()}"
+    a, b = (lambda x: around(f"my account number is {x} thank you all")), (lambda x: around(f"the holder of {x} was seen there"))
+    code = lambda k: f"AC-{k}{rng.randrange(10**4)}Q"
+    shared = [code(i) for i in range(both)]
+    texts = [a(f"user{i}@site{i}.org") for i in range(seeds)]
+    planted = {}
+    for text, x in [(a(x), x) for x in (code(100 + i) for i in range(first))] + [(a(x), x) for x in shared] + [(b(x), x) for x in shared] + [(b(x), x) for x in (code(200 + i) for i in range(second))]:
+        planted[len(texts)] = x
+        texts.append(text)
+    noise = [around(f"the of and {rng.randrange(10**6)} of the {word()} {rng.randrange(3000)}") for _ in range(80)]
+    noise += [around(" ".join(f"x{rng.randrange(90)}y" if rng.random() < 0.2 else rng.choice(["the", "of", "and", "a", "is", "to"]) for _ in range(40))) for _ in range(filler)]
+    noise += [around(f"mail {word()}{i}@{word()}.com of the {word()}") for i in range(30)]
+    return texts + noise, planted
+
+
+def _discovered(spark, texts):
+    got = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {(r.doc_id, texts[r.doc_id][int(b) : int(e)]) for r in got for kind, b, e in (s.split(":") for s in r.spans.split(",") if s) if kind == "context"}
+
+
+@pytest.mark.parametrize("plan", [(40, 0, 20, 20), (4, 20, 0, 0), (12, 20, 0, 0), (2, 5, 5, 5), (40, 20, 20, 20)])
+def test_discovered_identifiers_induce_patterns(spark, plan):
+    texts, planted = _planted(*plan)
+    found, want = _discovered(spark, texts), set(planted.items())
+    assert len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.9 * len(found)
+
+
+def test_copies_of_a_table_change_nothing(spark):
+    texts, _ = _planted(8, 10, 6, 6, 20)
+    once, many = _discovered(spark, texts), _discovered(spark, texts * 5)
+    assert once and {(i % len(texts), x) for i, x in many} == once and len(many) == 5 * len(once)
+
+
+def test_long_words_are_whole_words_of_a_context(spark):
+    long = "w" * 300
+    texts = [f"a{i} {long} {long[:-1]} id user{i}@site{i}.org said" for i in range(4)] + [f"b {long} {long[:-1]} id QX-{i}77 said" for i in range(3)]
+    assert {x for _, x in _discovered(spark, texts)} == {f"QX-{i}77" for i in range(3)}
