@@ -226,11 +226,11 @@ def bucket_column(bounds: list[int], key: Column, tie: Column) -> Column:
     return F.pandas_udf(place, T.IntegerType())(key, tie)
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Labels each id of the edge table ``(a long, b long)`` with the smallest id it can reach: ``(id, component)``.
 
     Alternates the large-star and small-star steps until the edges are stars around their
-    smallest member.  No neighbour list is ever gathered: a step is one aggregate (combined
+    smallest member, however many rounds that takes.  No neighbour list is ever gathered: a step is one aggregate (combined
     before its shuffle) and one join against a table with one row per id.
     """
 
@@ -239,7 +239,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     stars = materialize(arranged(edges), "edges")
     seen: tuple | None = None
-    for _ in range(most_rounds):
+    while True:
         both = stars.union(stars.select("b", "a"))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = arranged(lookup_join(both, least, ["a"], "inner").filter("b > a").select(F.col("m").alias("a"), "b"))

@@ -36,7 +36,7 @@ CROWD = 32
 #: Standard errors of an estimate by which a pair of the second pass may fall short.
 SPREAD = 3.5
 #: What :func:`banded_duplicates` tells of a row.
-LABELS = ("component_id", "n_candidates")
+LABELS = ("component_id", "n_shared_bands")
 
 
 def signatures(column: pa.Array, perms: int = PERMS, k: int = 5) -> np.ndarray:
@@ -131,17 +131,18 @@ def edited_fingerprints(docs: DataFrame, labels: DataFrame | None = None, perms:
     return arrow_map(dealt, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, " + ", ".join(f"{c} long" for c in LABELS))
 
 
-def banded_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERMS, bands: int = BANDS, k: int = 5) -> DataFrame:
-    """Near duplicates by banding: per row doc_id, h (a hash of its text), component_id (the smallest doc_id linked to it), n_candidates.
+def banded_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERMS, bands: int = BANDS, k: int = 5, spread: float | None = SPREAD) -> DataFrame:
+    """Near duplicates by banding: per row doc_id, h (a hash of its text), component_id (the smallest doc_id linked to it), n_shared_bands.
 
     Texts of equal fingerprint form a class.  Classes that agree in a band meet there and are
     linked if the true Jaccard similarity of their shingle sets reaches ``threshold``.  First
     each is compared with the band's smallest member; when those links are components, a second
     pass compares what the band still holds in different components, block by block: by estimates
     from the fingerprints, so that texts that only share a passage are not paired, then by their
-    sets; in a crowded band the likeliest pair first, and none whose components have met.  A class
-    goes by a hash of one of its rows.  ``n_candidates`` is the number of classes that a row's
-    class was paired with, crowds aside.  Rows without an id, and texts without words, link with nothing.
+    sets; in a crowded band the likeliest pair first, and none whose components have met.  With
+    ``spread`` None no pair is passed over by its estimate, so that every pair that meets in a band and
+    is still apart is compared by its sets.  A class goes by a hash of one of its rows.  ``n_shared_bands`` is the number of
+    a class's bands that other classes have too.  Rows without an id, and texts without words, link with nothing.
     """
     ship_package(docs.sparkSession)
     rows = perms // bands
@@ -171,8 +172,8 @@ def banded_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERM
     found = materialize(connected_components(links), "components")
 
     # second pass: what a band holds in different components; a pair goes on if the low bytes of its fingerprints agree
-    # as often as those of a likeness at the threshold do, less SPREAD standard errors
-    plausible = threshold - SPREAD * (threshold * (1 - threshold) / perms) ** 0.5
+    # as often as those of a likeness at the threshold do, less ``spread`` standard errors
+    plausible = 0.0 if spread is None else threshold - spread * (threshold * (1 - threshold) / perms) ** 0.5
     entries = lookup_join(shared.select("band", "c"), found.select(F.col("id").alias("c"), "component"), ["c"]).withColumn("component", F.coalesce("component", "c"))
     entries = materialize(entries, "entries")
     open_ = entries.groupBy("band").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("blocks"), (F.min("component") != F.max("component")).alias("several")).filter("several")
@@ -249,16 +250,15 @@ def banded_duplicates(docs: DataFrame, threshold: float = 0.8, perms: int = PERM
         more = materialize(_verified(base, left_over, threshold, k), "links")
         # all links once more, so that each id has one label
         found = materialize(connected_components(links.union(more)), "components")
-    compared = pairs.union(left_over)
-    met = compared.select(F.col("a").alias("c")).union(compared.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_candidates"))
+    met = shared.groupBy("c").agg(F.count("*").alias("n_shared_bands"))
     grouped = classes.drop("bands", "sketch").join(found.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     grouped = materialize(grouped.join(met, "c", "left"), "grouped")
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    told = materialize(grouped.join(least, "component").select("k1", "k2", "component_id", F.coalesce("n_candidates", F.lit(0).cast("long")).alias("n_candidates")), "told")
+    told = materialize(grouped.join(least, "component").select("k1", "k2", "component_id", F.coalesce("n_shared_bands", F.lit(0).cast("long")).alias("n_shared_bands")), "told")
     out = lookup_join(signed.drop("bands", "sketch"), told, ["k1", "k2"])
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(~F.col("empty"), F.col("component_id")), F.col("doc_id")))
     alone = F.col("doc_id").isNull() | F.col("empty")
-    labels = materialize(out.select("doc_id", "h", own.alias("component_id"), F.when(alone, 0).otherwise(F.col("n_candidates")).cast("long").alias("n_candidates")), "labels")
+    labels = materialize(out.select("doc_id", "h", own.alias("component_id"), F.when(alone, 0).otherwise(F.col("n_shared_bands")).cast("long").alias("n_shared_bands")), "labels")
     for table in (signed, classes, leaders, shared, pairs, links, found, entries, open_, seated, left_over, more, grouped, told):
         drop_table(table)
     release(docs.sparkSession)

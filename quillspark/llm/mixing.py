@@ -174,7 +174,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
         hashed = docs.withColumn("_mix_row", F.xxhash64("doc_id", "source", "text"))
         ranks = Window.partitionBy("_mix_row")
 
-        def ranked(df: DataFrame, *order: str) -> DataFrame:
+        def ranked(df: DataFrame, *order: str | Column) -> DataFrame:
             place = F.row_number().over(ranks.orderBy(*order))
             return df.withColumn("_mix_row", F.when(place > 1, F.xxhash64("_mix_row", place)).otherwise(F.col("_mix_row")))
 
@@ -182,7 +182,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
         again = materialize(sizes.groupBy("_mix_row").agg(F.count("*").alias("n")).filter("n > 1").select("_mix_row"), "again")
         plan = mix_sizes(materialize(ranked(sizes, "source", "size").withColumnRenamed("_mix_row", "doc_id"), "sizes"), **settings)
         # only texts of rows that are there more than once move for their ranks
-        named = restrict(hashed, again, "_mix_row", "left_anti").unionByName(ranked(restrict(hashed, again, "_mix_row"), *docs.columns))
+        named = restrict(hashed, again, "_mix_row", "left_anti").unionByName(ranked(restrict(hashed, again, "_mix_row"), F.xxhash64(F.to_json(F.struct(*docs.columns)))))
     plan = plan.filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")).hint("shuffle_hash")
     joined = named.join(plan, F.col("_mix_row") == F.col("_mix_id"))
     return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)

@@ -128,10 +128,9 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
     steps = encoded.approxQuantile(names, [i / cells for i in range(1, cells)], 1 / (4 * cells))
     ladders = np.array([x or [0.0] * (cells - 1) for x in steps])
     key = curve_keys(ladders)(F.col("doc_id"), *map(F.col, names)).alias("key")
-    cuts = F.lit(sorted(set(map(int, materialize(encoded.select(key), "keys").approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (4 * parts)))))) if parts > 1 else F.array()
+    cuts = np.array(sorted(set(materialize(encoded.select(key), "keys").approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else [], np.float64).astype(np.int64)
     keyed = encoded.select("doc_id", "wide", "ids", key)
-    # the number of cuts below the key
-    part = F.size(F.filter(cuts.cast("array<bigint>"), lambda c: c < F.col("key")))
+    part = F.pandas_udf(lambda keys: pd.Series(np.searchsorted(cuts, keys.to_numpy(), "left").astype(np.int32)), "int")(F.col("key"))
     dealt = keyed.repartitionById(parts, part).sortWithinPartitions("key", F.col("doc_id").asc_nulls_first(), "ids").select("doc_id", "wide", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -164,7 +164,8 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "x": pa.array([x.tobytes() for x in features(batch.column("text"))], pa.binary())})
 
-    measured = arrow_map(chosen, measure, "doc_id long, x binary").join(F.broadcast(drawn), "doc_id").toPandas().sort_values("doc_id").drop_duplicates("doc_id")  # at most positives + unlabelled rows
+    measured = arrow_map(chosen, measure, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x"))  # of rows of equal id one is learned
+    measured = measured.join(F.broadcast(drawn), "doc_id").toPandas().sort_values("doc_id")  # at most positives + unlabelled rows
     x = np.stack([np.frombuffer(v, np.float32) for v in measured["x"]]) if len(measured) else np.zeros((0, N_FEATURES), np.float32)
     positive, unlabelled_ = x[(measured["trusted"] == 1).to_numpy(bool)], x[(measured["other"] == 0).to_numpy(bool)]
     return train(positive, unlabelled_, estimated_prior(positive, unlabelled_))
