@@ -19,7 +19,9 @@ other; other columns, whatever their names, are ignored, or kept by ``redacted``
 from __future__ import annotations
 
 import hashlib
+import itertools
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,12 +71,26 @@ def scan(blobs: DataFrame) -> DataFrame:
     return out.select("blob", *[F.size(n).cast("long").alias(f"n_{k.name}") for k, n in zip(BASE, names, strict=False)], joined(base, labels).alias("base"), joined(all_, labels).alias("spans"), F.array_sort(all_).alias("places"))
 
 
+def _claimed(spark: SparkSession, ledger: str, after: int) -> int:
+    """The next number of a scan, which no other scan gets: a file of that name is created where none is."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = make(ledger).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for number in itertools.count(after + 1):
+        claim = make(f"{ledger}/claims/{number}")
+        try:
+            fs.create(claim, False).close()
+            return number
+        except Py4JJavaError:
+            if not fs.exists(claim):
+                raise
+
+
 def update_ledger(docs: DataFrame, ledger: str) -> DataFrame:
     """Scans the blobs of ``docs`` that the ledger has not seen under these rules; returns (doc_id, blob) of all rows."""
     spark = docs.sparkSession
     text = text_or_empty()
-    version = (_read(spark, f"{ledger}/paths", _PATHS).agg(F.max("scan")).first()[0] or 0) + 1
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("blob")).write.mode("overwrite").parquet(f"{ledger}/paths/scan={version}")
+    version = _claimed(spark, ledger, _read(spark, f"{ledger}/paths", _PATHS).agg(F.max("scan")).first()[0] or 0)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("blob")).write.parquet(f"{ledger}/paths/scan={version}")
     paths = spark.read.schema("doc_id long, blob string").parquet(f"{ledger}/paths/scan={version}")
     seen = _read(spark, f"{ledger}/scanned", _SCANNED).filter(F.col("rules") == RULE_VERSION).select("blob")
     first = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(seen.distinct(), "blob", "left_anti")
@@ -87,9 +103,9 @@ def update_ledger(docs: DataFrame, ledger: str) -> DataFrame:
     else:
         blobs = restrict(base.filter(F.col("text").rlike(_HINT)).select(F.sha2("text", 256).alias("blob"), "text"), unseen.select("blob"), "blob")
     found = scan(blobs).dropDuplicates(["blob"])
-    found.select("blob", F.lit(RULE_VERSION).alias("rules"), "n_assign", "n_access", "n_hex", "base", "spans", "places").write.mode("append").parquet(f"{ledger}/findings")
+    found.select("blob", F.lit(RULE_VERSION).alias("rules"), "n_assign", "n_access", "n_hex", "base", "spans", "places").write.parquet(f"{ledger}/findings/scan={version}")
     # last, so that a scan that broke off is made again; a finding written twice is one on reading
-    unseen.select("blob", F.lit(RULE_VERSION).alias("rules")).write.mode("append").parquet(f"{ledger}/scanned")
+    unseen.select("blob", F.lit(RULE_VERSION).alias("rules")).write.parquet(f"{ledger}/scanned/scan={version}")
     return paths
 
 
