@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import card_catalog, derived_catalog, search_catalog, text_catalog
+from . import card_catalog, derived_catalog, search_catalog, sql_catalog, text_catalog
 from .functions import tokens as T
 from .operators import catalogue, overlap, retrieval, scoring, segments, sessions, stats
 from .sources import markup
@@ -100,6 +100,7 @@ QUERIES |= card_catalog.QUERIES
 QUERIES |= text_catalog.QUERIES
 QUERIES |= search_catalog.QUERIES
 QUERIES |= derived_catalog.QUERIES
+QUERIES |= sql_catalog.queries(QUERIES)
 
 
 def queries() -> dict[str, Query]:
