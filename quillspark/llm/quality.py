@@ -97,6 +97,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def risk_step(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative unbiased risk of the outputs z with the logistic loss, and the gradients by which to step.
+
+    The part that stands for the negatives, the unlabelled loss less the positives' share of it, cannot
+    be negative in truth.  Where it is, the step goes up that part alone.
+    """
+    sp, su = _sigmoid(positive), _sigmoid(unlabelled)
+    negative = np.logaddexp(0, unlabelled).mean() - prior * np.logaddexp(0, positive).mean()
+    risk = prior * np.logaddexp(0, -positive).mean() + max(negative, 0.0)
+    if negative >= 0:
+        return risk, prior * (sp - 1) / len(sp) - prior * sp / len(sp), su / len(su)
+    return risk, prior * sp / len(sp), -su / len(su)
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network:
     """Minimises the non-negative unbiased risk with the logistic loss."""
     if not len(positive) or not len(unlabelled):
@@ -112,15 +126,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Network
         x = np.concatenate([xp, xu])
         hidden = np.tanh(x @ theta[0] + theta[1])
         z = hidden @ theta[2] + theta[3][0]
-        s = _sigmoid(z)
-        sp, su = s[: len(xp)], s[len(xp) :]
-        risk_u = np.logaddexp(0, z[len(xp) :]).mean()
-        risk_p = np.logaddexp(0, z[: len(xp)]).mean()
-        # gradient of the risk by z; where the negative part is below zero, it is pushed back up instead
-        if risk_u - prior * risk_p >= 0:
-            gp, gu = prior * (sp - 1) / len(xp) - prior * sp / len(xp), su / len(xu)
-        else:
-            gp, gu = prior * sp / len(xp), -su / len(xu)
+        gp, gu = risk_step(z[: len(xp)], z[len(xp) :], prior)[1:]
         g = np.concatenate([gp, gu])
         back = np.outer(g, theta[2]) * (1 - hidden**2)
         grads = [x.T @ back + DECAY * theta[0], back.sum(0), hidden.T @ g + DECAY * theta[2], np.array([g.sum()])]

@@ -319,3 +319,25 @@ def test_two_scans_at_once_both_stay(spark, tmp_path):
     for scan in scans:
         scan.join()
     assert sorted((r.scan, r.doc_id) for r in secret_scan.history(spark, ledger).collect()) in ([(1, 0), (2, 1)], [(1, 1), (2, 0)])
+
+
+@pytest.mark.parametrize("shift", [0.0, -6.0])
+def test_risk_and_its_gradient_equal_a_plain_version(shift):
+    rng = np.random.default_rng(33)
+    p, u, prior = rng.normal(1, 2, 7) - shift, rng.normal(0, 2, 11) + shift, 0.4
+    loss = lambda z, y: np.log1p(np.exp(-y * z))
+
+    def parts(p, u):
+        return prior * sum(loss(z, 1) for z in p) / len(p), sum(loss(z, -1) for z in u) / len(u) - prior * sum(loss(z, -1) for z in p) / len(p)
+
+    right, negative = parts(p, u)
+    risk, gp, gu = quality.risk_step(p, u, prior)
+    assert (negative < 0) == (shift < 0) and abs(risk - right - max(negative, 0)) < 1e-9
+    goal = (lambda p, u: sum(parts(p, u))) if negative >= 0 else (lambda p, u: -parts(p, u)[1])
+    step = 1e-6
+    for i in range(len(p)):
+        e = np.eye(len(p))[i] * step
+        assert abs((goal(p + e, u) - goal(p - e, u)) / (2 * step) - gp[i]) < 1e-6
+    for i in range(len(u)):
+        e = np.eye(len(u))[i] * step
+        assert abs((goal(p, u + e) - goal(p, u - e)) / (2 * step) - gu[i]) < 1e-6
