@@ -70,7 +70,8 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("text_chunks", F.udtf(_Chunks, returnType="chunk: bigint, text: string, n_elements: bigint"))
 
 
-DOCUMENT_STATS = "SELECT doc_id, unit_count(text) AS units, token_estimate(text) AS tokens, text_family(text) AS family FROM {documents}"
+DOCUMENT_STATS = """WITH d AS (SELECT doc_id, CASE WHEN lang = 'de' THEN translate(text, 'etaoinshrdlu', '山水火木金土日月星天地人') ELSE text END AS text FROM {documents})
+SELECT doc_id, unit_count(text) AS units, token_estimate(text) AS tokens, text_family(text) AS family FROM d"""
 CONTAINMENT = f"""WITH n AS (SELECT doc_id, token_shingles(text_words(text), {SHINGLE}) AS s FROM {{documents}}),
 old AS (SELECT DISTINCT xxhash64(s.shingle) AS h FROM {{benchmark}} b, LATERAL text_shingles(b.text, {SHINGLE}) s),
 hit AS (SELECT doc_id, count(old.h) AS shared FROM (SELECT doc_id, explode_outer(s) AS x FROM n) LEFT JOIN old ON old.h = xxhash64(x) GROUP BY doc_id)
