@@ -37,6 +37,8 @@ NULL_ID = -(2**63)
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_roots: dict[str, str] = {}
+#: Scratch paths given out, in order.
+_given: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -54,7 +56,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/quillspark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _given.append(f"{scratch_root(spark)}/quillspark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}")
+    return _given[-1]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -72,6 +75,23 @@ def drop_table(table: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """A list that has, at the end, the scratch paths that were given out meanwhile."""
+    begin, out = len(_given), []
+    yield out
+    out.extend(_given[begin:])
+
+
+def drop_paths(spark: SparkSession, paths: list[str], reader: DataFrame) -> None:
+    """Deletes scratch folders, but for those that ``reader`` still reads."""
+    read = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in reader.inputFiles()}
+    for folder in paths:
+        if folder.split(":", 1)[-1].lstrip("/") not in read:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the cluster delete the shuffle files of finished jobs now: it does so when the driver collects their plans."""
     gc.collect()
