@@ -20,37 +20,47 @@ settled by the smallest id, then by hash; an empty table gives no rows in any st
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import langid, mixing, ngram_join, packing, secret_scan
-from quillspark.llm.common import scratch_path, ship_package
+from quillspark.llm.common import drop_paths, noted, scratch_path, ship_package
 
+#: Scratch folders of the stage that ran last.
+_before: list[str] = []
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def _staged(spark: SparkSession, docs: DataFrame, work: Callable[[DataFrame], DataFrame], first: bool = False) -> DataFrame:
+    """Runs a stage's operator; what the stage before has left behind is deleted, as its result has been written and is read as ``docs``."""
     ship_package(spark)
-    return langid.identified(docs)
+    if not first:
+        drop_paths(spark, _before, docs)
+    with noted() as made:
+        out = work(docs)
+    _before[:] = made
+    return out
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _staged(spark, docs, langid.identified, first=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
-    return ngram_join.one_of_each(docs)
+    return _staged(spark, docs, ngram_join.one_of_each)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
-    return secret_scan.redacted(docs)
+    return _staged(spark, docs, secret_scan.redacted)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
-    return mixing.mixed_documents(docs)
+    return _staged(spark, docs, mixing.mixed_documents)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return _staged(spark, docs, lambda own: packing.packed(own, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("pack", pack)]
@@ -60,10 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what each returns is written to the scratch folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table; what each returns is written to the scratch folder and read again, until the next one's is written."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}-{uuid.uuid4().hex[:8]}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        drop_paths(spark, old, docs)
+        old = [path]
     return docs
