@@ -182,7 +182,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10) -> D
     pairs = materialize(s.join(t, "lang").filter("s < t"), "pairs")
     cells = lookup_join(histogram_cells(terms, pairs), pairs, ["lang", "s", "t"], "inner")
     cells = cells.withColumn("p", _p("cs", "N_s")).withColumn("q", _p("ct", "N_t"))
-    sums = cells.groupBy("lang", "s", "t").agg(F.sum(_f("p", "q") * F.col("n")).alias("value"))
+    sums = materialize(cells.groupBy("lang", "s", "t").agg(F.sum(_f("p", "q") * F.col("n")).alias("value")), "sums")
     ways = F.explode(F.array(F.struct(F.col("s").alias("source"), F.col("t").alias("item")), F.struct(F.col("t").alias("source"), F.col("s").alias("item")))).alias("w")
     pair = lookup_join(pairs.select("lang", "s", "t"), sums, ["lang", "s", "t"]).select("lang", ways, F.coalesce("value", F.lit(0)).cast("long").alias("value"))
     pair = pair.select("lang", "w.source", F.lit("pair").alias("part"), "w.item", "value")
