@@ -341,3 +341,30 @@ def test_risk_and_its_gradient_equal_a_plain_version(shift):
     for i in range(len(u)):
         e = np.eye(len(u))[i] * step
         assert abs((goal(p, u + e) - goal(p, u - e)) / (2 * step) - gu[i]) < 1e-6
+
+
+def test_mix_keeps_map_columns_of_repeated_ids(spark):
+    rows = [(i % 3, "w " * (5 + i % 2), "s", {"k": i % 4}) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,int>")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() >= len(rows)
+    assert {tuple(r.tags.items()) for r in out.collect()} <= {tuple(r[3].items()) for r in rows}
+
+
+def test_one_id_brings_one_row_to_learn_from(spark):
+    docs = spark.createDataFrame([(7, f"text {i}", None, None, None) for i in range(500)] + [(i, f"other {i}", None, None, None) for i in range(100, 160)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(7, 1, 0)] + [(i, 1, 0) for i in range(100, 130)], "doc_id long, quality int, toxic int")
+    first, again = quality.learn(docs, labels), quality.learn(docs.repartition(9), labels)
+    assert first.prior == again.prior and all(np.array_equal(a, b) for a, b in zip(first.weights, again.weights, strict=True))
+
+
+def test_exact_bands_pass_over_nothing(spark):
+    rng = random.Random(41)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choices(words, k=120) for _ in range(12)]
+    texts = [" ".join(b) for b in base] + [" ".join(w if rng.random() < 0.985 else "x" for w in b) for b in base for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = lambda **more: {r.doc_id: r.component_id for r in minhash.banded_duplicates(docs, **more).collect()}
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert label(spread=None) == components(range(len(texts)), links)
