@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import card_catalog, derived_catalog, search_catalog, sql_catalog, text_catalog
 from .functions import tokens as T
-from .operators import catalogue, overlap, retrieval, scoring, segments, sessions, stats
+from .operators import overlap, retrieval, sessions, stats
 from .sources import markup
 
 Query = Callable[[SparkSession, str], DataFrame]

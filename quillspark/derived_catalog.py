@@ -56,8 +56,6 @@ _add("impact", lambda s, d: catalogue.impact(RELATIONS.df(s, d), "c56"), f"WITH
 
 # quotations
 
-_SPACE = r"\s+"
-
 
 def _bare(x: str) -> str:
     out = f"regexp_replace(replace({x}, '&amp;', '&'), '\\*', '', 'g')"
