@@ -128,9 +128,12 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
     steps = encoded.approxQuantile(names, [i / cells for i in range(1, cells)], 1 / (4 * cells))
     ladders = np.array([x or [0.0] * (cells - 1) for x in steps])
     key = curve_keys(ladders)(F.col("doc_id"), *map(F.col, names)).alias("key")
-    cuts = np.array(sorted(set(materialize(encoded.select(key), "keys").approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else [], np.float64).astype(np.int64)
+    cuts = sorted(set(map(int, materialize(encoded.select(key), "keys").approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (4 * parts))))) if parts > 1 else []
     keyed = encoded.select("doc_id", "wide", "ids", key)
-    part = F.pandas_udf(lambda keys: pd.Series(np.searchsorted(cuts, keys.to_numpy(), "left").astype(np.int32)), "int")(F.col("key"))
+    # the number of cuts below the key, by binary search: steps of falling powers of two
+    steps_ = F.array(*[F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)])
+    below = lambda at, step: F.when(F.get(F.lit(cuts).cast("array<bigint>"), at + step - 1) < F.col("key"), at + step).otherwise(at)
+    part = F.aggregate(steps_, F.lit(0), below) if cuts else F.lit(0)
     dealt = keyed.repartitionById(parts, part).sortWithinPartitions("key", F.col("doc_id").asc_nulls_first(), "ids").select("doc_id", "wide", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
