@@ -63,6 +63,26 @@ def test_occurrences_equal_brute_force(spark, part):
     assert occurrences.occurrences(spark.createDataFrame([], "string string"), spark.createDataFrame([(1, "a")], "text_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize(("part", "cut"), [(2_000_000, 50_000_000), (9, 60)])
+@pytest.mark.parametrize("n", [20, 200])
+def test_occurrences_by_key_equal_brute_force(spark, part, cut, n):
+    rng = random.Random(n)
+    made = lambda most: "".join(rng.choice("abß") for _ in range(rng.randint(0, most)))
+    texts = [(rng.choice("xyz"), i, made(40)) for i in range(60)] + [("x", 60, None), (None, 61, "ab"), ("x", 62, "🙂ab")]
+    strings = [(rng.choice("xy"), made(6)) for _ in range(n)] + [("x", None), (None, "ab"), ("x", "🙂a"), ("q", "a")]
+    found = occurrences.occurrences_by_key(spark.createDataFrame(strings + strings[:3], "key string, string string"), spark.createDataFrame(texts, "key string, text_id long, text string").repartition(4), part, cut)
+    want = {(k, i, x) for k, i, t in texts if k and t for own, x in strings if own == k and x and x in t}
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_stamps_read_each_cue_once(spark, monkeypatch):
+    monkeypatch.setattr(quotations, "occurrences", lambda *_: pytest.fail("every string was sought in every file's cues"))
+    cues = spark.createDataFrame([(f, f"00:00:0{i}", f"{f} said the line number {i} in front of all") for f in "fg" for i in range(4)], "file string, stamp string, text string")
+    claims = spark.createDataFrame([(1, "f", "00:00:00", "f said the line number 3 in front"), (2, "g", "00:00:00", "f said the line number 3 in front"), (3, "g", "00:00:02", "g said the line number 2")], "claim_id long, file string, stamp string, quote string")
+    assert {r.claim_id: (r.status, r.places) for r in quotations.checked_stamps(claims, cues).collect()} == {1: ("misplaced", "00:00:03"), 2: ("unverified", ""), 3: ("verified", "")}
+
+
 def test_forged_tails_are_found(spark):
     said = "a quotation of more than sixty characters that somebody really said in front of all"
     cues = spark.createDataFrame([("f", "00:00:01", said), ("f", "00:00:02", "nothing")], "file string, stamp string, text string")
