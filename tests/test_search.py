@@ -6,6 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import search_catalog
 from quillspark.operators import gram_index, merging, occurrences, quotations, retrieval, search
 from quillspark.operators.search import all_words, phrase, prefix, word
 from quillspark.plans import folds
@@ -192,3 +193,18 @@ def test_stage_reads_only_new_files(spark, tmp_path):
     put("two", "three!")
     assert stages.incremental_stage(spark, folder, table, "s", work) == 2 and seen.value == 3
     assert sorted((r.text, r.n) for r in versions.read(spark, table).collect()) == [("one", 3), ("three!", 6), ("two", 3)]
+
+
+def test_stage_runs_write_as_many_files_as_they_read(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}", lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 10)], "doc_id long, text string, lang string")
+    docs.repartition(4).write.parquet(f"file://{tmp_path}/documents.parquet")
+    run, files = search_catalog.stages.incremental_stage, []
+
+    def counted(spark, folder, *args, **more):
+        files.append(len(spark.read.parquet(folder).inputFiles()))
+        return run(spark, folder, *args, **more)
+
+    monkeypatch.setattr(search_catalog.stages, "incremental_stage", counted)
+    rows = search_catalog.QUERIES["stage_versions"][0](spark, f"file://{tmp_path}").collect()
+    assert {(r.version, r.lang): r.texts for r in rows} == {(v, x): 10 for v in (1, 2, 3) for x in (["en"] if v == 1 else ["en", "de", "fr"])}
+    assert files[0] > 1
