@@ -208,3 +208,17 @@ def test_stage_runs_write_as_many_files_as_they_read(spark, tmp_path, monkeypatc
     rows = search_catalog.QUERIES["stage_versions"][0](spark, f"file://{tmp_path}").collect()
     assert {(r.version, r.lang): r.texts for r in rows} == {(v, x): 10 for v in (1, 2, 3) for x in (["en"] if v == 1 else ["en", "de", "fr"])}
     assert files[0] > 1
+
+
+def test_index_is_made_once_in_ranges_of_terms(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}é" for i in range(50)]
+    docs = spark.createDataFrame([(i, " ".join(["hot"] * 3 + rng.choices(words, k=20))) for i in range(300)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(search.DataFrame, "repartitionByRange", lambda *_: pytest.fail("tokens were made twice, once for a sample of all postings"), raising=False)
+    search.write_index(docs, f"file://{tmp_path}/i", range_rows=400)
+    index = search.read_index(spark, f"file://{tmp_path}/i")
+    key = lambda r: (r.term, r.doc_id, r.field, tuple(r.positions), r.length)
+    assert sorted(map(key, index.collect())) == sorted(map(key, search.positions(docs).collect()))
+    files = sorted((r.low, r.high) for r in index.groupBy(F.input_file_name()).agg(F.min("term").alias("low"), F.max("term").alias("high")).collect())
+    assert len(files) > 6 and all(a[1] <= b[0] for a, b in zip(files, files[1:], strict=False))
+    assert index.filter("term = 'hot'").select(F.input_file_name()).distinct().count() > 1
