@@ -73,7 +73,8 @@ def register(spark: SparkSession) -> None:
 DOCUMENT_STATS = """WITH d AS (SELECT doc_id, CASE WHEN lang = 'de' THEN translate(text, 'etaoinshrdlu', '山水火木金土日月星天地人') ELSE text END AS text FROM {documents})
 SELECT doc_id, unit_count(text) AS units, token_estimate(text) AS tokens, text_family(text) AS family FROM d"""
 CONTAINMENT = f"""WITH n AS (SELECT doc_id, token_shingles(text_words(text), {SHINGLE}) AS s FROM {{documents}}),
+own AS (SELECT doc_id, CAST(size(s) AS BIGINT) AS n_shingles, explode_outer(s) AS x FROM n),
 old AS (SELECT DISTINCT xxhash64(s.shingle) AS h FROM {{benchmark}} b, LATERAL text_shingles(b.text, {SHINGLE}) s),
-hit AS (SELECT doc_id, count(old.h) AS shared FROM (SELECT doc_id, explode_outer(s) AS x FROM n) LEFT JOIN old ON old.h = xxhash64(x) GROUP BY doc_id)
-SELECT n.doc_id, CAST(size(n.s) AS BIGINT) AS n_shingles, hit.shared AS n_shared, overlap_verdict(size(n.s), hit.shared) AS verdict FROM n JOIN hit USING (doc_id)"""
+hit AS (SELECT doc_id, n_shingles, count(old.h) AS n_shared FROM (SELECT doc_id, n_shingles, CASE WHEN x IS NOT NULL THEN xxhash64(x) END AS h FROM own) o LEFT JOIN old ON old.h = o.h GROUP BY doc_id, n_shingles)
+SELECT doc_id, n_shingles, n_shared, overlap_verdict(n_shingles, n_shared) AS verdict FROM hit"""
 CHUNK_TEXTS = "SELECT d.doc_id, c.chunk, '' AS path, c.text, c.n_elements FROM {documents} d, LATERAL text_chunks(d.text, 1000) c"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import sql
+from quillspark.catalog import QUERIES
 from quillspark.functions import tokens as T
 
 TEXTS = [None, "", "It's a-b, C++ and 50%!", "学习的方法 and 道", "“quoted” -- text… *bold* &amp; more...", "a\r\nb\n\nc. d! e", "Été " * 20, "x" * 5000]
@@ -34,3 +35,13 @@ def test_table_functions(spark, texts):
     assert rows("SELECT line, text FROM some_texts, LATERAL text_lines(t) WHERE id = 5 ORDER BY line") == [(0, "a"), (1, "b"), (2, ""), (3, "c. d! e")]
     assert [x for _, x in rows("SELECT nth, text FROM some_texts, LATERAL text_sentences(t) WHERE id = 5 ORDER BY nth")] == ["a", "b", "c", "d", "e"]
     assert rows("SELECT c.chunk, c.text, c.n_elements FROM some_texts, LATERAL text_chunks(t, 6) c WHERE id = 5 ORDER BY chunk") == [(0, "a\r\n\nb", 2), (1, "", 1), (2, "c. d! e", 1)]
+
+
+def test_containment_moves_no_shingles(spark, sf001):
+    plan = QUERIES["sql_containment"][0](spark, sf001)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == 1  # texts are cut once, and their lists of shingles join nothing
+
+
+def test_report_counts_shingles_behind_the_shuffle(spark, sf001):
+    plan = QUERIES["overlap_report"][0](spark, sf001)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
