@@ -46,6 +46,27 @@ def test_best_sentences_equal_all_pairs(spark):
     assert {r.quote_id: r.sent_id for r in found} == want and want
 
 
+@pytest.mark.parametrize("block", [1000, 7])
+def test_best_sentences_meet_in_blocks(spark, monkeypatch, block):
+    ratios = []
+    monkeypatch.setattr(quotations, "BLOCK", block)
+    texts = [t for t in _texts(30, 5) if len(t) >= 8] + ["学习的方法和学习的道理", "学习的方法和学习的道"]
+    quotes, sentences = texts * 3, texts[::-1] * 2
+    for q in quotes:
+        ratio = [difflib.SequenceMatcher(None, q, s).ratio() for s in sentences]
+        best = max(range(len(sentences)), key=lambda j: ratio[j])
+        ratios.append((best, round(ratio[best], 9)))
+    found = quotations.best_sentences(spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string"), spark.createDataFrame(list(enumerate(sentences)), "sent_id long, sentence string"))
+    assert {r.quote_id: (r.sent_id, round(r.ratio, 9)) for r in found.collect()} == dict(enumerate(ratios))
+    assert "Join [pair" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_subsequence():
+    for a, b, n in [("abcbdab", "bdcaba", 4), ("", "a", 0), ("aaaa", "aa", 2), ("学a习", "习a学a", 2)]:
+        bits = {c: sum(1 << i for i, x in enumerate(a) if x == c) for c in a}
+        assert quotations._common(bits, len(a), b) == n
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     for op in (quotations.lint_quotes, quotations.anchor_quotes, quotations.owned_quotes, quotations.block_targets, quotations.entry_references, quotations.stamp_groups):
