@@ -89,9 +89,12 @@ def build_grammar(ids: np.ndarray, last: np.ndarray, first_rule: int, least_uses
         odd = twin[(np.arange(len(twin)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]) % 2 == 1] if len(twin) else twin
         np.subtract.at(uses, slot[odd], 1)
         uses = uses[slot]
-        live = uses >= least_uses
-        rank = np.where(live, (uses << 32) | slot, 0)
-        rank[odd] = 0
+        # only these may be chosen, now or later
+        live = np.flatnonzero(uses >= least_uses)
+        counted = np.ones(len(alive), bool)
+        counted[odd] = False
+        alive, left, right = alive[live], left[live], right[live]
+        rank = ((uses[live] << 32) | slot[live]) * counted[live]
         beside = alive[1:] == alive[:-1] + 1
         after, before = np.zeros_like(rank), np.zeros_like(rank)
         after[:-1], before[1:] = rank[1:] * beside, rank[:-1] * beside
@@ -109,7 +112,7 @@ def build_grammar(ids: np.ndarray, last: np.ndarray, first_rule: int, least_uses
         last[at] = last[at + 1]
         stays, look = np.ones(len(sequence), bool), np.zeros(len(sequence), bool)
         stays[at + 1] = False
-        look[alive[live]] = look[at] = True
+        look[alive] = look[at] = True
         prior = at[at > 0] - 1
         look[prior - ~stays[prior]] = True
         sequence, last, look = sequence[stays], last[stays], look[stays] & ~last[stays]
@@ -197,6 +200,11 @@ class Shard:
         self.sequence = np.frombuffer(row["sequence"], symbol)
         self.grammar = Grammar(np.frombuffer(row["rules"], symbol).reshape(-1, 2).astype(np.uint32), np.frombuffer(row["rule_lengths"], "<u4").astype(np.int64), row["first_rule"])
 
+    def documents(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all documents, expanded in one go, and where each document's ids end."""
+        ids = self.grammar.expand(self.sequence).astype("<u4", copy=False)
+        return ids, np.cumsum(self.grammar.length[self.sequence])[np.append(self.begin[1:], len(self.sequence)) - 1]
+
     def document(self, i: int) -> np.ndarray:
         """The ids of the shard's i-th document, from its own symbols alone."""
         end = self.begin[i + 1] if i + 1 < len(self.begin) else len(self.sequence)
@@ -261,11 +269,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 shard = Shard(row)
-                crc, length = [], []
-                for j in range(len(shard.begin)):
-                    ids = shard.document(j)
-                    crc.append(zlib.crc32(ids.astype("<u4", copy=False).tobytes())), length.append(len(ids))
-                if length != shard.counts.tolist():
+                ids, ends = shard.documents()
+                crc = [zlib.crc32(ids[lo:hi]) for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                if not np.array_equal(np.diff(ends, prepend=0), shard.counts):
                     raise ValueError("a document does not expand to its stored length")
                 starts = np.cumsum(shard.counts) - shard.counts
                 yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]] * len(crc), pa.int32()), "doc_id": pa.array(shard.doc_ids, pa.int64()), "inner": pa.array(starts + row["first"], pa.int64()), "n_tokens": pa.array(shard.counts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})

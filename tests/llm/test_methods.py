@@ -368,3 +368,14 @@ def test_exact_bands_pass_over_nothing(spark):
     sets = [shingles(t) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert label(spread=None) == components(range(len(texts)), links)
+
+
+def test_shards_are_read_in_one_go():
+    rng = np.random.default_rng(3)
+    for most in (3, 40):
+        counts = rng.integers(1, 60, 50)
+        ids = rng.integers(0, most, int(counts.sum())).astype(np.uint32)
+        shard = repair.Shard(repair.pack_shard(ids, counts, list(range(50)), most) | {"null_ids": bytes(50)})
+        found, ends = shard.documents()
+        assert np.array_equal(found, ids) and np.array_equal(ends, np.cumsum(counts))
+        assert all(np.array_equal(shard.document(i), ids[hi - n : hi]) for i, (hi, n) in enumerate(zip(ends, counts, strict=True)))
